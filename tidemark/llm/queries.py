@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import jaccard, media, mixing, quality, substring
+from tidemark.llm import bpe, jaccard, lm, media, mixing, quality, substring
 from tidemark.llm._frames import table
 
 
@@ -17,8 +17,10 @@ def _on(name: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessi
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": _on("documents", substring.op2),
+        "op3_bloom_lm": _on("documents", lm.op3),
         "op4_entropy_mixing": _on("documents", mixing.op4),
         "op7_jaccard_join": _on("documents", jaccard.op7),
+        "op8_bpe_stream": _on("documents", bpe.op8),
         "op9_png_media": _on("documents", media.op9),
         "op10_rule_ledger": _on("documents", quality.op10),
     }
