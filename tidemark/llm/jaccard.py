@@ -273,9 +273,9 @@ def op7(documents: DataFrame) -> DataFrame:
     return found.select(null("k").alias("doc_id"), "n_shingles", null("component").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs without those whose component has a smaller id; all columns stay."""
-    found = similarity_components(docs).where("k <> component").select("k").distinct()
+    found = similarity_components(docs, n=n, percent=percent).where("k <> component").select("k").distinct()
     return docs.join(found, key_or(docs["doc_id"]) == F.col("k"), "left_anti")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, jaccard, lm, media, mixing, quality, substring
+from tidemark.llm import bpe, jaccard, langid, lm, media, mixing, quality, substring, urlfilter, warc
 from tidemark.llm._frames import table
 
 
@@ -16,9 +16,12 @@ def _on(name: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessi
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_members": _on("pages", warc.op1),
         "op2_substring_dedup": _on("documents", substring.op2),
         "op3_bloom_lm": _on("documents", lm.op3),
         "op4_entropy_mixing": _on("documents", mixing.op4),
+        "op5_language_fusion": _on("documents", langid.op5),
+        "op6_temporal_url_lists": _on("pages", urlfilter.op6),
         "op7_jaccard_join": _on("documents", jaccard.op7),
         "op8_bpe_stream": _on("documents", bpe.op8),
         "op9_png_media": _on("documents", media.op9),
@@ -27,4 +30,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": substring.SQL, "op7_jaccard_join": jaccard.SQL}
+    return {
+        "op1_warc_members": warc.SQL,
+        "op2_substring_dedup": substring.SQL,
+        "op6_temporal_url_lists": urlfilter.SQL,
+        "op7_jaccard_join": jaccard.SQL,
+    }

@@ -213,6 +213,13 @@ def op2(documents: DataFrame) -> DataFrame:
     return remove_repeats(documents.select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the repeats cut out of their texts, those of which only repeats were left out; columns stay as they are."""
+    r = remove_repeats(docs).where("n_removed = 0 or n_removed < n_words")
+    text = {"text": F.col("kept_text")} | ({"n_chars": F.length("kept_text").cast("bigint")} if "n_chars" in docs.columns else {})
+    return r.select(*[text.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+
 #: For SQL engines that can hold every window of the corpus; small tables only.
 SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
