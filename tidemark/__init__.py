@@ -1,0 +1 @@
+"""Spark-native analytics over large archives of short, timestamped posts."""
