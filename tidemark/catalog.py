@@ -141,7 +141,7 @@ register(
 )
 _ACT = f"SELECT CAST(isodow(hour) AS INTEGER) AS weekday, CAST(hour(hour) AS INTEGER) AS hour, {big('posts', 'posts')} FROM"
 register("q3_activity_heatmap", on_tables(A.activity), f"{CTES} {_ACT} hourly GROUP BY 1, 2")
-register("q3_activity_live", on_tables(lambda t: A.activity(t, Filters(country="FRANCE"))), f"{CTES} {_ACT} (SELECT created_at AS hour, 1 AS posts FROM fx WHERE country = 'FRANCE') GROUP BY 1, 2")
+register("q3_activity_live", on_tables(lambda t: A.activity(t, Filters(country="NATION_3"))), f"{CTES} {_ACT} (SELECT created_at AS hour, 1 AS posts FROM fx WHERE country = 'NATION_3') GROUP BY 1, 2")
 
 # -- sentiment
 both("q4_sentiment_dist", A.sentiment_distribution, f"SELECT sentiment, posts, CASE WHEN sentiment <> 'not_analyzed' THEN {pct('posts', 'known')} END AS pct FROM (SELECT sentiment, {big('posts', 'posts')}, sum(sum({_AN})) OVER () AS known FROM m GROUP BY sentiment)")
@@ -153,7 +153,7 @@ for by, (column, least, most) in {"topic": ("topic_id", 1, 30), "language": ("la
 # -- topics, engagement, geography, languages, users
 both(
     "q5_topics", A.topics,
-    f"""SELECT m.topic_id, posts, reach, engagement, {pct('posts', 'everything')} AS share_pct, {_ENG.split(', CASE WHEN reach')[0]}, growth_pct, trend_score, m.topic_id AS label
+    f"""SELECT m.topic_id, posts, m.reach, engagement, {pct('posts', 'everything')} AS share_pct, {_ENG.split(', CASE WHEN reach')[0]}, growth_pct, trend_score, m.topic_id AS label
   FROM (SELECT topic_id, {big('posts', 'posts')}, {big('reach', 'reach')}, {big('engagement', 'engagement')}, sum(sum(posts)) OVER () AS everything FROM m WHERE topic_id <> 'none' GROUP BY topic_id) m
   LEFT JOIN ({trend_sql("cube", "topic_id", _E, 30, 1, 1000, "topic_id <> 'none'")}) g ON g.key = m.topic_id""",
     Filters(end=END), f"day <= {_E}",
@@ -182,7 +182,7 @@ register("a10_category_stats", on_tables(A.category_stats), f"{CTES} SELECT acco
 # -- posts
 _PAGE = "SELECT post_id, created_at, username, language, country, sentiment, topic_id, engagement, is_retweet"
 register("q13_posts_page", on_tables(lambda t: A.list_posts(t, Filters(country="Unknown", exclude_retweets=True, min_engagement=5), "engagement", 2, 50)), f"{CTES} {_PAGE}, 0 AS relevance, topic_id AS label FROM fx WHERE country IS NULL AND NOT is_retweet AND engagement >= 5 ORDER BY engagement DESC NULLS LAST, created_at DESC, post_id DESC LIMIT 50 OFFSET 50")
-_HITS = r"CAST(len(list_filter(regexp_split_to_array(lower(clean_text), '[^\p{L}\p{M}\p{N}_]+'), x -> x IN ('thereaand', 'nation', 'the'))) AS INTEGER)"
+_HITS = r"CAST(len(list_filter(regexp_split_to_array(lower(clean_text), '[^\p{L}\p{M}\p{N}_]+'), lambda x: x IN ('thereaand', 'nation', 'the'))) AS INTEGER)"
 register("q13_search", on_tables(lambda t: A.list_posts(t, Filters(q="Thereaand nation the"), "relevance", 1, 100)), f"{CTES} {_PAGE}, {_HITS} AS relevance, topic_id AS label FROM fx WHERE {_HITS} > 0 ORDER BY relevance DESC, created_at DESC, post_id DESC LIMIT 100")
 register("a25_capped_count", on_tables(lambda t: A.count_posts(t, EN, cap=1000)), f"{CTES} SELECT least(count(*), 1000) AS total, count(*) >= 1000 AS total_capped FROM fx WHERE language = 'en'")
 register("q14_identical_text", on_posts(A.identical_texts), f"{CTES} SELECT post_id, text_hash, count(*) OVER (PARTITION BY text_hash) AS identical_texts FROM fx")
@@ -191,3 +191,106 @@ register("a8_facets", on_tables(A.facets), f"{CTES} SELECT language, sentiment,
 register("j1_top_users_lookup", on_tables(A.country_engagement), f"{CTES} SELECT x.username, x.engagement, account_category, posts AS account_posts FROM (SELECT username, {big('engagement', 'engagement')} FROM fx GROUP BY username ORDER BY engagement DESC, username LIMIT 50) x LEFT JOIN people p USING (username)")
 register("a19_weekly_sentiment", on_tables(A.weekly_sentiment), f"{CTES} SELECT CAST(date_trunc('week', created_at + INTERVAL 1 DAY) - INTERVAL 1 DAY AS DATE) AS week, coalesce(sentiment, 'not_analyzed') AS sentiment, count(*) AS posts, sum(score) AS score_sum FROM fx WHERE language = 'en' GROUP BY 1, 2")
 register("a19_topic_by_sentiment", on_tables(A.topic_by_sentiment), f"{CTES} SELECT coalesce(topic_id, 'none') AS topic_id, coalesce(sentiment, 'not_analyzed') AS sentiment, count(*) AS posts FROM fx GROUP BY 1, 2")
+
+# -- lake and gold
+from tidemark.functions import text as X  # noqa: E402
+from tidemark.operators import anomalies as N  # noqa: E402
+from tidemark.operators import ingest as I  # noqa: E402
+from tidemark.operators import lake as L  # noqa: E402
+from tidemark.operators import nlp as M  # noqa: E402
+
+
+def silver_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = posts_fx(spark, sf_dir)
+    return p.withColumns({"day": F.to_date("created_at"), "year": F.year("created_at"), "month": F.month("created_at")})
+
+
+def on_silver(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(silver_fx(spark, sf_dir))
+
+
+_SILVER = f"{CTES}, s AS (SELECT *, CAST(created_at AS DATE) AS day, CAST(year(created_at) AS INTEGER) AS year, CAST(month(created_at) AS INTEGER) AS month FROM fx), td AS (SELECT day, hashtag, count(*) AS posts FROM (SELECT day, unnest(hashtags) AS hashtag FROM s) GROUP BY 1, 2)"
+register("a13_daily_activity", on_silver(lambda s: L.daily_activity(s, exact=True)), f"{_SILVER} SELECT day, language, country, account_category, count(*) AS posts, count(*) FILTER (is_retweet) AS retweets, count(DISTINCT user_id) AS active_accounts, {big('len(hashtags)', 'hashtag_uses')} FROM s GROUP BY 1, 2, 3, 4")
+register("a13_daily_activity_approx", on_silver(L.daily_activity))
+register("a14_gold_hashtag_daily", on_silver(L.tag_days), f"{_SILVER} SELECT * FROM td")
+register("a15_top_hashtags", on_silver(lambda s: L.top_tags(L.tag_days(s))), f"{_SILVER} SELECT hashtag, {big('posts', 'posts')}, count(DISTINCT day) AS days_active, min(day) AS first_seen, max(day) AS last_seen, arg_max(day, (posts, day)) AS peak_day, max(posts) AS peak_posts FROM td GROUP BY hashtag")
+register("a16_account_stats", on_silver(L.account_stats), f"{_SILVER} SELECT user_id, username, account_category, count(*) AS posts, round(count(*) FILTER (is_retweet) / count(*), 4) AS retweet_ratio, max(followers) AS max_followers, min(created_at) AS first_post, max(created_at) AS last_post, count(DISTINCT day) AS active_days FROM s GROUP BY 1, 2, 3")
+register("a17_monthly_category", on_silver(L.monthly_category), f"{_SILVER} SELECT year, month, account_category, count(*) AS posts, count(DISTINCT user_id) AS accounts FROM s GROUP BY 1, 2, 3")
+register("a18_weekday", on_silver(lambda s: L.summaries({"monthly_category": L.monthly_category(s), "daily_activity": L.daily_activity(s, True), "top_hashtags": L.top_tags(L.tag_days(s)), "account_stats": L.account_stats(s)})["weekday"]), f"{_SILVER} SELECT strftime(day, '%a') AS weekday, CAST(dayofweek(day) + 1 AS INTEGER) AS dow, count(*) AS posts FROM s GROUP BY 1, 2")
+register("q18_category_of_month", on_silver(lambda s: s.where("year = 2024 and month = 1").groupBy("account_category").agg(F.count("*").alias("n"))), f"{_SILVER} SELECT account_category, count(*) AS n FROM s WHERE year = 2024 AND month = 1 GROUP BY 1")
+for _name, _sql in {
+    "point_lookup": "SELECT post_id, username FROM fx WHERE post_id = '77'",
+    "one_week": "SELECT post_id, username FROM fx WHERE created_at >= TIMESTAMP '2024-01-08' AND created_at < TIMESTAMP '2024-01-15'",
+    "category_totals": "SELECT account_category, count(*) AS n FROM fx GROUP BY 1",
+    "week_by_language": "SELECT language, count(*) AS n FROM fx WHERE created_at >= TIMESTAMP '2024-01-08' AND created_at < TIMESTAMP '2024-01-15' GROUP BY 1",
+}.items():
+    register(
+        f"q19_{_name}",
+        lambda s, d, n=_name: (lambda q: q.select("post_id", "username") if "post_id" in q.columns else q)(L.routing_queries(posts_fx(s, d), "77", "2024-01-08", "2024-01-15")[n]),
+        f"{CTES} {_sql}",
+    )
+
+# -- anomalies
+_DAYS = f"""{CTES}, d0 AS (SELECT day, {big('posts', 'posts')}, {big("CASE WHEN sentiment = 'negative' THEN posts END", 'negative')}, {big(_AN, 'analysed')}, {big('engagement', 'engagement')} FROM cube GROUP BY day),
+d1 AS (SELECT *, CASE WHEN analysed > 0 THEN CAST(negative AS DOUBLE) / analysed END AS ns FROM d0),
+d2 AS (SELECT *, avg(posts) OVER w AS vm, stddev_pop(posts) OVER w AS vs, avg(ns) OVER w AS nm, stddev_pop(ns) OVER w AS nsd, count(*) OVER w AS history FROM d1 WINDOW w AS (ORDER BY day ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING))"""
+register(
+    "q16_daily_features", on_tables(N.daily_features),
+    f"{_DAYS} SELECT day, posts, negative, analysed, engagement, round(ns, 6) AS neg_share, round(vm, 6) AS vol_mean, round(vs, 6) AS vol_std, round(nm, 6) AS neg_mean, round(nsd, 6) AS neg_std, history, CASE WHEN history >= 14 AND vs > 0 THEN round((posts - vm) / vs, 6) END AS vol_z, CASE WHEN history >= 14 AND nsd > 0 AND analysed >= 50 AND ns IS NOT NULL THEN round((ns - nm) / nsd, 6) END AS neg_z FROM d2",
+)
+register("q17_iqr", on_tables(lambda t: N.fences(N.daily_features(t))), f"{_DAYS} SELECT q1, q3, q1 - 1.5::DOUBLE * (q3 - q1) AS low, q3 + 1.5::DOUBLE * (q3 - q1) AS high FROM (SELECT quantile_cont(posts, 0.25) AS q1, quantile_cont(posts, 0.75) AS q3 FROM d0)")
+register("q17_isolation_forest", on_tables(lambda t: N.forest(N.daily_features(t))))
+register("q17_anomalies", on_tables(lambda t: N.detect(t, z=1.5).withColumn("reasons", F.array_join("reasons", ","))))
+
+# -- scalar functions, on texts with tags, handles and links added
+_DECOR = "concat(clean_text, ' #', hashtags[0], ' #K1 and @acct', username, ' https://t.co/', post_id, ' #k1')"
+
+
+def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posts_fx(spark, sf_dir).where("size(hashtags) > 0").select("post_id", F.expr(_DECOR).alias("body"))
+
+
+_DEC = f"{CTES}, dec AS (SELECT post_id, clean_text || ' #' || hashtags[1] || ' #K1 and @acct' || username || ' https://t.co/' || post_id || ' #k1' AS body FROM fx WHERE len(hashtags) > 0)"
+register("x2_hashtags_decorated", lambda s, d: decorated(s, d).select("post_id", F.array_join(X.hashtags(F.col("body")), ",").alias("tags")), rf"{_DEC}, t AS (SELECT post_id, lower(u.tag) AS tag, u.pos FROM dec, unnest(regexp_extract_all(body, '(^|[^\w#&])#(\w+)', 2)) WITH ORDINALITY AS u(tag, pos)) SELECT post_id, string_agg(tag, ',' ORDER BY pos) AS tags FROM (SELECT post_id, tag, min(pos) AS pos FROM t GROUP BY 1, 2) GROUP BY post_id")
+register("x4_url_count", lambda s, d: decorated(s, d).select("post_id", X.url_count(F.col("body")).alias("urls")), rf"{_DEC} SELECT post_id, CAST(len(regexp_extract_all(body, '(?i)https?://\S+|www\.\S+')) AS INTEGER) AS urls FROM dec")
+_NAMED = "CASE language WHEN 'en' THEN ' English ' WHEN 'fr' THEN 'FRENCH' WHEN 'de' THEN 'Low German' WHEN 'es' THEN 'LANGUAGE UNDEFINED' END"
+register("x9_language_map", lambda s, d: posts_fx(s, d).select("post_id", X.language(F.expr(_NAMED)).alias("code")), f"{CTES} SELECT post_id, CASE language WHEN 'en' THEN 'en' WHEN 'fr' THEN 'fr' WHEN 'de' THEN 'low_german' END AS code FROM fx")
+
+
+def raw_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = posts_fx(spark, sf_dir)
+    return p.select(
+        "post_id", F.expr("if(cast(post_id as bigint) % 5 = 0, null, post_id)").alias("id"), F.expr("if(cast(post_id as bigint) % 7 = 0, ' ', clean_text)").alias("content"),
+        F.expr("if(cast(post_id as bigint) % 11 = 0, '13/45/2017 10:00', date_format(created_at, 'M/d/yyyy H:mm'))").alias("at"),
+    )
+
+
+register("f9_validity", lambda s, d: raw_fx(s, d).select("post_id", I.reason(F.col("id"), F.col("content"), X.timestamp(F.col("at")), F.lit(False)).alias("reason")), f"{CTES} SELECT post_id, CASE WHEN CAST(post_id AS BIGINT) % 5 = 0 THEN 'missing_id' WHEN CAST(post_id AS BIGINT) % 7 = 0 THEN 'empty_text' WHEN CAST(post_id AS BIGINT) % 11 = 0 THEN 'invalid_timestamp' END AS reason FROM fx")
+register("x8_timestamps", lambda s, d: raw_fx(s, d).select("post_id", X.timestamp(F.col("at")).cast("timestamp_ntz").alias("t")), f"{CTES} SELECT post_id, CASE WHEN CAST(post_id AS BIGINT) % 11 <> 0 THEN date_trunc('minute', created_at) END AS t FROM fx")
+register("x11_non_negative_int", on_posts(lambda p: p.select("post_id", X.non_negative_int(F.expr("case cast(post_id as bigint) % 4 when 0 then ' 12.9 ' when 1 then '-3' when 2 then 'abc' else post_id end")).alias("n"))), f"{CTES} SELECT post_id, CASE CAST(post_id AS BIGINT) % 4 WHEN 0 THEN 12 WHEN 3 THEN CAST(post_id AS BIGINT) END AS n FROM fx")
+register("o3_first_of_each", lambda s, d: I.first_of_each(posts_fx(s, d).select(F.expr("cast(cast(post_id as bigint) % 700 as string)").alias("post_id"), F.expr("cast(post_id as bigint) % 3").alias("file_ord"), F.col("post_id").cast("bigint").alias("row_ord"))), f"{CTES} SELECT post_id, file_ord, row_ord FROM (SELECT CAST(CAST(post_id AS BIGINT) % 700 AS VARCHAR) AS post_id, CAST(post_id AS BIGINT) % 3 AS file_ord, CAST(post_id AS BIGINT) AS row_ord, row_number() OVER (PARTITION BY CAST(post_id AS BIGINT) % 700 ORDER BY CAST(post_id AS BIGINT) % 3, CAST(post_id AS BIGINT)) AS n FROM fx) WHERE n = 1")
+register("j5_new_posts_anti", on_posts(lambda p: p.join(p.where("is_retweet").select("post_id"), "post_id", "left_anti").select("post_id", "username")), f"{CTES} SELECT post_id, username FROM fx WHERE post_id NOT IN (SELECT post_id FROM fx WHERE is_retweet)")
+
+# -- texts
+register(
+    "m8_keywords", lambda s, d: M.keywords(s.read.parquet(f"{d}/documents.parquet")),
+    """WITH w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents), tf AS (SELECT id, term, count(*) AS tf FROM w GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+x AS (SELECT id, term, round((1 + ln(tf)) * (ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + df)) + 1), 6) AS weight FROM tf JOIN df USING (term))
+SELECT * FROM (SELECT id, term, weight, CAST(row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) AS INTEGER) AS place FROM x) WHERE place <= 5""",
+)
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return docs.join(labels, "doc_id").select("doc_id", "text", F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral").alias("label"))
+
+
+def sentiment_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out metrics of a classifier of the labelled documents."""
+    rows = labelled(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(5)))
+    model = M.train_classifier(rows.where("part > 0").select("text", "label"), 1.0)
+    return M.metrics(M.predict(model, rows.where("part = 0").select("doc_id", "text", "label")))
+
+
+register("m2_sentiment_model", sentiment_metrics)
+register("m6_topics", lambda s, d: M.fit_topics(s.read.parquet(f"{d}/documents.parquet").where("lang = 'en'").select("text"), "en", 8)[1].withColumn("top_terms", F.array_join("top_terms", ",")))
