@@ -85,13 +85,15 @@ def with_arrow(df: DataFrame, inputs: list[Column], make: Callable[..., dict], f
 
     new = T._parse_datatype_string(fields)
     kept = [f for f in df.schema.fields if f.name not in new.names]
-    narrow = df.select(*[df[f"`{f.name}`"] for f in kept], *[c.alias(f"__in{i}") for i, c in enumerate(inputs)])
+    # by number, as mapInArrow can't resolve names with dots
+    narrow = df.select(*[df[f"`{f.name}`"].alias(f"c{i}") for i, f in enumerate(kept)], *[c.alias(f"i{i}") for i, c in enumerate(inputs)])
     n, kinds = len(kept), [(f.name, to_arrow_type(f.dataType)) for f in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = make(*[batch.column(i).to_pylist() for i in range(n, batch.num_columns)])
             columns = [batch.column(i) for i in range(n)] + [pa.array(made[k], t) for k, t in kinds]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:n] + [k for k, _ in kinds])
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
-    return narrow.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in [*kept, *new]]))
+    out = narrow.mapInArrow(run, T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate([*kept, *new])]))
+    return out.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate([*kept, *new])])

@@ -32,6 +32,8 @@ from tidemark.llm._frames import cut, utf8, with_arrow
 from tidemark.llm._text import slices
 
 SAMPLE = 4000
+#: Labelled rows that a language needs to be a class.
+LEAST = 5
 BUCKETS = 1 << 15
 #: Weight of a trigram's log-likelihood; neighbours overlap, so they aren't independent evidence.
 TEXT_WEIGHT = 0.1
@@ -65,6 +67,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     """(classes, log-probabilities) from rows (id, label, t); ``und`` is the last class."""
     labelled = rows.where("label is not null and length(t) > 0")
+    often = labelled.groupBy("label").agg(F.count("*").alias("rows")).where(F.col("rows") >= LEAST).select("label")
+    labelled = labelled.join(often, "label", "left_semi")
     share = min(1.0, SAMPLE / max(1, labelled.count()))
     some = labelled.where(F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
     counts = some.select("label", "t").mapInArrow(_count, "label string, bucket int, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()  # labels x BUCKETS rows
@@ -72,7 +76,7 @@ def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     logs = np.full((len(classes) + 1, BUCKETS), -np.log(BUCKETS), np.float32)
     for i, c in enumerate(classes):
         own = counts[counts["label"] == c]
-        n = np.full(BUCKETS, 0.5)
+        n = np.full(BUCKETS, 0.05)
         n[own["bucket"].to_numpy()] += own["n"].to_numpy()
         logs[i] = np.log(n / n.sum())
     return [*classes, UND], logs
@@ -146,7 +150,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None
     best = lambda c: names[F.array_position(c, F.array_max(c)).cast("int") - 1]
     x = x.withColumn("lang_id", best(F.col("__fused"))).withColumn("confidence", F.round(F.array_max("__fused"), 6)).withColumn("text_lang", best(F.col("__post")))
     x = x.withColumn("kept", F.col("__words") & (F.col("lang_id") != UND) & (F.col("confidence") >= MIN_CONFIDENCE))
-    return x.select(*[c for c in docs.columns if c not in new], *new)
+    return x.select(*[f"`{c}`" for c in docs.columns if c not in new], *new)
 
 
 def documents(docs: DataFrame) -> DataFrame:
@@ -168,4 +172,6 @@ def op5(rows: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows whose language is told with confidence; all columns of docs stay as they are."""
-    return documents(docs).where("kept").select(*docs.columns)
+    # in a struct, as docs may have columns with a result's name
+    kept = documents(docs.withColumn("__kept", F.struct(*[docs[f"`{c}`"] for c in docs.columns]))).where("kept")
+    return kept.select(*[F.col("__kept")[c].alias(c) for c in docs.columns])

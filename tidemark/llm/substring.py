@@ -205,8 +205,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rest = [docs[f"`{c}`"] for c in docs.columns if c not in (*new, text_col)]
     keyed = docs.select(key_or(docs[f"`{id_col}`"]).alias("__k"), F.xxhash64(text).alias("__x"), text.alias("__t"), *rest)
     plain = keyed.select(F.col("__k").alias("k"), F.col("__x").alias("x"), F.col("__t").alias("t"))
-    gone = repeated_spans(plain, length, seed).groupBy("k", "x").agg(F.collect_set(F.struct("st", "en")).alias("__gone"))
-    j = keyed.join(gone, (F.col("__k") == F.col("k")) & (F.col("__x") == F.col("x")), "left").drop("k", "x")
+    gone = repeated_spans(plain, length, seed).groupBy(F.col("k").alias("__gk"), F.col("x").alias("__gx")).agg(F.collect_set(F.struct("st", "en")).alias("__gone"))
+    j = keyed.join(gone, (F.col("__k") == F.col("__gk")) & (F.col("__x") == F.col("__gx")), "left").drop("__gk", "__gx")
     made = with_arrow(j, [F.col("__t"), F.col("__gone")], _remove, "n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
     return made.drop("__k", "__x", "__t", "__gone")
 

@@ -61,11 +61,11 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     asked = asked.withColumn("pattern", F.explode(patterns_of(F.col("host"), F.col("__segment"))))
     hits = asked.join(intervals(entries), "pattern").where("fetched >= since and (until is null or fetched < until)")
     # least of (-length, allow before block, list): the deciding hit
-    best = F.min(F.struct((-F.length("pattern")).alias("l"), "verdict", "list", "pattern")).alias("hit")
+    best = F.min(F.struct((-F.length("pattern")).alias("l"), "verdict", "list", "pattern")).alias("__hit")
     found = hits.groupBy("host", "__segment", "fetched").agg(best)
     j = c.join(found, ["host", "__segment", "fetched"], "left")
-    blocked = F.coalesce(F.col("hit.verdict") == "block", F.lit(False))
-    return j.select(*[x for x in captures.columns if x not in new], "host", blocked.alias("blocked"), F.col("hit.list").alias("list"), F.col("hit.pattern").alias("pattern"))
+    blocked = F.coalesce(F.col("__hit.verdict") == "block", F.lit(False))
+    return j.select(*[f"`{x}`" for x in captures.columns if x not in new], "host", blocked.alias("blocked"), F.col("__hit.list").alias("list"), F.col("__hit.pattern").alias("pattern"))
 
 
 def _digit(host: Column, at: int) -> Column:
