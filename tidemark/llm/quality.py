@@ -131,3 +131,21 @@ def op10(documents: DataFrame, policy: str = "v3") -> DataFrame:
         (F.col("fail_bits").bitwiseAND(F.lit(BASE)) != 0).alias("base_failed"),
         verdict(policy).alias("kept"), "fail_bits", F.lit(policy).alias("policy"),
     )
+
+
+#: The same rows from any SQL engine, with every word as a row; small tables only.
+SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+tri AS (SELECT doc_id, s, array_to_string(w[s : s + 2], ' ') AS k FROM d, unnest(generate_series(1, len(w) - 2)) AS u(s)),
+rep AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, k) AS n FROM tri) WHERE n > 1),
+cov AS (SELECT doc_id, count(DISTINCT s + i) AS n FROM rep, unnest([0, 1, 2]) AS v(i) GROUP BY doc_id),
+line AS (SELECT doc_id, l FROM d, unnest(string_split(t, chr(10))) AS v(l) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n FROM line GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id)),
+b AS (SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+  + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 4 ELSE 0 END + CASE WHEN 10 * n_symbols > 3 * n_words THEN 8 ELSE 0 END
+  + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 16 ELSE 0 END AS BIGINT) AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits, 'v3' AS policy FROM b
+"""

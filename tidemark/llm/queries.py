@@ -35,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_substring_dedup": substring.SQL,
         "op6_temporal_url_lists": urlfilter.SQL,
         "op7_jaccard_join": jaccard.SQL,
+        "op10_rule_ledger": quality.SQL,
     }
