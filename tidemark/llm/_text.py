@@ -88,14 +88,15 @@ class Words:
         return out
 
 
-def slices(texts: list[bytes], limit: int = 2 * SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs [i, j) of texts with about ``limit`` bytes together; a longer text stands alone."""
+def slices(texts, limit: int = 2 * SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) of texts (a list or an Arrow array) with about ``limit`` bytes together; a longer text stands alone."""
     i = size = 0
     for j, t in enumerate(texts):
-        if j > i and size + len(t) > limit:
+        n = len(t) if isinstance(t, bytes) else t.as_buffer().size
+        if j > i and size + n > limit:
             yield i, j
             i, size = j, 0
-        size += len(t)
+        size += n
     if i < len(texts):
         yield i, len(texts)
 

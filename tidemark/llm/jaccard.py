@@ -4,24 +4,24 @@ A document's tokens are the hashes of its distinct n-word shingles.  Two documen
 similarity of at least t share a token among the first floor((1 - t) n) + 1 of each under any
 global order of tokens, and in fact many of them; so a pair must pass under every order used.
 
-Orders: frequent tokens last (by a list of heavy tokens, of bounded size), then by a hash that
-differs from order to order.  Under the first order the prefixes are joined token by token; pairs
-then need enough common prefix tokens under the second order before any text is compared.
+Orders: the first puts a fixed POOL share of all tokens (by hash) in front, those in few documents
+first, so that most prefixes hold tokens of one document only, which need no join; the rest follow by hash.  The second
+order is by another hash.  Under the first order the prefixes are joined token by token; pairs then
+need enough common prefix tokens under the second order before any text is compared.
 
 Only components are wanted, so pairs within one component are never formed.  Where more than
 ``SMALL`` members of a token group are outside its largest component, the group isn't paired up: all its
 members are compared with one of them, the hub (the one with the fewest rarer tokens).  Those that
 link to it become one component.  For others a counting argument holds: x links to y, not both
-linked to the hub, only if both differ from the hub in a common token, and one among the first
-n_y / 9 + 1 of the difference under an order that puts the hub's own tokens last.  So the group is
+linked to the hub, only if both differ from the hub in common tokens, and in one among a prefix of the difference
+under an order that puts the hub's own tokens last and rare ones first.  So the group is
 dealt anew by hub and differing token; what is still large after ``LEVELS`` rounds is paired up.
 
 Linked documents get the least id of their component.  Equal token sets link without comparison.
 
 Edge cases: a null or empty text has no tokens and links with nothing; fewer words than n make one
-shingle; rows that repeat an id are one document with several texts, which links if any of them
-does; null ids are one document before all others, whose component id is null; an empty table gives
-an empty result.
+shingle; rows that repeat an id are compared row by row, like any others; null ids come before all
+ids, a component with one has a null id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._frames import cut, key_or, utf8
@@ -38,11 +38,13 @@ from tidemark.llm._text import U64, Words, inside, mix, ngrams, signed, slices
 from tidemark.llm.components import components
 
 #: Members of a token group that may be paired with each other.
-SMALL = 24
+SMALL = 32
 #: How often a large group is dealt anew before what is left of it is paired up.
-LEVELS = 3
-#: A token is heavy from this share of documents on; there are at most (tokens a document) / HEAVY such.
-HEAVY = 0.002
+LEVELS = 2
+#: The share of tokens whose numbers of documents are counted for the first order.
+POOL = 0.15
+#: Bits of the filter that spares most texts without candidates a shuffle; a fixed size, and only a filter.
+FILTER_BITS = 1 << 27
 NONE = -(1 << 63)
 
 
@@ -67,98 +69,68 @@ def token_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return tok, np.searchsorted(own, np.arange(len(texts) + 1))
 
 
-def _heavy_in(n: int):
-    """Tokens that are frequent within a slice of texts; every heavy token is so somewhere."""
+def order_key(tok: np.ndarray, which: int) -> np.ndarray:
+    """The place of tokens in the hash order number ``which``."""
+    return mix(tok + U64(0x9E3779B97F4A7C15 * (which + 1) % (1 << 64)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for i, j in slices(texts, 1 << 23):
-                tok, _ = token_sets(texts[i:j], n)
-                tok, count = np.unique(tok, return_counts=True)
-                often = count >= max(4, np.ceil(HEAVY * (j - i)))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(tok[often])), pa.array(count[often].astype(np.int64))], names=["token", "n"])
-
-    return run
 
+def prefix(key: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, first) of each text's tokens with the least keys, as many as ``lengths`` says."""
+    sizes = np.diff(first)
+    order = np.lexsort((key, np.repeat(np.arange(len(sizes)), sizes)))
+    take = np.minimum(sizes, lengths)
+    rank = np.arange(len(key)) - np.repeat(first[:-1], sizes)
+    return order[rank < np.repeat(take, sizes)], np.concatenate(([0], np.cumsum(take)))
 
-class Order:
-    """The global orders: by class of frequency, then by a hash of the order's own."""
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
-        by = np.argsort(tokens)
-        self.tokens, self.rank = tokens[by], np.minimum(np.log2(counts[by]).astype(U64) + U64(1), U64(63))
+_SIGN = "k bigint, x bigint, n bigint, d1 bigint, d2 bigint, pooled int, p1 array<bigint>, p2 array<int>"
 
-    def key(self, tok: np.ndarray, which: int) -> np.ndarray:
-        key = mix(tok + U64(0x9E3779B97F4A7C15 * which % (1 << 64))) >> U64(7)
-        if len(self.tokens):
-            at = np.minimum(np.searchsorted(self.tokens, tok), len(self.tokens) - 1)
-            key |= np.where(self.tokens[at] == tok, self.rank[at], U64(0)) << U64(57)
-        return key
 
-    def prefix(self, tok: np.ndarray, first: np.ndarray, lengths: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, first) of each text's least tokens, as many as ``lengths`` says."""
-        sizes = np.diff(first)
-        order = np.lexsort((self.key(tok, which), np.repeat(np.arange(len(sizes)), sizes)))
-        take = np.minimum(sizes, lengths)
-        rank = np.arange(len(tok)) - np.repeat(first[:-1], sizes)
-        return order[rank < np.repeat(take, sizes)], np.concatenate(([0], np.cumsum(take)))
+def _sign(n: int, percent: int):
+    limit = U64(int(POOL * 2**64))
 
-
-_SIGN = "k bigint, n bigint, d1 bigint, d2 bigint, copy boolean, p1 array<bigint>, p2 array<int>"
-
-
-def _sign(n: int, percent: int, heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Order(*heavy.value)
         for b in batches:
-            k, texts, seen = b.column(0), b.column(1).to_pylist(), {}
-            size, d1, d2, copy, lists = [], [], [], [], ([], [])
+            texts, seen = b.column(2).to_pylist(), set()
+            columns, lists = [[] for _ in range(4)], ([], [])
             for i, j in slices(texts):
                 tok, first = token_sets(texts[i:j], n)
                 sizes = np.diff(first)
                 sums = [np.concatenate((np.zeros(1, U64), np.cumsum(mix(tok ^ U64(c)))))[first] for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-                a, c = (np.diff(s) for s in sums)
-                twin = np.zeros(j - i, bool)  # the batch has an equal set already
-                for m, t in enumerate(zip(a.tolist(), c.tolist(), sizes.tolist(), strict=True)):
-                    twin[m] = seen.setdefault(t, i + m) != i + m
-                length = np.where(twin, 0, (100 - percent) * sizes // 100 + 1)
-                for which, cast in ((0, np.uint64), (1, np.uint32)):
-                    at, bounds = order.prefix(tok, first, length, which)
-                    value = tok[at] if which == 0 else (mix(tok[at]) >> U64(32)).astype(cast)
-                    value = signed(value) if which == 0 else value.view(np.int32)
-                    lists[which].append((value, np.diff(bounds)))
-                size.append(sizes), d1.append(signed(a)), d2.append(signed(c)), copy.append(twin)
-            arrays = [k, *[pa.array(np.concatenate(x)) for x in (size, d1, d2, copy)]]
+                d1, d2 = (np.diff(x) for x in sums)
+                copy = np.zeros(j - i, bool)  # the batch has an equal set already
+                for m, t in enumerate(zip(d1.tolist(), d2.tolist(), sizes.tolist(), strict=True)):
+                    copy[m] = t in seen
+                    seen.add(t)
+                length = np.where(copy, 0, (100 - percent) * sizes // 100 + 1)
+                key = order_key(tok, 0)
+                inner = np.concatenate(([0], np.cumsum(key < limit)))[first]
+                pooled = np.where(copy, 0, np.diff(inner))
+                at, bounds = prefix(key, first, np.where(copy, 0, np.maximum(pooled, length)))
+                lists[0].append((signed(tok[at]), np.diff(bounds)))
+                at, bounds = prefix(order_key(tok, 1), first, length)
+                lists[1].append(((mix(tok[at]) >> U64(32)).astype(np.uint32).view(np.int32), np.diff(bounds)))
+                for column, v in zip(columns, (sizes, signed(d1), signed(d2), pooled.astype(np.int32)), strict=True):
+                    column.append(v)
+            arrays = [b.column(0), b.column(1), *[pa.array(np.concatenate(c)) for c in columns]]
             for parts, kind in zip(lists, (pa.int64(), pa.int32()), strict=True):
-                ends = np.concatenate(([0], np.cumsum(np.concatenate([p[1] for p in parts])))).astype(np.int32)
-                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([p[0] for p in parts]), kind)))
-            yield pa.RecordBatch.from_arrays(arrays, names=["k", "n", "d1", "d2", "copy", "p1", "p2"])
+                ends = np.concatenate(([0], np.cumsum(np.concatenate([q[1] for q in parts])))).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([q[0] for q in parts]), kind)))
+            yield pa.RecordBatch.from_arrays(arrays, names=["k", "x", "n", "d1", "d2", "pooled", "p1", "p2"])
 
     return run
 
 
-def _compare(n: int, percent: int, heavy, deltas: bool):
+def _compare(n: int, percent: int, deltas: bool):
     """Over rows (a, b, ta, tb): links by exact comparison; with ``deltas`` the groups to deal b to next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Order(*heavy.value)
         for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            ta, tb = batch.column(2), batch.column(3)
-            size = 0
-            begin, out = 0, ([], [], [], [])
-            cuts = []
-            lengths = np.diff(np.frombuffer(tb.buffers()[1], np.int32)[tb.offset : tb.offset + len(tb) + 1])
-            for m, s in enumerate(lengths.tolist()):
-                if m > begin and size + s > 1 << 21:
-                    cuts.append((begin, m))
-                    begin, size = m, 0
-                size += s
-            cuts.append((begin, len(a)))
-            for i, j in cuts:
+            a, b, ta, tb = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), batch.column(3)
+            out = ([], [], [], [], [])
+            for i, j in slices(tb):
                 hubs: dict[bytes, int] = {}
-                hub = np.array([hubs.setdefault(ta[m].as_py(), len(hubs)) for m in range(i, j)])
+                hub = [hubs.setdefault(ta[m].as_py(), len(hubs)) for m in range(i, j)]
                 atok, afirst = token_sets(list(hubs), n)
                 btok, bfirst = token_sets([tb[m].as_py() for m in range(i, j)], n)
                 for m in range(j - i):
@@ -170,62 +142,98 @@ def _compare(n: int, percent: int, heavy, deltas: bool):
                     same = every[1:] == every[:-1]
                     common = int(same.sum())
                     linked = 100 * common >= percent * (len(x) + len(y) - common)
-                    row = np.zeros(0, np.int64)
+                    row, own = np.zeros(0, np.int64), 0
                     if deltas:
                         alone = np.ones(len(every), bool)
                         alone[1:] &= ~same
                         alone[:-1] &= ~same
                         d = every[alone]
-                        # another text that links to y differs from it in at most so many tokens
-                        length = len(y) * (100 - percent) // percent + 1
-                        key = order.key(d, 0) | np.where(np.isin(d, x, assume_unique=True), U64(1 << 63), U64(0))
-                        at = np.argsort(key)[:length]
-                        row = signed(mix(d[at] ^ mix(np.bitwise_xor.reduce(mix(x)) + U64(int(a[i + m]) % (1 << 64)))))
+                        of_hub = np.isin(d, x, assume_unique=True)
+                        own = int((~of_hub).sum())
+                        row = signed(mix(np.concatenate((d[~of_hub], d[of_hub])) ^ mix(np.array([a[i + m]]).view(U64))))
                     if linked or deltas:
-                        for o, v in zip(out, (int(a[i + m]), int(b[i + m]), linked, row), strict=True):
+                        for o, v in zip(out, (int(a[i + m]), int(b[i + m]), linked, row, own), strict=True):
                             o.append(v)
             ends = np.concatenate(([0], np.cumsum([len(r) for r in out[3]]))).astype(np.int32)
             flat = np.concatenate(out[3]) if out[3] else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))],
-                names=["a", "b", "linked", "next"],
+                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())), pa.array(out[4], pa.int32())],
+                names=["a", "b", "linked", "next", "own"],
             )
 
     return run
 
 
-_FOUND = "a bigint, b bigint, linked boolean, next array<bigint>"
+_FOUND = "a bigint, b bigint, linked boolean, next array<bigint>, own int"
+
 
+def _place(k: Column) -> Column:
+    return F.pmod(F.xxhash64(k), F.lit(FILTER_BITS))
 
-def _texts_of(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
-    b = keyed.select(F.col("k").alias("b"), F.col("t").alias("tb"))
-    a = keyed.select(F.col("k").alias("a"), F.col("t").alias("ta"))
+
+def _texts_for(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(r, t) for the rows (r, k, x) of ``wanted``."""
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(k), {FILTER_BITS}) % 64 as int))")
+    words = wanted.groupBy(F.floor(_place(F.col("k")) / 64).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()  # FILTER_BITS / 64 rows at most
+    bits = np.zeros(FILTER_BITS >> 6, np.int64)
+    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    shared = keyed.sparkSession.sparkContext.broadcast(bits.view(U64))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(3).to_numpy()
+            keep = (shared.value[at >> 6] >> (at & 63).astype(U64)) & U64(1) == 1
+            yield b.filter(pa.array(keep)).select([0, 1, 2])
+
+    some = keyed.select("k", "x", "t", _place(F.col("k")).alias("place")).mapInArrow(likely, "k bigint, x bigint, t binary")
+    return some.join(wanted, ["k", "x"]).groupBy("r").agg(F.first("t").alias("t"))
+
+
+def _pair_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    b = texts.select(F.col("r").alias("b"), F.col("t").alias("tb"))
+    a = texts.select(F.col("r").alias("a"), F.col("t").alias("ta"))
     return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
 
 
+def _first_groups(signs: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
+    """(token, k, n, pos): the prefixes under the first order, as far as others may share their tokens."""
+    rows = signs.where("n > 0").select("r", "n", "pooled", F.posexplode("p1").alias("at", "token"))
+    part = F.expr("cast(shiftright(token, 32) as int)")  # counts by half of the token's bits: a rule like any other
+    often = rows.groupBy(part.alias("part")).agg(F.count("*").alias("df")).where("df > 1")
+    rows = rows.withColumn("part", part).join(often, "part").join(copies, "r", "left_anti")
+    rows = rows.withColumn("late", F.col("at") >= F.col("pooled"))
+    own = Window.partitionBy("r", "late")
+    before = F.col("pooled") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")) - 1
+    rows = rows.withColumn("pos", F.when(F.col("late"), F.col("at")).otherwise(before).cast("int"))
+    return rows.where(F.col("pos") <= F.floor((100 - percent) * F.col("n") / 100)).select("token", F.col("r").alias("k"), "n", "pos")
+
+
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
-    """(k, n_shingles, component) per row of docs; k and component are ids, null as the least bigint."""
-    spark = docs.sparkSession
-    keyed = docs.select(key_or(docs[f"`{id_col}`"]).alias("k"), F.coalesce(utf8(docs[f"`{text_col}`"]), F.lit(b"")).alias("t"))
-
-    often = keyed.select("t").mapInArrow(_heavy_in(n), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    total = keyed.count()
-    listed = often.where(F.col("n") >= max(4.0, HEAVY * total)).toPandas()  # at most (mean set size) / HEAVY rows
-    heavy = spark.sparkContext.broadcast((listed["token"].to_numpy(np.int64).view(U64), listed["n"].to_numpy(np.float64)))
-
-    signed_docs = cut(keyed.mapInArrow(_sign(n, percent, heavy), _SIGN), "signatures")
-    some = signed_docs.where("n > 0").select("k", "d1", "d2", "n")
-    whole = cut(some.groupBy("d1", "d2", "n").agg(F.min("k").alias("first"), F.count("*").alias("rows")).where("rows > 1"), "copies")
-    twins = some.join(whole, ["d1", "d2", "n"]).where("k <> first").select(F.col("first").alias("a"), F.col("k").alias("b"))
-    links = cut(twins, "twins")
-    label = components(links)
-
-    rows = signed_docs.where("n > 0 and not copy").select(F.posexplode("p1").alias("pos", "token"), "k", "n")
-    pairs = None
+    """(k, x, n_shingles, component) per row of docs: its id and text hash, its tokens and the least id it reaches.
+
+    Null ids are the least bigint.
+    """
+    text = F.coalesce(utf8(docs[f"`{text_col}`"]), F.lit(b""))
+    keyed = docs.select(key_or(docs[f"`{id_col}`"]).alias("k"), F.xxhash64(text).alias("x"), text.alias("t"))
+    signs = cut(keyed.mapInArrow(_sign(n, percent), _SIGN).withColumn("r", F.monotonically_increasing_id()), "signatures")
+    narrow = cut(signs.select("r", "k", "x", "n", "d1", "d2"), "rows")
+    whole = narrow.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("r").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    twins = narrow.join(whole.select("d1", "d2", "n", "first"), ["d1", "d2", "n"]).where("r <> first")
+    links = cut(twins.select(F.col("first").alias("a"), F.col("r").alias("b")), "twins")
+
+    rows = cut(_first_groups(signs, links.select(F.col("b").alias("r")), percent), "prefixes")
+    wanted = rows.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
+    rows = cut(rows.join(wanted, "token"), "prefixes")
+    wanted = rows.select(F.col("k").alias("r")).distinct().join(narrow.select("r", "k", "x"), "r")
+    texts = cut(_texts_for(keyed, wanted), "texts")
+    label, pairs = None, None
     for level in range(LEVELS + 1):
-        shared = rows.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
-        group = rows.join(shared.select("token"), "token").join(label, F.col("k") == F.col("v"), "left")
-        group = cut(group.select("token", "k", "n", "pos", F.coalesce("label", "k").alias("c")), "groups")
+        if label is None:
+            group = rows.withColumn("c", F.col("k"))
+        else:
+            shared = rows.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
+            group = rows.join(shared, "token").join(label, F.col("k") == F.col("v"), "left").select("token", "k", "n", "pos", F.coalesce("label", "k").alias("c"))
+            group = cut(group, "groups")
         by = group.groupBy("token", "c").agg(F.count("*").alias("m"), F.min(F.struct("pos", "k")).alias("hub"))
         by = by.groupBy("token").agg(F.max(F.struct("m", "c")).alias("main"), F.sum("m").alias("members"), F.min("hub").alias("hub"))
         # members outside the group's largest component; all pairs across components have one
@@ -243,28 +251,35 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         if last or large.isEmpty():
             break
         star = large.where("k <> hub").groupBy(F.col("hub").alias("a"), F.col("k").alias("b")).agg(F.max("n").alias("n"))
-        found = cut(_texts_of(star, keyed).mapInArrow(_compare(n, percent, heavy, True), _FOUND), "stars")
+        found = cut(_pair_texts(star, texts).mapInArrow(_compare(n, percent, True), _FOUND), "stars")
         links = links.unionByName(found.where("linked").select("a", "b"))
         label = components(links)
-        sizes = star.groupBy(F.col("b").alias("v")).agg(F.max("n").alias("n"))
-        dealt = found.select("b", F.posexplode("next").alias("pos", "token"))
-        rows = dealt.join(sizes, F.col("b") == F.col("v")).groupBy("token", F.col("b").alias("k")).agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
-        rows = cut(rows, "dealt")
-
-    # the second order, before texts are read
-    pre = signed_docs.where("not copy").select("k", "n", "p2")
-    pa_, pb_ = (pre.select(F.col("k").alias(c), F.col("n").alias(f"m{c}"), F.col("p2").alias(f"p{c}")) for c in "ab")
-    q = pairs.select("a", "b").distinct().join(pb_, "b").join(pa_, "a")
+        # hubs that all link to need no more; of a difference from another hub, the prefix is dealt out
+        open_ = found.where("not linked").select("a").distinct()
+        dealt = found.join(open_, "a", "left_semi").select("a", "b", "own", "linked", F.size("next").alias("size"), F.posexplode("next").alias("at", "token")).join(star, ["a", "b"])
+        dealt = dealt.join(dealt.groupBy("token").agg(F.count("*").alias("df")), "token")
+        rank = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.col("at") >= F.col("own"), "df", "token")) - 1
+        # b shares all but (1 - t) n / t of its difference with what it links to; if it links to the hub, a share of t / 2
+        apart = F.when(F.col("linked"), F.col("size") - F.ceil(percent * F.col("size") / 200)).otherwise(F.floor((100 - percent) * F.col("n") / percent))
+        dealt = dealt.withColumn("pos", rank).where((F.col("pos") <= apart) & (F.col("df") > 1))
+        rows = cut(dealt.groupBy("token", F.col("b").alias("k")).agg(F.max("n").alias("n"), F.min("pos").alias("pos")), "dealt")
+
+    # the second order, before texts are compared
+    pairs = pairs.distinct()
+    pre = signs.join(pairs.select(F.col("a").alias("r")).union(pairs.select("b")).distinct(), "r", "left_semi").select("r", "n", "p2")
+    pre_a, pre_b = (pre.select(F.col("r").alias(c), F.col("n").alias(f"m{c}"), F.col("p2").alias(f"p{c}")) for c in "ab")
+    q = pairs.join(pre_b, "b").join(pre_a, "a")
     length = lambda c: F.floor((100 - percent) * F.col(c) / 100) + 1
     need = F.ceil(percent * (F.col("ma") + F.col("mb")) / (100 + percent) - 1e-9)
     least = F.greatest(F.lit(1), F.least(need - F.col("ma") + length("ma"), need - F.col("mb") + length("mb")))
     hidden = length("ma") - F.size(F.array_distinct("pa")) + length("mb") - F.size(F.array_distinct("pb"))
-    q = q.where(F.size(F.array_intersect("pa", "pb")) + hidden >= least).select("a", "b").distinct()
-    checked = cut(_texts_of(q, keyed).mapInArrow(_compare(n, percent, heavy, False), _FOUND), "links").where("linked").select("a", "b")
+    q = q.where(F.size(F.array_intersect("pa", "pb")) + hidden >= least).select("a", "b")
+    checked = cut(_pair_texts(q, texts).mapInArrow(_compare(n, percent, False), _FOUND), "links").where("linked").select("a", "b")
 
     label = components(checked.unionByName(links))
-    out = signed_docs.select("k", F.col("n").alias("n_shingles")).join(label, F.col("k") == F.col("v"), "left")
-    return out.select("k", "n_shingles", F.coalesce("label", "k").alias("component"))
+    least_id = label.join(narrow.select("r", "k"), F.col("v") == F.col("r")).groupBy(F.col("label").alias("l")).agg(F.min("k").alias("component"))
+    out = narrow.join(label, F.col("r") == F.col("v"), "left").join(least_id, F.col("label") == F.col("l"), "left")
+    return out.select("k", "x", F.col("n").alias("n_shingles"), F.coalesce("component", "k").alias("component"))
 
 
 def op7(documents: DataFrame) -> DataFrame:
@@ -274,9 +289,16 @@ def op7(documents: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those whose component has a smaller id; all columns stay."""
-    found = similarity_components(docs, n=n, percent=percent).where("k <> component").select("k").distinct()
-    return docs.join(found, key_or(docs["doc_id"]) == F.col("k"), "left_anti")
+    """docs with one row of each component: the one with the least id, then text hash; all columns stay.
+
+    Equal rows of the same id stay or go together.
+    """
+    found = similarity_components(docs, n=n, percent=percent).where("n_shingles > 0")
+    # of the rows with a component's least id one text stays
+    stay = found.where("k = component").groupBy("component").agg(F.min("x").alias("stays"))
+    gone = found.join(stay, "component").where("k <> component or x <> stays").select(F.col("k").alias("__gk"), F.col("x").alias("__gx")).distinct()
+    keyed = docs.withColumn("__k", key_or(docs["doc_id"])).withColumn("__x", F.xxhash64(F.coalesce(utf8(docs["text"]), F.lit(b""))))
+    return keyed.join(gone, (F.col("__k") == F.col("__gk")) & (F.col("__x") == F.col("__gx")), "left_anti").drop("__k", "__x")
 
 
 #: Links by shared shingles, components by recursion; small tables only.
