@@ -4,7 +4,7 @@ A document's tokens are the hashes of its distinct n-word shingles.  Two documen
 similarity of at least t share a token among the first floor((1 - t) n) + 1 of each under any
 global order of tokens, and in fact many of them; so a pair must pass under every order used.
 
-Orders: the first puts a fixed POOL share of all tokens (by hash) in front, those in few documents
+Orders: the first puts a fixed share of all tokens (by hash) in front, those in few documents
 first, so that most prefixes hold tokens of one document only, which need no join; the rest follow by hash.  The second
 order is by another hash.  Under the first order the prefixes are joined token by token; pairs then
 need enough common prefix tokens under the second order before any text is compared.
@@ -41,8 +41,8 @@ from tidemark.llm.components import components
 SMALL = 32
 #: How often a large group is dealt anew before what is left of it is paired up.
 LEVELS = 2
-#: The share of tokens whose numbers of documents are counted for the first order.
-POOL = 0.15
+#: Tokens whose numbers of documents are counted for the first order: this many times the share of a prefix.
+POOL = 1.25
 #: Bits of the filter that spares most texts without candidates a shuffle; a fixed size, and only a filter.
 FILTER_BITS = 1 << 27
 NONE = -(1 << 63)
@@ -87,7 +87,7 @@ _SIGN = "k bigint, x bigint, n bigint, d1 bigint, d2 bigint, pooled int, p1 arra
 
 
 def _sign(n: int, percent: int):
-    limit = U64(int(POOL * 2**64))
+    limit = U64(int(min(0.99, POOL * (100 - percent) / 100) * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -232,7 +232,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
             group = rows.withColumn("c", F.col("k"))
         else:
             shared = rows.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
-            group = rows.join(shared, "token").join(label, F.col("k") == F.col("v"), "left").select("token", "k", "n", "pos", F.coalesce("label", "k").alias("c"))
+            group = rows.join(shared, "token").join(label, F.col("k") == F.col("v"), "left").select("token", "k", "n", "pos", F.coalesce("label", "k").alias("c"), "hub_of", "size", "kept")
             group = cut(group, "groups")
         by = group.groupBy("token", "c").agg(F.count("*").alias("m"), F.min(F.struct("pos", "k")).alias("hub"))
         by = by.groupBy("token").agg(F.max(F.struct("m", "c")).alias("main"), F.sum("m").alias("members"), F.min("hub").alias("hub"))
@@ -241,10 +241,19 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         group = cut(group.join(by, "token"), "groups")
         last = level == LEVELS
         small = group if last else group.where(F.col("others") <= SMALL)
-        x = small.where("c <> main").select("token", F.col("k").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        y = small.select("token", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+        far = ["hub_of", "size", "kept"] if last else []
+        x = small.where("c <> main").select("token", "main", F.col("k").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), *[F.col(c).alias(f"a_{c}") for c in far])
+        y = small.select("token", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), *[F.col(c).alias(f"b_{c}") for c in far])
         near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-        p = x.join(y, "token").where((F.col("ca") != F.col("cb")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))  # two outsiders meet once
+        p = x.join(y, "token").where((F.col("ca") != F.col("cb")) & near & once)
+        if last:
+            # all groups are paired here, so the common part of two differences can be counted
+            most = F.floor((100 - percent) * F.least("na", "nb") / percent)
+            common = F.ceil((F.col("a_size") + F.col("b_size") - most) / 2)
+            enough = F.least(common - F.col("a_size") + F.col("a_kept"), common - F.col("b_size") + F.col("b_kept"))
+            p = p.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "a_hub_of").agg(F.count("*").alias("met"), F.first(enough).alias("enough")).where("met >= enough")
+        p = p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         p = cut(p, "pairs")
         pairs = p if pairs is None else pairs.unionByName(p)
         large = group.where(F.col("others") > SMALL)
@@ -262,7 +271,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         # b shares all but (1 - t) n / t of its difference with what it links to; if it links to the hub, a share of t / 2
         apart = F.when(F.col("linked"), F.col("size") - F.ceil(percent * F.col("size") / 200)).otherwise(F.floor((100 - percent) * F.col("n") / percent))
         dealt = dealt.withColumn("pos", rank).where((F.col("pos") <= apart) & (F.col("df") > 1))
-        rows = cut(dealt.groupBy("token", F.col("b").alias("k")).agg(F.max("n").alias("n"), F.min("pos").alias("pos")), "dealt")
+        rows = dealt.select("token", F.col("b").alias("k"), "n", "pos", F.col("a").alias("hub_of"), "size", F.least(F.col("size"), apart + 1).alias("kept"))
+        rows = cut(rows, "dealt")
 
     # the second order, before texts are compared
     pairs = pairs.distinct()
