@@ -60,7 +60,7 @@ def normalise(raw: DataFrame, profile: str = "generic", source: str = "upload",
     d = d.withColumn("created", X.timestamp(c("created_at"), at, epoch=profile == "generic"))
     d = d.withColumn("reason", reason(c("post_id"), c("text"), F.col("created"), F.col("parse_error")))
     d = d.withColumn("body", X.unescape(F.coalesce(c("text"), F.lit(""))))
-    given = F.filter(F.transform(F.coalesce(F.from_json(c("hashtags"), "array<string>"), F.array().cast("array<string>")), lambda t: X.strip(F.lower(F.ltrim(F.lit("#"), t)))), lambda t: t != "")
+    given = F.filter(F.transform(F.coalesce(F.from_json(c("hashtags"), "array<string>"), F.array().cast("array<string>")), lambda t: X.strip(F.lower(F.regexp_replace(t, "^#+", "")))), lambda t: t != "")
     d = d.withColumn("clean", X.clean(F.col("body"))).withColumn("tags", F.array_distinct(F.concat(X.hashtags(F.col("body")), given)))
     d = d.withColumn("handles", X.mentions(F.col("body"))).withColumn("urls", X.url_count(F.col("body")))
     kind = F.upper(F.coalesce(X.strip(c("kind")), F.lit("")))
