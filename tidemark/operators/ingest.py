@@ -32,7 +32,7 @@ RAW_PROFILE = {
     "user_id": ("alt_external_id", "external_author_id"), "username": ("author",), "followers": ("followers",), "following": ("following",), "updates": ("updates",),
     "account_category": ("account_category",), "account_type": ("account_type",), "is_retweet": ("retweet",), "kind": ("post_type",),
 }
-PROFILES = {"generic": ALIASES, "ira538": RAW_PROFILE}
+PROFILES = {"generic": ALIASES, "raw": RAW_PROFILE}
 
 
 def _fields(rec: Column, profile: str) -> dict[str, Column]:
