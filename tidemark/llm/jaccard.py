@@ -241,19 +241,24 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         group = cut(group.join(by, "token"), "groups")
         last = level == LEVELS
         small = group if last else group.where(F.col("others") <= SMALL)
-        far = ["hub_of", "size", "kept"] if last else []
+        far = ["pos"] if label is None else ["pos", "hub_of", "size", "kept"]
         x = small.where("c <> main").select("token", "main", F.col("k").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), *[F.col(c).alias(f"a_{c}") for c in far])
         y = small.select("token", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), *[F.col(c).alias(f"b_{c}") for c in far])
         near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
         once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))  # two outsiders meet once
         p = x.join(y, "token").where((F.col("ca") != F.col("cb")) & near & once)
+        # the first common token of two that link has at least as many tokens after it as they must share
+        if label is None:
+            common, a_size, b_size = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9), F.col("na"), F.col("nb")
+        else:
+            most = F.floor((100 - percent) * F.least("na", "nb") / percent)
+            common, a_size, b_size = F.ceil((F.col("a_size") + F.col("b_size") - most) / 2), F.col("a_size"), F.col("b_size")
+        p = p.withColumn("fits", F.least(a_size - F.col("a_pos"), b_size - F.col("b_pos")) >= common)
         if last:
             # all groups are paired here, so the common part of two differences can be counted
-            most = F.floor((100 - percent) * F.least("na", "nb") / percent)
-            common = F.ceil((F.col("a_size") + F.col("b_size") - most) / 2)
             enough = F.least(common - F.col("a_size") + F.col("a_kept"), common - F.col("b_size") + F.col("b_kept"))
-            p = p.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "a_hub_of").agg(F.count("*").alias("met"), F.first(enough).alias("enough")).where("met >= enough")
-        p = p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            p = p.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "a_hub_of").agg(F.count("*").alias("met"), F.first(enough).alias("enough"), F.max("fits").alias("fits")).where("met >= enough")
+        p = p.where("fits").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         p = cut(p, "pairs")
         pairs = p if pairs is None else pairs.unionByName(p)
         large = group.where(F.col("others") > SMALL)
