@@ -42,6 +42,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_bucket(df: DataFrame, name: str, column: str, then: Callable[[DataFrame], DataFrame] = lambda dealt: dealt) -> DataFrame:
+    """Like cut(), but dealt to as many buckets as shuffles have partitions: joins on ``column`` move only the other side.
+
+    ``then`` may work on the dealt rows by that column, without another shuffle.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = f"tidemark_{name}_{uuid.uuid4().hex}"
+    then(df.repartition(n, column)).write.bucketBy(n, column).option("path", new_path(spark, name)).saveAsTable(made, format="parquet")
+    return spark.table(made)
+
+
 def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes tables that cut() wrote, once nothing reads them any more."""
     jvm = spark.sparkContext._jvm

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._frames import cut, key_or, utf8
+from tidemark.llm._frames import by_bucket, cut, drop_tables, key_or, utf8
 from tidemark.llm._text import U64, Words, inside, mix, ngrams, signed, slices
 from tidemark.llm.components import components
 
@@ -127,7 +127,7 @@ def _compare(n: int, percent: int, deltas: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, ta, tb = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), batch.column(3)
-            out = ([], [], [], [], [])
+            out = ([], [], [], [], [], [])
             for i, j in slices(tb):
                 hubs: dict[bytes, int] = {}
                 hub = [hubs.setdefault(ta[m].as_py(), len(hubs)) for m in range(i, j)]
@@ -152,19 +152,19 @@ def _compare(n: int, percent: int, deltas: bool):
                         own = int((~of_hub).sum())
                         row = signed(mix(np.concatenate((d[~of_hub], d[of_hub])) ^ mix(np.array([a[i + m]]).view(U64))))
                     if linked or deltas:
-                        for o, v in zip(out, (int(a[i + m]), int(b[i + m]), linked, row, own), strict=True):
+                        for o, v in zip(out, (int(a[i + m]), int(b[i + m]), linked, row, own, len(y)), strict=True):
                             o.append(v)
             ends = np.concatenate(([0], np.cumsum([len(r) for r in out[3]]))).astype(np.int32)
             flat = np.concatenate(out[3]) if out[3] else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())), pa.array(out[4], pa.int32())],
-                names=["a", "b", "linked", "next", "own"],
+                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())), pa.array(out[4], pa.int32()), pa.array(out[5], pa.int64())],
+                names=["a", "b", "linked", "next", "own", "n"],
             )
 
     return run
 
 
-_FOUND = "a bigint, b bigint, linked boolean, next array<bigint>, own int"
+_FOUND = "a bigint, b bigint, linked boolean, next array<bigint>, own int, n bigint"
 
 
 def _place(k: Column) -> Column:
@@ -186,12 +186,15 @@ def _texts_for(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
             yield b.filter(pa.array(keep)).select([0, 1, 2])
 
     some = keyed.select("k", "x", "t", _place(F.col("k")).alias("place")).mapInArrow(likely, "k bigint, x bigint, t binary")
-    return some.join(wanted, ["k", "x"]).groupBy("r").agg(F.first("t").alias("t"))
+    found = some.join(wanted, ["k", "x"])
+    return by_bucket(found, "texts", "r", lambda dealt: dealt.groupBy("r").agg(F.first("t").alias("t")))
 
 
 def _pair_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, ta, tb) for pairs (a, b): only the pairs and the texts in them move, as ``texts`` lies in buckets."""
     b = texts.select(F.col("r").alias("b"), F.col("t").alias("tb"))
-    a = texts.select(F.col("r").alias("a"), F.col("t").alias("ta"))
+    # written, as a hub's pairs can be split among tasks only if both sides are dealt out anew
+    a = cut(texts.join(pairs.select(F.col("a").alias("r")).distinct(), "r", "left_semi").select(F.col("r").alias("a"), F.col("t").alias("ta")), "hubs")
     return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
 
 
@@ -225,7 +228,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     wanted = rows.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
     rows = cut(rows.join(wanted, "token"), "prefixes")
     wanted = rows.select(F.col("k").alias("r")).distinct().join(narrow.select("r", "k", "x"), "r")
-    texts = cut(_texts_for(keyed, wanted), "texts")
+    texts = _texts_for(keyed, wanted)
     label, pairs = None, None
     for level in range(LEVELS + 1):
         if label is None:
@@ -264,18 +267,20 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         large = group.where(F.col("others") > SMALL)
         if last or large.isEmpty():
             break
-        star = large.where("k <> hub").groupBy(F.col("hub").alias("a"), F.col("k").alias("b")).agg(F.max("n").alias("n"))
+        star = cut(large.where("k <> hub").select(F.col("hub").alias("a"), F.col("k").alias("b")).distinct(), "star")
         found = cut(_pair_texts(star, texts).mapInArrow(_compare(n, percent, True), _FOUND), "stars")
         links = links.unionByName(found.where("linked").select("a", "b"))
         label = components(links)
         # hubs that all link to need no more; of a difference from another hub, the prefix is dealt out
         open_ = found.where("not linked").select("a").distinct()
-        dealt = found.join(open_, "a", "left_semi").select("a", "b", "own", "linked", F.size("next").alias("size"), F.posexplode("next").alias("at", "token")).join(star, ["a", "b"])
-        dealt = dealt.join(dealt.groupBy("token").agg(F.count("*").alias("df")), "token")
-        rank = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.col("at") >= F.col("own"), "df", "token")) - 1
+        dealt = found.join(open_, "a", "left_semi").select("a", "b", "n", "own", "linked", F.size("next").alias("size"), F.posexplode("next").alias("at", "token"))
+        dealt = dealt.join(dealt.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token").withColumn("late", F.col("at") >= F.col("own"))
+        own = Window.partitionBy("a", "b", "late")
+        before = F.when(F.col("late"), F.col("size")).otherwise(F.col("own")) - F.count("*").over(own)  # tokens of one difference come first
+        rank = before + F.row_number().over(own.orderBy("df", "token")) - 1
         # b shares all but (1 - t) n / t of its difference with what it links to; if it links to the hub, a share of t / 2
         apart = F.when(F.col("linked"), F.col("size") - F.ceil(percent * F.col("size") / 200)).otherwise(F.floor((100 - percent) * F.col("n") / percent))
-        dealt = dealt.withColumn("pos", rank).where((F.col("pos") <= apart) & (F.col("df") > 1))
+        dealt = dealt.withColumn("pos", rank).where(F.col("pos") <= apart)
         rows = dealt.select("token", F.col("b").alias("k"), "n", "pos", F.col("a").alias("hub_of"), "size", F.least(F.col("size"), apart + 1).alias("kept"))
         rows = cut(rows, "dealt")
 
@@ -288,8 +293,9 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     need = F.ceil(percent * (F.col("ma") + F.col("mb")) / (100 + percent) - 1e-9)
     least = F.greatest(F.lit(1), F.least(need - F.col("ma") + length("ma"), need - F.col("mb") + length("mb")))
     hidden = length("ma") - F.size(F.array_distinct("pa")) + length("mb") - F.size(F.array_distinct("pb"))
-    q = q.where(F.size(F.array_intersect("pa", "pb")) + hidden >= least).select("a", "b")
+    q = cut(q.where(F.size(F.array_intersect("pa", "pb")) + hidden >= least).select("a", "b"), "candidates")
     checked = cut(_pair_texts(q, texts).mapInArrow(_compare(n, percent, False), _FOUND), "links").where("linked").select("a", "b")
+    drop_tables(docs.sparkSession, texts, signs)
 
     label = components(checked.unionByName(links))
     least_id = label.join(narrow.select("r", "k"), F.col("v") == F.col("r")).groupBy(F.col("label").alias("l")).agg(F.min("k").alias("component"))
