@@ -106,6 +106,7 @@ def with_arrow(df: DataFrame, inputs: list[Column], make: Callable[..., dict], f
             made = make(*[batch.column(i).to_pylist() for i in range(n, batch.num_columns)])
             columns = [batch.column(i) for i in range(n)] + [pa.array(made[k], t) for k, t in kinds]
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
+        pa.default_memory_pool().release_unused()  # workers are used again
 
     out = narrow.mapInArrow(run, T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate([*kept, *new])]))
     return out.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate([*kept, *new])])

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._frames import cut, utf8, with_arrow
-from tidemark.llm._text import slices
+from tidemark.llm._text import SLICE_BYTES, slices
 
 SAMPLE = 4000
 #: Labelled rows that a language needs to be a class.
@@ -86,10 +86,11 @@ def _likelihoods(shared):
     def make(texts: list[bytes | None]) -> dict:
         logs, out, words = shared.value, [], []
         texts = [t or b"" for t in texts]
-        for i, j in slices(texts):
+        for i, j in slices(texts, SLICE_BYTES // 4):
             hashed, first = trigram_buckets(texts[i:j])
-            sums = np.stack([np.concatenate(([0.0], np.cumsum(row[hashed], dtype=np.float64)))[first] for row in logs])
-            out += np.diff(sums, axis=1).T.tolist()
+            # two zeros, as the last text may have no trigrams
+            sums = [np.add.reduceat(np.concatenate((row[hashed], np.zeros(2, row.dtype))), first[:-1], dtype=np.float64) for row in logs]
+            out += np.stack(sums, axis=1).tolist()
             words += [bool(t.strip()) for t in texts[i:j]]
         return {"__ll": out, "__words": words}
 
@@ -173,5 +174,6 @@ def op5(rows: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows whose language is told with confidence; all columns of docs stay as they are."""
     # in a struct, as docs may have columns with a result's name
-    kept = documents(docs.withColumn("__kept", F.struct(*[docs[f"`{c}`"] for c in docs.columns]))).where("kept")
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__kept"), docs["doc_id"], docs["lang"], docs["source"])
+    kept = identify(whole, text=F.col("__kept")["text"], declared=F.col("lang"), host=F.col("source")).where("kept")
     return kept.select(*[F.col("__kept")[c].alias(c) for c in docs.columns])
