@@ -7,32 +7,58 @@ documents; the last gives the tokenised digest of every document that is left, o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, jaccard, langid, mixing, substring
-from tidemark.llm._frames import cut
+from tidemark.llm._frames import cut, drop_paths, recording
+
+#: Tables that the operators of earlier stages wrote on their way.
+_spent: list[str] = []
+
+
+def clearing(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """First deletes what earlier stages needed on their way: their results are written by now."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles()
+        spent = [p for p in _spent if not any(p.rpartition("/")[2] in f for f in read)]  # a result that isn't written yet keeps its tables
+        drop_paths(spark, spent)
+        _spent[:] = [p for p in _spent if p not in spent]
+        with recording(_spent):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@clearing
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents without words or without a confident language."""
     return langid.kept_documents(docs)
 
 
+@clearing
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays (five-word shingles, similarity 0.8 or more)."""
     return jaccard.one_of_each(docs, n=5, percent=80)
 
 
+@clearing
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that occur earlier; documents of which nothing is left go."""
     return substring.without_repeats(docs)
 
 
+@clearing
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.mixed_documents(docs)
 
 
+@clearing
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id with the size and digests of its token ids and of the text decoded from them."""
     return bpe.op8(docs)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,8 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_recorded: list[list[str]] = []
+
+
+@contextmanager
+def recording(paths: list[str]) -> Iterator[None]:
+    """Adds the tables that are written meanwhile to ``paths``."""
+    _recorded.append(paths)
+    try:
+        yield
+    finally:
+        _recorded.pop()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    for paths in _recorded:
+        paths.append(path)
+    return path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -54,15 +71,17 @@ def by_bucket(df: DataFrame, name: str, column: str, then: Callable[[DataFrame],
     return spark.table(made)
 
 
+def drop_paths(spark: SparkSession, paths: Iterable[str]) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
 def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes tables that cut() wrote, once nothing reads them any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for frame in frames:
-        for path in {f.rpartition("/")[0] for f in frame.inputFiles()}:
-            if "/tidemark-" in path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+    paths = {f.rpartition("/")[0] for frame in frames for f in frame.inputFiles()}
+    drop_paths(spark, [p for p in paths if "/tidemark-" in p])
 
 
 def over_batches(make: Callable[[dict], dict | Iterator[dict]], schema: pa.Schema) -> Callable:

@@ -38,6 +38,8 @@ BUCKETS = 1 << 15
 #: Weight of a trigram's log-likelihood; neighbours overlap, so they aren't independent evidence.
 TEXT_WEIGHT = 0.1
 SMOOTH, MIN_CONFIDENCE = 20.0, 0.5
+#: Priors of up to so many bytes go to all tasks, so that no text moves; more are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 UND = "und"
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -139,8 +141,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None
     total = x.agg(*[F.sum(F.col("__post")[i]) for i in range(n)]).first()
     prior = F.array(*[F.lit((float(c or 0.0) + 1.0) / (sum(float(c or 0.0) for c in total) + n)) for c in total])
     for level in ("__suffix", "__host"):
-        at = sums(level).select(F.col(level).alias("__at"), F.col("sums").alias("__sums"))
-        x = x.withColumn("__prior", prior).join(at, F.col(level) == F.col("__at"), "left")
+        at = cut(sums(level).select(F.col(level).alias("__at"), F.col("sums").alias("__sums")), "priors")
+        few = (at.agg(F.sum(F.octet_length("__at") + 8 * n + 64)).first()[0] or 0) <= BROADCAST_BYTES
+        x = x.withColumn("__prior", prior).join(F.broadcast(at) if few else at, F.col(level) == F.col("__at"), "left")
         others = F.when(F.col("__sums").isNotNull(), F.zip_with("__sums", "__post", lambda s, p: F.greatest(s - p, F.lit(0.0)))).otherwise(nothing)
         weight = F.aggregate(others, F.lit(SMOOTH), lambda a, v: a + v)
         x = x.withColumn("__prior", F.zip_with(others, "__prior", lambda c, p: (c + p * SMOOTH) / weight)).drop("__at", "__sums")
