@@ -235,8 +235,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
             group = rows.withColumn("c", F.col("k"))
         else:
             shared = rows.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
-            group = rows.join(shared, "token").join(label, F.col("k") == F.col("v"), "left").select("token", "k", "n", "pos", F.coalesce("label", "k").alias("c"), "hub_of", "size", "kept")
-            group = cut(group, "groups")
+            group = cut(rows.join(shared, "token"), "groups")
         by = group.groupBy("token", "c").agg(F.count("*").alias("m"), F.min(F.struct("pos", "k")).alias("hub"))
         by = by.groupBy("token").agg(F.max(F.struct("m", "c")).alias("main"), F.sum("m").alias("members"), F.min("hub").alias("hub"))
         # members outside the group's largest component; all pairs across components have one
@@ -273,7 +272,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         label = components(links)
         # hubs that all link to need no more; of a difference from another hub, the prefix is dealt out
         open_ = found.where("not linked").select("a").distinct()
-        dealt = found.join(open_, "a", "left_semi").select("a", "b", "n", "own", "linked", F.size("next").alias("size"), F.posexplode("next").alias("at", "token"))
+        dealt = found.join(open_, "a", "left_semi").join(label, F.col("b") == F.col("v"), "left").withColumn("c", F.coalesce("label", "b"))
+        dealt = dealt.select("a", "b", "c", "n", "own", "linked", F.size("next").alias("size"), F.posexplode("next").alias("at", "token"))
         dealt = dealt.join(dealt.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token").withColumn("late", F.col("at") >= F.col("own"))
         own = Window.partitionBy("a", "b", "late")
         before = F.when(F.col("late"), F.col("size")).otherwise(F.col("own")) - F.count("*").over(own)  # tokens of one difference come first
@@ -281,7 +281,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         # b shares all but (1 - t) n / t of its difference with what it links to; if it links to the hub, a share of t / 2
         apart = F.when(F.col("linked"), F.col("size") - F.ceil(percent * F.col("size") / 200)).otherwise(F.floor((100 - percent) * F.col("n") / percent))
         dealt = dealt.withColumn("pos", rank).where(F.col("pos") <= apart)
-        rows = dealt.select("token", F.col("b").alias("k"), "n", "pos", F.col("a").alias("hub_of"), "size", F.least(F.col("size"), apart + 1).alias("kept"))
+        rows = dealt.select("token", F.col("b").alias("k"), "n", "pos", "c", F.col("a").alias("hub_of"), "size", F.least(F.col("size"), apart + 1).alias("kept"))
         rows = cut(rows, "dealt")
 
     # the second order, before texts are compared
