@@ -146,6 +146,31 @@ def test_filter_levels():
     assert (lm.probed_counts(absent, table, 4, 1) > 0).mean() < 0.01
 
 
+def test_lm_once_seen_grams_stay(docs, monkeypatch):
+    """However little a filter holds, pairs seen once are in the model: no count floor rises with the input."""
+    before = {i: r["score"] for i, r in by_id(lm.op3(docs)).items()}
+    monkeypatch.setattr(lm, "LOAD", 1e-6, raising=False)  # once the load at which the floor doubled: now 46 levels fit
+    assert before == {i: r["score"] for i, r in by_id(lm.op3(docs)).items()}
+
+
+def test_lm_segments_grow():
+    """A bucket with a hundred times the grams still tells them from absent ones, and gives each unit its own."""
+    keys = np.unique(np.random.default_rng(2).integers(0, 1 << 32, 300000, dtype=np.uint64))
+    counts = np.where(np.arange(len(keys)) % 3 == 0, 0, 1)  # a third in held-out documents only
+    rows = lm._answers(0, [(7, keys, counts), (9, keys[::2], 0 * counts[::2])]).to_pylist()
+    first, second = (np.frombuffer(r["levels"], np.uint8) for r in rows)
+    assert [r["unit"] for r in rows] == [7, 9] and (second == first[::2]).all()
+    assert (first[counts > 0] >= 1).all() and (first[counts > 0] == 1).mean() > 0.99 and (first[counts == 0] > 0).mean() < 0.01
+
+
+def test_lm_unit_must_match():
+    keys = np.arange(20, dtype=np.uint64) << np.uint64(32)
+    answers = [(i, b"\x01", i << 32) for i in range(16)]
+    assert (lm._told(keys[:16], 4, answers) == 1).all()
+    with pytest.raises(RuntimeError, match="same rows"):
+        lm._told(keys[:15], 4, answers)
+
+
 # -- 4
 
 

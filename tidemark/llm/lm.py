@@ -2,16 +2,21 @@
 
 Training counts words and word pairs of the training documents (every document's tokens are its
 lower-cased words and one end).  The exact word counts stay a table.  Pair and word counts are
-quantised to powers of two, level q = 1 + floor(log2(count / floor)), and a gram of level q goes into
+quantised to powers of two, level q = 1 + floor(log2(count)), and a gram of level q goes into
 a Bloom filter q times, as (gram, 1) ... (gram, q).  A reader probes (gram, 1), (gram, 2), ... until a
 probe misses; the last hit gives the count.  Smoothing mixes the orders:
 
     P(w | v) = (count(v w) + STRENGTH * P(w)) / (count(v) + STRENGTH),   P(w) = (count(w) + 1) / (N + V + 1)
 
-Size: the filter has FILTER_BITS bits at every input size (32 MB, the bound of what is broadcast).
-``floor`` is the least power of two with which the filter is at most LOAD full, 1 as long as all grams fit;
-grams below it are scored by the smoothing.  Gathering the counts is a shuffle that grows with the input:
-a task sums its batch, and sends sorted keys packed per bucket of the key space.
+Size: all grams are stored, those seen once too, at every input size.  The filter is split by the key space into
+buckets of about a million tokens; a bucket's segment has at least BITS_PER_LEVEL bits per stored level, so the
+filter grows with the counted grams and its rate of false hits doesn't.  No task holds more than a segment: texts are
+worked on in units of about UNIT_BYTES, and a unit's distinct keys are sent, sorted and packed per bucket, to the
+segment, with their counts in the training documents.  The task of a bucket sums the counts, fills the segment, probes
+it for all keys that were sent and returns a byte (the level) per key to the unit.  Both shuffles grow with the input.
+
+The units are cut from the rows twice (for the keys and for the scores), so docs must give the same rows in the same order
+both times, as files do; a unit whose keys aren't those that were answered raises an error.
 
 Base score: exact add-one unigram probabilities.  The HEAD most frequent words are broadcast
 (a fixed number); a document's other words join the count table.
@@ -33,11 +38,16 @@ from pyspark.sql import functions as F
 from tidemark.llm._frames import cut, utf8
 from tidemark.llm._text import U64, Words, mix, signed, slices
 
-FILTER_BITS, LOAD, PROBES = 1 << 28, 0.5, 4
+#: Bits of a filter that is held as one table (probed_counts), and probes per stored level.
+FILTER_BITS, PROBES = 1 << 28, 4
+#: Bits of a segment per stored level, at least: of absent grams, at most one in 400 seems to be there.
+BITS_PER_LEVEL = 16
+#: Bytes of text whose grams are asked for together.
+UNIT_BYTES = 8 << 20
 HEAD = 1 << 18
 STRENGTH = 8.0
 #: A gram's key is the top 32 + bits bits of its hash, for 2**bits buckets of about a million tokens each; clashes
-#: of keys are then a hundred times rarer than false hits of the filter.
+#: of keys are then a few times rarer than false hits of the filter.
 REST = 32
 END, BEGIN = U64(0x1F83D9ABFB41BD6B), U64(0x5BE0CD19137E2179)
 
@@ -104,45 +114,68 @@ def _unpack(bucket: int, keys: bytes, counts: bytes) -> tuple[np.ndarray, np.nda
 _PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-def _count_grams(bits: int):
+_ASKED = _PACKED.append(pa.field("unit", pa.int64()))
+_ANSWER = pa.schema([("unit", pa.int64()), ("bucket", pa.int32()), ("levels", pa.binary()), ("keys_sum", pa.int64())])
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(id, rows) of every unit: runs of a batch's rows, the same whenever the same rows are read."""
+    unit = None
+    for b in batches:
+        if unit is None and b.num_rows:
+            unit = b.column("part")[0].as_py() << 32
+        for i, j in slices(b.column("t"), UNIT_BYTES):
+            yield unit, b.slice(i, j - i)
+            unit += 1
+
+
+def _edges(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where each bucket's keys begin in sorted keys, and the end."""
+    return np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=U64) << U64(REST))
+
+
+def _ask(bits: int):
+    """Each unit's distinct keys by bucket, with their counts in its training documents (0 for those of held-out ones only)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, parts = b.column(0).to_pylist(), []
+        for unit, b in _units(batches):
+            texts, parts = b.column("t").to_pylist(), []
+            train = (~b.column("held_out").to_numpy(zero_copy_only=False).astype(bool)).astype(np.int64)
             for i, j in slices(texts):
                 tok, first = tokens(texts[i:j])
-                parts += [np.unique(k, return_counts=True) for k in gram_keys(tok, first, bits)]
-                parts.append((begin_key(bits), np.array([j - i])))
+                n = np.repeat(train[i:j], np.diff(first))
+                parts += [_sum_counts([(k, n)]) for k in gram_keys(tok, first, bits)]
+                parts.append((begin_key(bits), train[i:j].sum(keepdims=True)))
             keys, n = _sum_counts(parts)
-            edge = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=U64) << U64(REST))
-            rows = [_pack(k, keys[edge[k] : edge[k + 1]], n[edge[k] : edge[k + 1]]) for k in range(1 << bits) if edge[k] < edge[k + 1]]
-            yield pa.RecordBatch.from_pylist(rows, schema=_PACKED)
+            edge = _edges(keys, bits)
+            rows = [_pack(k, keys[edge[k] : edge[k + 1]], n[edge[k] : edge[k + 1]]) | {"unit": unit} for k in range(1 << bits) if edge[k] < edge[k + 1]]
+            yield pa.RecordBatch.from_pylist(rows, schema=_ASKED)
 
     return run
 
 
-def _merge_grams():
-    """Over rows in the order of buckets: one row per bucket, and how many grams have which level."""
-
-    def whole(bucket: int, parts: list) -> dict:
-        keys, n = _sum_counts(parts)
-        levels = np.bincount(np.log2(n).astype(np.int64), minlength=48)
-        return _pack(bucket, keys, np.minimum(n, (1 << 32) - 1)) | {"levels": levels.tolist()}
+def _answers(bucket: int, asked: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """A bucket's counts to its segment of the filter, and what the segment says about each unit's keys."""
+    keys, n = _sum_counts([(k, c) for _, k, c in asked])
+    stored = n > 0
+    size = 1 << max(10, (BITS_PER_LEVEL * int((np.log2(n[stored]).astype(np.int64) + 1).sum()) - 1).bit_length())
+    level = probed_levels(keys, _segment(keys[stored], n[stored], size), size).astype(np.uint8)
+    rows = [{"unit": u, "bucket": bucket, "levels": level[np.searchsorted(keys, k)].tobytes(), "keys_sum": int(k.sum().view(np.int64))} for u, k, _ in asked]
+    return pa.RecordBatch.from_pylist(rows, schema=_ANSWER)
 
-    schema = _PACKED.append(pa.field("levels", pa.list_(pa.int64())))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts = None, []
-        for b in batches:
-            for bucket, keys, counts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if at is not None and bucket != at:
-                    yield pa.RecordBatch.from_pylist([whole(at, parts)], schema=schema)
-                    parts = []
-                at = bucket
-                parts.append(_unpack(bucket, keys, counts))
-        if parts:
-            yield pa.RecordBatch.from_pylist([whole(at, parts)], schema=schema)
 
-    return run
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows in the order of buckets: a row per bucket and unit, with the levels of the unit's keys in their order."""
+    at, asked = None, []
+    for b in batches:
+        for bucket, keys, counts, unit in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            if at is not None and bucket != at:
+                yield _answers(at, asked)
+                asked = []
+            at = bucket
+            asked.append((unit, *_unpack(bucket, keys, counts)))
+    if asked:
+        yield _answers(at, asked)
 
 
 def _places(keys: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
@@ -153,89 +186,137 @@ def _places(keys: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
         yield (h + U64(i) * step) & U64(size - 1)
 
 
+def _segment(keys: np.ndarray, n: np.ndarray, size: int, floor: int = 1) -> np.ndarray:
+    """The bits (packed) of one bucket's segment of ``size`` bits."""
+    seg, level = np.zeros(size, bool), 1
+    while True:
+        keep = n >= floor << (level - 1)
+        keys, n = keys[keep], n[keep]
+        if not len(keys):
+            return np.packbits(seg, bitorder="little")
+        for place in _places(keys, level, size):
+            seg[place] = True
+        level += 1
+
+
 def _fill(bits: int, floor: int):
-    """One bucket's counts to its segment of the filter."""
-    size = FILTER_BITS >> bits
+    """One bucket's counts to its segment of a filter of FILTER_BITS bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for bucket, packed, counts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                keys, n = _unpack(bucket, packed, counts)
-                seg, level = np.zeros(size, bool), 1
-                while True:
-                    keep = n >= floor << (level - 1)
-                    keys, n = keys[keep], n[keep]
-                    if not len(keys):
-                        break
-                    for place in _places(keys, level, size):
-                        seg[place] = True
-                    level += 1
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(seg, bitorder="little").tobytes()])], names=["bucket", "bits"])
+                seg = _segment(*_unpack(bucket, packed, counts), FILTER_BITS >> bits, floor)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([seg.tobytes()])], names=["bucket", "bits"])
 
     return run
 
 
-def probed_counts(keys: np.ndarray, table: np.ndarray, bits: int, floor: int) -> np.ndarray:
-    """The counts that the filter has for keys: 0, or the middle of the level of the last hit."""
-    size = FILTER_BITS >> bits
+def probed_levels(keys: np.ndarray, table: np.ndarray, size: int, base: np.ndarray | None = None) -> np.ndarray:
+    """The level of the last hit of each key, or 0; its segment of ``size`` bits begins at bit ``base`` (0)."""
     level, left = np.zeros(len(keys), np.int64), np.arange(len(keys))
-    base = (keys >> U64(REST)) * U64(size)
     step = 1
     while len(left) and step < 48:
         hit = np.ones(len(left), bool)
         for place in _places(keys[left], step, size):
-            at = base[left] + place
+            at = place if base is None else base[left] + place
             hit &= (table[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
         left = left[hit]
         level[left] = step
         step += 1
+    return level
+
+
+def level_counts(level: np.ndarray, floor: int = 1) -> np.ndarray:
+    """The counts that stand for levels: 0, or the middle of the level."""
     low = np.ldexp(float(floor), level - 1)
     return np.where(level > 0, np.where((level == 1) & (floor == 1), 1.0, low * 1.5 - 0.5), 0.0)
 
 
-def _score(bits: int, floor: int, n: int, v: int, shared):
+def probed_counts(keys: np.ndarray, table: np.ndarray, bits: int, floor: int) -> np.ndarray:
+    """The counts that a filter of FILTER_BITS bits, its segments one behind another, has for keys."""
+    size = FILTER_BITS >> bits
+    return level_counts(probed_levels(keys, table, size, (keys >> U64(REST)) * U64(size)), floor)
+
+
+def _told(keys: np.ndarray, bits: int, answers: list[tuple[int, bytes, int]]) -> np.ndarray:
+    """The counts of a unit's sorted keys from the answers (bucket, levels, keys_sum) in the order of buckets."""
+    edge = _edges(keys, bits)
+    own = np.flatnonzero(np.diff(edge))
+    sums = np.add.reduceat(keys, edge[own]).view(np.int64).tolist()
+    if [(b, len(x), k) for b, x, k in answers] != list(zip(own.tolist(), np.diff(edge)[own].tolist(), sums, strict=True)):
+        raise RuntimeError("the rows of a unit aren't those whose grams were counted: docs must give the same rows in the same order at each reading")
+    return level_counts(np.frombuffer(b"".join(x for _, x, _ in answers), np.uint8).astype(np.int64))
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the ids of their units."""
+    for unit, b in _units(batches):
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "held_out", "t")), pa.array(np.full(b.num_rows, unit))], names=["doc_id", "held_out", "t", "unit"])
+
+
+def _score(bits: int, n: int, v: int, shared):
+    """Over rows in the order of units, each unit's answers (by bucket) behind its documents."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
 
+    def scored(docs: list[tuple], answers: list[tuple[int, bytes, int]]) -> pa.RecordBatch:
+        head, count = shared.value
+        texts = [d[2] for d in docs]
+        out = {k: [] for k in ("n_tokens", "known", "logs", "score", "words", "times", "tail")}
+        parts = list(slices(texts))
+        toks = [tokens(texts[i:j]) for i, j in parts]
+        asked = [gram_keys(tok, first, bits) for tok, first in toks]
+        keys = np.unique(np.concatenate([begin_key(bits), *(np.unique(np.concatenate(x)) for x in asked)]))
+        counts = _told(keys, bits, answers)
+        begin = counts[np.searchsorted(keys, begin_key(bits))]
+        for (i, j), (tok, first), (one, two) in zip(parts, toks, asked, strict=True):
+            own = np.repeat(np.arange(j - i), np.diff(first))
+            one, at = np.unique(one, return_inverse=True)
+            c1 = counts[np.searchsorted(keys, one)][at]
+            two, at = np.unique(two, return_inverse=True)
+            c2 = counts[np.searchsorted(keys, two)][at]
+            before = np.empty_like(c1)
+            before[1:] = c1[:-1]
+            before[first[:-1]] = begin[0]
+            p = (c2 + STRENGTH * (c1 + 1) / (n + v + 1)) / (np.maximum(before, c2) + STRENGTH)
+            out["score"].append(np.bincount(own, np.log10(p), j - i))
+            at = np.minimum(np.searchsorted(head, tok), max(0, len(head) - 1))
+            found = head[at] == tok if len(head) else np.zeros(len(tok), bool)
+            logs = np.zeros(len(tok))
+            logs[found] = np.log10(count[at[found]] + 1.0)
+            out["logs"].append(np.bincount(own, logs, j - i))
+            out["known"].append(np.bincount(own[found], minlength=j - i))
+            out["n_tokens"].append(np.diff(first))
+            rest, which = tok[~found], own[~found]
+            order = np.lexsort((rest, which))
+            rest, which = rest[order], which[order]
+            new = np.ones(len(rest), bool)
+            new[1:] = (rest[1:] != rest[:-1]) | (which[1:] != which[:-1])
+            at = np.flatnonzero(new)
+            out["words"].append(signed(rest[at]))
+            out["times"].append(np.diff(np.append(at, len(rest))).astype(np.int32))
+            out["tail"].append(np.bincount(which[at], minlength=j - i))
+        c = {k: np.concatenate(x) for k, x in out.items()}
+        ends = pa.array(np.concatenate(([0], np.cumsum(c["tail"]))).astype(np.int32), pa.int32())
+        return pa.RecordBatch.from_arrays([
+            pa.array([d[0] for d in docs], pa.int64()), pa.array([d[1] for d in docs], pa.bool_()),
+            pa.array(c["n_tokens"].astype(np.int64)), pa.array(c["known"].astype(np.int64)), pa.array(c["logs"]), pa.array(c["score"]),
+            pa.ListArray.from_arrays(ends, pa.array(c["words"])), pa.ListArray.from_arrays(ends, pa.array(c["times"])),
+        ], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, count, table = shared.value
+        at, docs, answers = None, [], []
         for b in batches:
-            texts = b.column(2).to_pylist()
-            out = {k: [] for k in ("n_tokens", "known", "logs", "score", "words", "times", "tail")}
-            for i, j in slices(texts):
-                tok, first = tokens(texts[i:j])
-                own = np.repeat(np.arange(j - i), np.diff(first))
-                one, two = gram_keys(tok, first, bits)
-                one, at = np.unique(one, return_inverse=True)
-                c1 = probed_counts(one, table, bits, floor)[at]
-                c2 = probed_counts(two, table, bits, floor)
-                begin = probed_counts(begin_key(bits), table, bits, floor)
-                before = np.empty_like(c1)
-                before[1:] = c1[:-1]
-                before[first[:-1]] = begin[0]
-                p = (c2 + STRENGTH * (c1 + 1) / (n + v + 1)) / (np.maximum(before, c2) + STRENGTH)
-                out["score"].append(np.bincount(own, np.log10(p), j - i))
-                at = np.minimum(np.searchsorted(head, tok), max(0, len(head) - 1))
-                found = head[at] == tok if len(head) else np.zeros(len(tok), bool)
-                logs = np.zeros(len(tok))
-                logs[found] = np.log10(count[at[found]] + 1.0)
-                out["logs"].append(np.bincount(own, logs, j - i))
-                out["known"].append(np.bincount(own[found], minlength=j - i))
-                out["n_tokens"].append(np.diff(first))
-                rest, which = tok[~found], own[~found]
-                order = np.lexsort((rest, which))
-                rest, which = rest[order], which[order]
-                new = np.ones(len(rest), bool)
-                new[1:] = (rest[1:] != rest[:-1]) | (which[1:] != which[:-1])
-                at = np.flatnonzero(new)
-                out["words"].append(signed(rest[at]))
-                out["times"].append(np.diff(np.append(at, len(rest))).astype(np.int32))
-                out["tail"].append(np.bincount(which[at], minlength=j - i))
-            c = {k: np.concatenate(x) for k, x in out.items()}
-            ends = pa.array(np.concatenate(([0], np.cumsum(c["tail"]))).astype(np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), b.column(1), pa.array(c["n_tokens"].astype(np.int64)), pa.array(c["known"].astype(np.int64)), pa.array(c["logs"]), pa.array(c["score"]),
-                pa.ListArray.from_arrays(ends, pa.array(c["words"])), pa.ListArray.from_arrays(ends, pa.array(c["times"])),
-            ], schema=schema)
+            for unit, bucket, doc_id, held, t, levels, keys_sum in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                if at is not None and unit != at:
+                    yield scored(docs, answers)
+                    docs, answers = [], []
+                at = unit
+                if bucket < 0:
+                    docs.append((doc_id, held, t))
+                else:
+                    answers.append((bucket, levels, keys_sum))
+        if at is not None:
+            yield scored(docs, answers)
 
     return run
 
@@ -263,23 +344,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     by = np.argsort(head)
 
     bits = min(20, max(4, (n >> 20).bit_length()))  # buckets of about a million tokens
-    ordered = train.mapInArrow(_count_grams(bits), "bucket int, keys binary, counts binary").repartition("bucket").sortWithinPartitions("bucket")
-    grams = cut(ordered.mapInArrow(_merge_grams(), "bucket int, keys binary, counts binary, levels array<bigint>"), "grams")
-    per_level = dict(grams.select(F.posexplode("levels").alias("level", "grams")).groupBy("level").agg(F.sum("grams")).collect())  # 48 rows
-    floor = 1
-    while PROBES * sum(g * max(0, q + 2 - floor.bit_length()) for q, g in per_level.items()) > -np.log1p(-LOAD) * FILTER_BITS:
-        floor *= 2
-    table = np.zeros(FILTER_BITS >> 3, np.uint8)  # the filter: FILTER_BITS bits in all, whatever the input
-    size = FILTER_BITS >> bits >> 3
-    segments = grams.select("bucket", "keys", "counts").mapInArrow(_fill(bits, floor), "bucket int, bits binary").toArrow()
-    for bucket, seg in zip(segments["bucket"].to_pylist(), segments["bits"], strict=True):
-        table[bucket * size : (bucket + 1) * size] = np.frombuffer(seg.as_buffer(), np.uint8)
-    del segments
-    shared = spark.sparkContext.broadcast((head[by], top["n"].to_numpy(np.int64)[by], table))
-    del table
+    parted = d.withColumn("part", F.spark_partition_id())  # a task's own number would change in the union
+    asked = parted.mapInArrow(_ask(bits), "bucket int, keys binary, counts binary, unit bigint").repartition("bucket").sortWithinPartitions("bucket")
+    answers = asked.mapInArrow(_answer, "unit bigint, bucket int, levels binary, keys_sum bigint")
+    placed = parted.mapInArrow(_place, "doc_id bigint, held_out boolean, t binary, unit bigint").withColumn("bucket", F.lit(-1))
+    told = answers.unionByName(placed, allowMissingColumns=True).select("unit", "bucket", "doc_id", "held_out", "t", "levels", "keys_sum")
+    shared = spark.sparkContext.broadcast((head[by], top["n"].to_numpy(np.int64)[by]))
 
     ddl = "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, logs double, score double, words array<bigint>, times array<int>"
-    s = d.mapInArrow(_score(bits, floor, n, v, shared), ddl).withColumn("row", F.monotonically_increasing_id())
+    s = told.repartition("unit").sortWithinPartitions("unit", "bucket").mapInArrow(_score(bits, n, v, shared), ddl).withColumn("row", F.monotonically_increasing_id())
     s = cut(s, "scores")
     tail = s.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     rest = tail.join(words, "word").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
