@@ -233,6 +233,18 @@ def test_language(spark):
     assert all(p[i]["lang_id"] == ("fr" if i % 2 else "en") for i in range(60)) and not p[99]["kept"]
 
 
+def test_language_rare(spark, monkeypatch):
+    """A rare label stays a class, and its texts stay, when common labels have far more rows than are sampled."""
+    monkeypatch.setattr(langid, "SAMPLE", 20)
+    en, fr, zh = "the people and the house of that nation with this", "les gens et la maison de cette nation avec une autre", "中文字符的人民和房子" * 10
+    rows = [(i, (en if i % 2 else fr) + f" {i}", "en" if i % 2 else "fr", f"s{i % 4}") for i in range(1000)] + [(2000 + i, f"{zh} {i}", "zh", "s1") for i in range(6)]
+    d = spark.createDataFrame([*rows, (3000, zh, None, None)], "doc_id bigint, text string, lang string, source string")
+    got = by_id(langid.op5(d))
+    assert all(got[i]["lang_id"] == "zh" and got[i]["kept"] for i in [*range(2000, 2006), 3000])
+    assert all(got[i]["lang_id"] == ("en" if i % 2 else "fr") for i in range(1000))
+    assert {r["doc_id"] for r in langid.kept_documents(d).collect()} == set(got)
+
+
 def test_language_odd(odd, empty):
     assert langid.op5(odd).count() == 7 and langid.kept_documents(odd).columns == odd.columns
     assert langid.op5(empty).count() == 0

@@ -7,8 +7,9 @@ language's reliability and the priors are sums of text posteriors by group, over
 document's own share is taken out of its priors again.  One class more, ``und``, has uniform
 trigrams, so that text unlike all languages is found.
 
-Training: the text models are fitted on at most SAMPLE labelled rows (chosen by a hash of the id),
-their whole texts; everything else covers all rows.
+Training: the text model of a label is fitted on all its rows if they are at most SAMPLE, else on about SAMPLE of them
+(chosen by a hash of id and text), their whole texts; everything else covers all rows.  So a label with
+LEAST rows with text is a class at every size of the table; one with fewer (a stray declaration) is not.
 
 A row is kept if it has words, its best class isn't ``und`` and that class has a posterior of at
 least MIN_CONFIDENCE.
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from tidemark.llm._frames import cut, utf8, with_arrow
 from tidemark.llm._text import SLICE_BYTES, slices
 
+#: Rows of each label that its text model is fitted on.
 SAMPLE = 4000
 #: Labelled rows that a language needs to be a class.
 LEAST = 5
@@ -69,10 +71,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     """(classes, log-probabilities) from rows (id, label, t); ``und`` is the last class."""
     labelled = rows.where("label is not null and length(t) > 0")
-    often = labelled.groupBy("label").agg(F.count("*").alias("rows")).where(F.col("rows") >= LEAST).select("label")
-    labelled = labelled.join(often, "label", "left_semi")
-    share = min(1.0, SAMPLE / max(1, labelled.count()))
-    some = labelled.where(F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    often = labelled.groupBy("label").agg(F.count("*").alias("rows")).where(F.col("rows") >= LEAST)
+    chance = F.pmod(F.xxhash64("id", "t", F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    some = labelled.join(F.broadcast(often), "label").where(chance < F.lit(float(SAMPLE)) / F.col("rows"))
     counts = some.select("label", "t").mapInArrow(_count, "label string, bucket int, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()  # labels x BUCKETS rows
     classes = sorted(counts["label"].unique().tolist())
     logs = np.full((len(classes) + 1, BUCKETS), -np.log(BUCKETS), np.float32)
