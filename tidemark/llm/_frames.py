@@ -9,6 +9,11 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+#: What goes to Python at a time where a table is written on the way.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,30 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-_recorded: list[list[str]] = []
-
-
-@contextmanager
-def recording(paths: list[str]) -> Iterator[None]:
-    """Adds the tables that are written meanwhile to ``paths``."""
-    _recorded.append(paths)
-    try:
-        yield
-    finally:
-        _recorded.pop()
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    for paths in _recorded:
-        paths.append(path)
-    return path
+    return f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: no lineage, and it outlives executors."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -105,27 +95,39 @@ def key_or(column: Column, instead: int = -(1 << 63)) -> Column:
     return F.coalesce(column.cast("bigint"), F.lit(instead))
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans made meanwhile send Python BATCH_ROWS rows or BATCH_BYTES at a time; the session's settings come back after it."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def with_arrow(df: DataFrame, inputs: list[Column], make: Callable[..., dict], fields: str) -> DataFrame:
-    """Appends columns computed in Python from ``inputs``; all other columns pass through as they are.
+    """Appends columns computed in Python from ``inputs``; only these cross over, all other columns stay in the JVM.
 
     ``make`` gets a list per input and returns the new columns by name.  A column of df that has a
     new column's name is replaced.
     """
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_type
-
     new = T._parse_datatype_string(fields)
-    kept = [f for f in df.schema.fields if f.name not in new.names]
-    # by number, as mapInArrow can't resolve names with dots
-    narrow = df.select(*[df[f"`{f.name}`"].alias(f"c{i}") for i, f in enumerate(kept)], *[c.alias(f"i{i}") for i, c in enumerate(inputs)])
-    n, kinds = len(kept), [(f.name, to_arrow_type(f.dataType)) for f in new]
+    kinds = [(f.name, to_arrow_type(f.dataType)) for f in new]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = make(*[batch.column(i).to_pylist() for i in range(n, batch.num_columns)])
-            columns = [batch.column(i) for i in range(n)] + [pa.array(made[k], t) for k, t in kinds]
-            yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
+    def run(*columns: pa.Array) -> pa.Array:
+        made = make(*[c.to_pylist() for c in columns])
+        out = pa.StructArray.from_arrays([pa.array(made[k], t) for k, t in kinds], names=[k for k, _ in kinds])
         pa.default_memory_pool().release_unused()  # workers are used again
+        return out
 
-    out = narrow.mapInArrow(run, T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate([*kept, *new])]))
-    return out.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate([*kept, *new])])
+    # not deterministic for Spark, so that no filter on a new column runs it twice
+    called = F.arrow_udf(run, new).asNondeterministic()(*inputs)
+    out = df.select(*[df[f"`{c}`"] for c in df.columns if c not in new.names], called.alias("__made"))
+    return out.select(*[f"`{c}`" for c in out.columns[:-1]], *[F.col("__made")[k].alias(k) for k in new.names])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._frames import cut, utf8, with_arrow
+from tidemark.llm._frames import cut, key_or, utf8, with_arrow
 from tidemark.llm._text import SLICE_BYTES, slices
 
 #: Rows of each label that its text model is fitted on.
@@ -43,6 +43,8 @@ SMOOTH, MIN_CONFIDENCE = 20.0, 0.5
 #: Priors of up to so many bytes go to all tasks, so that no text moves; more are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
 UND = "und"
+#: How likely a text is of no class, before any evidence.
+UND_PRIOR = 0.01
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -85,17 +87,21 @@ def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     return [*classes, UND], logs
 
 
-def _likelihoods(shared):
+def _evidence(shared):
+    """Weighted log-likelihoods of texts under every class, the posteriors by them alone, and whether there are words."""
+
     def make(texts: list[bytes | None]) -> dict:
-        logs, out, words = shared.value, [], []
+        logs, sums, words = shared.value, [], []
         texts = [t or b"" for t in texts]
         for i, j in slices(texts, SLICE_BYTES // 4):
             hashed, first = trigram_buckets(texts[i:j])
             # two zeros, as the last text may have no trigrams
-            sums = [np.add.reduceat(np.concatenate((row[hashed], np.zeros(2, row.dtype))), first[:-1], dtype=np.float64) for row in logs]
-            out += np.stack(sums, axis=1).tolist()
+            sums.append(np.stack([np.add.reduceat(np.concatenate((row[hashed], np.zeros(2, row.dtype))), first[:-1], dtype=np.float64) for row in logs], axis=1))
             words += [bool(t.strip()) for t in texts[i:j]]
-        return {"__ll": out, "__words": words}
+        told = np.concatenate(sums) * TEXT_WEIGHT if sums else np.zeros((0, len(logs)))
+        told[:, -1] += np.log(UND_PRIOR)
+        e = np.exp(told - told.max(axis=1, keepdims=True)) if len(told) else told
+        return {"told": list(told), "post": list(e / e.sum(axis=1, keepdims=True)), "words": words}
 
     return make
 
@@ -107,77 +113,84 @@ def _softmax(x: Column) -> Column:
     return F.transform(e, lambda v: v / total)
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, label: Column | None = None) -> DataFrame:
-    """docs with lang_id, confidence, text_lang (by the text alone) and kept.
+def identify(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, label: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """docs (or their columns ``keep``) with lang_id, confidence, text_lang (by the text alone) and kept.
 
-    ``label`` is the training label, by default what is declared.
+    ``label`` is the training label, by default what is declared.  Texts go to Python once, and only a few numbers a row come back.
     """
     none = F.lit(None).cast("string")
     text = F.col("text") if text is None else text
     declared, suffix, host = (none if c is None else c.cast("string") for c in (declared, suffix, host))
     label = declared if label is None else label
     new = ("lang_id", "confidence", "text_lang", "kept")
-    rest = [docs[f"`{c}`"] for c in docs.columns if c not in new]
-    d = docs.select(*rest, utf8(text).alias("__t"), declared.alias("__declared"), suffix.alias("__suffix"), host.alias("__host"), label.alias("__label"))
-    classes, logs = fit(d.select(F.col(id_col).alias("id"), F.col("__label").alias("label"), F.coalesce("__t", F.lit(b"")).alias("t")))
+    rest = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    # their columns in a struct, so that no name clashes with ours
+    d = docs.select(F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(rest)], F.lit(0).alias("none")).alias("row"), utf8(text).alias("t"), declared.alias("declared"), suffix.alias("suffix"), host.alias("host"), label.alias("label"), docs[f"`{id_col}`"].alias("id"))
+    classes, logs = fit(d.select("id", "label", F.coalesce("t", F.lit(b"")).alias("t")))
     shared = docs.sparkSession.sparkContext.broadcast(logs)  # classes x BUCKETS
     n = len(classes)
-    x = with_arrow(d.withColumn("__key", F.monotonically_increasing_id()), [F.col("__t")], _likelihoods(shared), "__ll array<double>, __words boolean").drop("__t", "__label")
-    start = F.array(*[F.lit(0.0)] * (n - 1), F.lit(float(np.log(0.01))))
-    x = x.withColumn("__text", F.zip_with(F.transform("__ll", lambda v: v * TEXT_WEIGHT), start, lambda a, b: a + b)).drop("__ll")
-    x = cut(x.withColumn("__post", _softmax(F.col("__text"))), "evidence")
+    x = d.select("row", "declared", "suffix", "host", "t")
+    x = cut(with_arrow(x, [F.col("t")], _evidence(shared), "told array<double>, post array<double>, words boolean").drop("t"), "evidence")
 
-    sums = lambda by: x.where(F.col(by).isNotNull()).groupBy(by).agg(F.array(*[F.sum(F.col("__post")[i]) for i in range(n)]).alias("sums"))
+    sums = lambda by: x.where(F.col(by).isNotNull()).groupBy(by).agg(F.array(*[F.sum(F.col("post")[i]) for i in range(n)]).alias("sums"))
     # reliability of declarations: P(declared | class), from (value, class) sums; at most classes + 1 values
-    value = F.when(F.col("__declared").isin(classes[:-1]), F.col("__declared")).otherwise(F.when(F.col("__declared").isNotNull(), F.lit("?")))
-    x = x.withColumn("__value", value)
-    told = dict(sums("__value").collect())
+    value = F.when(F.col("declared").isin(classes[:-1]), F.col("declared")).otherwise(F.when(F.col("declared").isNotNull(), F.lit("?")))
+    x = x.withColumn("value", value)
+    said = dict(sums("value").collect())
     values = [*classes[:-1], "?"]
-    table = np.array([told.get(v, [0.0] * n) for v in values]) + 0.5
+    table = np.array([said.get(v, [0.0] * n) for v in values]) + 0.5
     table = np.log(table / table.sum(axis=0))
     table[:, -1] = -np.log(len(values))
     say = F.create_map(*[e for v, row in zip(values, table.tolist(), strict=True) for e in (F.lit(v), F.array(*map(F.lit, row)))])
     nothing = F.array(*[F.lit(0.0)] * n)
 
-    total = x.agg(*[F.sum(F.col("__post")[i]) for i in range(n)]).first()
+    total = x.agg(*[F.sum(F.col("post")[i]) for i in range(n)]).first()
     prior = F.array(*[F.lit((float(c or 0.0) + 1.0) / (sum(float(c or 0.0) for c in total) + n)) for c in total])
-    for level in ("__suffix", "__host"):
-        at = cut(sums(level).select(F.col(level).alias("__at"), F.col("sums").alias("__sums")), "priors")
-        few = (at.agg(F.sum(F.octet_length("__at") + 8 * n + 64)).first()[0] or 0) <= BROADCAST_BYTES
-        x = x.withColumn("__prior", prior).join(F.broadcast(at) if few else at, F.col(level) == F.col("__at"), "left")
-        others = F.when(F.col("__sums").isNotNull(), F.zip_with("__sums", "__post", lambda s, p: F.greatest(s - p, F.lit(0.0)))).otherwise(nothing)
+    for level, used in (("suffix", suffix is not none), ("host", host is not none)):
+        if not used:
+            continue
+        at = cut(sums(level).select(F.col(level).alias("at"), "sums"), "priors")
+        few = (at.agg(F.sum(F.octet_length("at") + 8 * n + 64)).first()[0] or 0) <= BROADCAST_BYTES
+        x = x.withColumn("prior", prior).join(F.broadcast(at) if few else at, F.col(level) == F.col("at"), "left")
+        others = F.when(F.col("sums").isNotNull(), F.zip_with("sums", "post", lambda s, p: F.greatest(s - p, F.lit(0.0)))).otherwise(nothing)
         weight = F.aggregate(others, F.lit(SMOOTH), lambda a, v: a + v)
-        x = x.withColumn("__prior", F.zip_with(others, "__prior", lambda c, p: (c + p * SMOOTH) / weight)).drop("__at", "__sums")
-        prior = F.col("__prior")
-    whole = F.zip_with(F.zip_with("__text", F.coalesce(say[F.col("__value")], nothing), lambda a, b: a + b), "__prior", lambda a, p: a + F.log(p))
-    x = x.withColumn("__fused", _softmax(whole))
+        x = x.withColumn("prior", F.zip_with(others, "prior", lambda c, p: (c + p * SMOOTH) / weight)).drop("at", "sums")
+        prior = F.col("prior")
+    whole = F.zip_with(F.zip_with("told", F.coalesce(say[F.col("value")], nothing), lambda a, b: a + b), prior, lambda a, p: a + F.log(p))
+    x = x.withColumn("fused", _softmax(whole))
     names = F.array(*map(F.lit, classes))
     best = lambda c: names[F.array_position(c, F.array_max(c)).cast("int") - 1]
-    x = x.withColumn("lang_id", best(F.col("__fused"))).withColumn("confidence", F.round(F.array_max("__fused"), 6)).withColumn("text_lang", best(F.col("__post")))
-    x = x.withColumn("kept", F.col("__words") & (F.col("lang_id") != UND) & (F.col("confidence") >= MIN_CONFIDENCE))
-    return x.select(*[f"`{c}`" for c in docs.columns if c not in new], *new)
+    x = x.withColumn("lang_id", best(F.col("fused"))).withColumn("confidence", F.round(F.array_max("fused"), 6)).withColumn("text_lang", best(F.col("post")))
+    x = x.withColumn("kept", F.col("words") & (F.col("lang_id") != UND) & (F.col("confidence") >= MIN_CONFIDENCE))
+    return x.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(rest)], *new)
 
 
-def documents(docs: DataFrame) -> DataFrame:
+def documents(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """For rows of ``documents``: lang is what is declared, source stands for the host."""
-    return identify(docs, declared=F.col("lang"), host=F.col("source"))
+    return identify(docs, declared=F.col("lang"), host=F.col("source"), keep=keep)
 
 
-def pages(rows: DataFrame) -> DataFrame:
+def pages(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """For rows of ``pages``: <html lang>, the host's last label and the host, and the text outside tags."""
     body = F.regexp_replace(F.regexp_replace(F.col("html"), r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"(?s)<[^>]*>|&\w+;", " ")
     lang = F.lower(F.nullif(F.regexp_extract(F.col("html"), r"(?i)<html[^>]*\blang=[\"']?([A-Za-z]+)", 1), F.lit("")))
     host = F.lower(F.nullif(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
-    return identify(rows, "page_id", body, lang, F.nullif(F.regexp_extract(host, r"\.([^.]+)$", 1), F.lit("")), host)
+    return identify(rows, "page_id", body, lang, F.nullif(F.regexp_extract(host, r"\.([^.]+)$", 1), F.lit("")), host, keep=keep)
 
 
 def op5(rows: DataFrame) -> DataFrame:
-    return documents(rows.select("doc_id", "text", "lang", "source")).select("doc_id", "lang_id", "confidence", "text_lang", F.col("lang").alias("declared"), "kept")
+    return documents(rows, ["doc_id", "lang"]).select("doc_id", "lang_id", "confidence", "text_lang", F.col("lang").alias("declared"), "kept")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows whose language is told with confidence; all columns of docs stay as they are."""
-    # in a struct, as docs may have columns with a result's name
-    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__kept"), docs["doc_id"], docs["lang"], docs["source"])
-    kept = identify(whole, text=F.col("__kept")["text"], declared=F.col("lang"), host=F.col("source")).where("kept")
-    return kept.select(*[F.col("__kept")[c].alias(c) for c in docs.columns])
+    """The rows whose language is told with confidence; all columns of docs stay as they are.
+
+    Texts go to Python once and are dealt out once, to meet the ids that are kept; the tables on the way hold no texts.
+    """
+    seen = [F.coalesce(F.concat(F.lit("="), docs[f"`{c}`"].cast("string")), F.lit("")) for c in ("lang", "source")]
+    seen.append(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    # rows that agree in these agree in the decision
+    keyed = docs.select(key_or(docs["doc_id"]).alias("k"), F.xxhash64(*seen).alias("x"), F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("whole"))
+    facts = docs.select(key_or(docs["doc_id"]).alias("k"), F.xxhash64(*seen).alias("x"), docs["text"].alias("t"), docs["lang"], docs["source"])
+    kept = identify(facts, "k", F.col("t"), F.col("lang"), None, F.col("source"), keep=["k", "x"]).where("kept").select("k", "x").distinct()
+    return keyed.join(kept.hint("shuffle_hash"), ["k", "x"], "left_semi").select(*[F.col("whole")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
