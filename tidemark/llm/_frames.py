@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -29,8 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; sets one of its own only where none is configured."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        import tempfile
-
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
@@ -49,6 +51,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _table_of(path: str) -> str:
+    """The catalog's name for a bucketed table."""
+    return path.rpartition("/")[2].replace("-", "_")
+
+
 def by_bucket(df: DataFrame, name: str, column: str, then: Callable[[DataFrame], DataFrame] = lambda dealt: dealt) -> DataFrame:
     """Like cut(), but dealt to as many buckets as shuffles have partitions: joins on ``column`` move only the other side.
 
@@ -56,8 +63,10 @@ def by_bucket(df: DataFrame, name: str, column: str, then: Callable[[DataFrame],
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = f"tidemark_{name}_{uuid.uuid4().hex}"
-    then(df.repartition(n, column)).write.bucketBy(n, column).option("path", new_path(spark, name)).saveAsTable(made, format="parquet")
+    path = new_path(spark, name)
+    made = _table_of(path)
+    with small_batches(spark):
+        then(df.repartition(n, column)).write.bucketBy(n, column).option("path", path).saveAsTable(made, format="parquet")
     return spark.table(made)
 
 
@@ -71,7 +80,10 @@ def drop_paths(spark: SparkSession, paths: Iterable[str]) -> None:
 def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes tables that cut() wrote, once nothing reads them any more."""
     paths = {f.rpartition("/")[0] for frame in frames for f in frame.inputFiles()}
-    drop_paths(spark, [p for p in paths if "/tidemark-" in p])
+    paths = [p for p in paths if "/tidemark-" in p]
+    for p in paths:
+        spark.sql(f"DROP TABLE IF EXISTS {_table_of(p)}")
+    drop_paths(spark, paths)
 
 
 def over_batches(make: Callable[[dict], dict | Iterator[dict]], schema: pa.Schema) -> Callable:

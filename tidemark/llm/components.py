@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._frames import cut
+from tidemark.llm._frames import cut, drop_tables
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,6 +24,9 @@ def components(links: DataFrame) -> DataFrame:
         up = at.select(F.col("v").alias("u"), F.col("label").alias("jump"))
         step = step.join(up, F.col("m") == F.col("u"), "left").select("v", "label", F.least("m", F.coalesce("jump", "m")).alias("m"))
         step = cut(step, "labels")
-        if step.where("m <> label").isEmpty():
+        done = step.where("m <> label").isEmpty()
+        if done:
+            drop_tables(links.sparkSession, both, step)
             return at
+        drop_tables(links.sparkSession, at)
         at = step.select("v", F.col("m").alias("label"))

@@ -4,10 +4,13 @@ A document's tokens are the hashes of its distinct n-word shingles.  Two documen
 similarity of at least t share a token among the first floor((1 - t) n) + 1 of each under any
 global order of tokens, and in fact many of them; so a pair must pass under every order used.
 
-Orders: the first puts a fixed share of all tokens (by hash) in front, those in few documents
-first, so that most prefixes hold tokens of one document only, which need no join; the rest follow by hash.  The second
-order is by another hash.  Under the first order the prefixes are joined token by token; pairs then
-need enough common prefix tokens under the second order before any text is compared.
+Orders, all of which a pair must pass before its texts are compared:
+
+1. Tokens of one document only come first.  A document with more of them than it may differ in shares no prefix token
+   with anybody and is done with; that is most of a corpus without its copies, so only the rest is dealt out token by token.
+   Tokens are counted by 32 + bits bits of their hash in 2**bits buckets (a rule like any other), packed by unit of rows and bucket.
+2. Of a fixed share of all tokens (by hash) those in few documents come first, the rest follow by hash.  These prefixes are joined.
+3. Another hash: candidates need enough common prefix tokens under it as well.
 
 Only components are wanted, so pairs within one component are never formed.  Where more than
 ``SMALL`` members of a token group are outside its largest component, the group isn't paired up: all its
@@ -17,6 +20,8 @@ linked to the hub, only if both differ from the hub in common tokens, and in one
 under an order that puts the hub's own tokens last and rare ones first.  So the group is
 dealt anew by hub and differing token; what is still large after ``LEVELS`` rounds is paired up.
 
+Members of a hub go to it as whole texts, since they need their differences in any case; all other pairs pass the three orders.
+
 Linked documents get the least id of their component.  Equal token sets link without comparison.
 
 Edge cases: a null or empty text has no tokens and links with nothing; fewer words than n make one
@@ -30,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,16 +89,67 @@ def prefix(key: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> tuple[np.
     return order[rank < np.repeat(take, sizes)], np.concatenate(([0], np.cumsum(take)))
 
 
-_SIGN = "k bigint, x bigint, n bigint, d1 bigint, d2 bigint, pooled int, p1 array<bigint>, p2 array<int>"
-
-
-def _sign(n: int, percent: int):
+#: Bytes of text whose tokens are counted in one bucket, about.
+BUCKET_BYTES = 6 << 20
+#: Of a document: unit and place in it are r; of a unit and bucket: singles (tokens of one document of the unit), their documents (places, as steps), others.
+_SIGN = "r bigint, k bigint, x bigint, n bigint, d1 bigint, d2 bigint, pooled int, p1 array<bigint>, p2 array<int>, unit bigint, bucket int, singles binary, owners binary, others binary"
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+_SIGN_SCHEMA = pa.schema([(name, _ARROW[kind]) for name, kind in (f.split(" ") for f in _SIGN.split(", "))])
+
+
+def _only(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """A batch of the named columns, all others null."""
+    size = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in _SIGN_SCHEMA], schema=_SIGN_SCHEMA)
+
+
+def _steps(places: np.ndarray) -> bytes:
+    return np.diff(places, prepend=0).astype(np.uint16).tobytes()
+
+
+def _places(steps: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, np.uint16), dtype=np.int64)
+
+
+def _packed(unit: int, tok: np.ndarray, own: np.ndarray, bits: int) -> pa.RecordBatch | None:
+    """A unit's tokens by bucket, from tokens in the order of their documents."""
+    key = tok >> U64(32 - bits)
+    order = np.argsort(key)
+    key_in_order = key[order]
+    same = key_in_order[1:] == key_in_order[:-1]
+    twice = np.zeros(len(key), bool)
+    twice[1:] |= same
+    twice[:-1] |= same
+    single = np.zeros(len(key), bool)
+    single[order[~twice]] = True
+    more = np.unique(key_in_order[twice])
+    at = np.flatnonzero(single)
+    at = at[np.argsort((key[at] >> U64(32)).astype(np.uint32), kind="stable")]
+    of_single, of_more = key[at] >> U64(32), more >> U64(32)
+    used = np.union1d(of_single, of_more)
+    if not len(used):
+        return None
+    cut_at = lambda of, values: [values[i:j] for i, j in zip(np.searchsorted(of, used), np.searchsorted(of, used, "right"), strict=True)]
+    return _only({
+        "unit": pa.array(np.full(len(used), unit)), "bucket": pa.array(used.astype(np.int32)),
+        "singles": pa.array([x.tobytes() for x in cut_at(of_single, key[at].astype(np.uint32))], pa.binary()),
+        "owners": pa.array([_steps(x) for x in cut_at(of_single, own[at])], pa.binary()),
+        "others": pa.array([x.tobytes() for x in cut_at(of_more, more.astype(np.uint32))], pa.binary()),
+    })
+
+
+def _sign(n: int, percent: int, bits: int):
+    """Over rows (k, x, t, part): a row per document and one per bucket of its unit (a batch), see _SIGN."""
     limit = U64(int(min(0.99, POOL * (100 - percent) / 100) * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = None
         for b in batches:
+            if not b.num_rows:
+                continue
+            unit = b.column(3)[0].as_py() << 20 if unit is None else unit + 1
             texts, seen = b.column(2).to_pylist(), set()
-            columns, lists = [[] for _ in range(4)], ([], [])
+            columns, lists, tokens, owners = [[] for _ in range(4)], ([], []), [], []
             for i, j in slices(texts):
                 tok, first = token_sets(texts[i:j], n)
                 sizes = np.diff(first)
@@ -112,15 +169,71 @@ def _sign(n: int, percent: int):
                 lists[1].append(((mix(tok[at]) >> U64(32)).astype(np.uint32).view(np.int32), np.diff(bounds)))
                 for column, v in zip(columns, (sizes, signed(d1), signed(d2), pooled.astype(np.int32)), strict=True):
                     column.append(v)
-            arrays = [b.column(0), b.column(1), *[pa.array(np.concatenate(c)) for c in columns]]
-            for parts, kind in zip(lists, (pa.int64(), pa.int32()), strict=True):
+                tokens.append(tok)
+                owners.append(np.repeat(np.arange(i, j), sizes))
+            made = {"r": pa.array((unit << 16) + np.arange(b.num_rows)), "k": b.column(0), "x": b.column(1)} | {c: pa.array(np.concatenate(v)) for c, v in zip(("n", "d1", "d2", "pooled"), columns, strict=True)}
+            for c, parts, kind in zip(("p1", "p2"), lists, (pa.int64(), pa.int32()), strict=True):
                 ends = np.concatenate(([0], np.cumsum(np.concatenate([q[1] for q in parts])))).astype(np.int32)
-                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([q[0] for q in parts]), kind)))
-            yield pa.RecordBatch.from_arrays(arrays, names=["k", "x", "n", "d1", "d2", "pooled", "p1", "p2"])
+                made[c] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([q[0] for q in parts]), kind))
+            yield _only(made)
+            if (packed := _packed(unit, np.concatenate(tokens), np.concatenate(owners), bits)) is not None:
+                yield packed
 
     return run
 
 
+def _alone(asked: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Of one bucket: per unit, the places of the documents of its tokens that no other document has."""
+    key = np.concatenate([s for _, s, _, _ in asked])
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    single = np.ones(len(key), bool)
+    single[order[1:][same]] = False
+    single[order[:-1][same]] = False
+    more = np.unique(np.concatenate([o for _, _, _, o in asked]))
+    if len(more):
+        single &= more[np.minimum(np.searchsorted(more, key), len(more) - 1)] != key
+    ends = np.cumsum([len(s) for _, s, _, _ in asked])
+    told = [(u, _steps(own[single[end - len(s) : end]])) for (u, s, own, _), end in zip(asked, ends, strict=True)]
+    return _only({"unit": pa.array([u for u, t in told if t], pa.int64()), "owners": pa.array([t for _, t in told if t], pa.binary())})
+
+
+def _count_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows of _SIGN in the order of buckets: documents' rows pass, a bucket's rows become those of _alone."""
+    at, asked = None, []
+    for b in batches:
+        of_bucket = pc.is_valid(b.column("bucket"))
+        if (passed := b.filter(pc.invert(of_bucket))).num_rows:
+            yield passed
+        for unit, bucket, singles, owners, others in zip(*(b.filter(of_bucket).column(c).to_pylist() for c in ("unit", "bucket", "singles", "owners", "others")), strict=True):
+            if at is not None and bucket != at:
+                yield _alone(asked)
+                asked = []
+            at = bucket
+            asked.append((unit, np.frombuffer(singles, np.uint32), _places(owners), np.frombuffer(others, np.uint32)))
+    if asked:
+        yield _alone(asked)
+
+
+def _sum_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (unit, owners) in the order of units: (r, alone), the number of tokens that only the document has."""
+    at, count = None, np.zeros(0, np.int64)
+
+    def told() -> pa.RecordBatch:
+        own = np.flatnonzero(count)
+        return pa.RecordBatch.from_arrays([pa.array((at << 16) + own), pa.array(count[own])], names=["r", "alone"])
+
+    for b in batches:
+        for unit, owners in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if unit != at:
+                if at is not None:
+                    yield told()
+                at, count = unit, np.zeros(1 << 16, np.int64)
+            np.add.at(count, _places(owners), 1)
+    if at is not None:
+        yield told()
+
+
 def _compare(n: int, percent: int, deltas: bool):
     """Over rows (a, b, ta, tb): links by exact comparison; with ``deltas`` the groups to deal b to next."""
 
@@ -167,14 +280,14 @@ def _compare(n: int, percent: int, deltas: bool):
 _FOUND = "a bigint, b bigint, linked boolean, next array<bigint>, own int, n bigint"
 
 
-def _place(k: Column) -> Column:
+def _bit(k: Column) -> Column:
     return F.pmod(F.xxhash64(k), F.lit(FILTER_BITS))
 
 
 def _texts_for(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """(r, t) for the rows (r, k, x) of ``wanted``."""
     bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(k), {FILTER_BITS}) % 64 as int))")
-    words = wanted.groupBy(F.floor(_place(F.col("k")) / 64).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()  # FILTER_BITS / 64 rows at most
+    words = wanted.groupBy(F.floor(_bit(F.col("k")) / 64).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()  # FILTER_BITS / 64 rows at most
     bits = np.zeros(FILTER_BITS >> 6, np.int64)
     bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     shared = keyed.sparkSession.sparkContext.broadcast(bits.view(U64))
@@ -185,25 +298,28 @@ def _texts_for(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
             keep = (shared.value[at >> 6] >> (at & 63).astype(U64)) & U64(1) == 1
             yield b.filter(pa.array(keep)).select([0, 1, 2])
 
-    some = keyed.select("k", "x", "t", _place(F.col("k")).alias("place")).mapInArrow(likely, "k bigint, x bigint, t binary")
+    some = keyed.select("k", "x", "t", _bit(F.col("k")).alias("place")).mapInArrow(likely, "k bigint, x bigint, t binary")
     found = some.join(wanted, ["k", "x"])
     return by_bucket(found, "texts", "r", lambda dealt: dealt.groupBy("r").agg(F.first("t").alias("t")))
 
 
-def _pair_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, ta, tb) for pairs (a, b): only the pairs and the texts in them move, as ``texts`` lies in buckets."""
+def _compared(pairs: DataFrame, texts: DataFrame, n: int, percent: int, deltas: bool, name: str) -> DataFrame:
+    """_compare() for pairs (a, b): only the pairs and the texts in them move, as ``texts`` lies in buckets."""
     b = texts.select(F.col("r").alias("b"), F.col("t").alias("tb"))
     # written, as a hub's pairs can be split among tasks only if both sides are dealt out anew
     a = cut(texts.join(pairs.select(F.col("a").alias("r")).distinct(), "r", "left_semi").select(F.col("r").alias("a"), F.col("t").alias("ta")), "hubs")
-    return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
+    both = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
+    out = cut(both.mapInArrow(_compare(n, percent, deltas), _FOUND), name)
+    drop_tables(pairs.sparkSession, a)
+    return out
 
 
-def _first_groups(signs: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
-    """(token, k, n, pos): the prefixes under the first order, as far as others may share their tokens."""
-    rows = signs.where("n > 0").select("r", "n", "pooled", F.posexplode("p1").alias("at", "token"))
+def _first_groups(signs: DataFrame, percent: int) -> DataFrame:
+    """(token, k, n, pos): the prefixes under the second order, as far as others may share their tokens."""
+    rows = signs.select("r", "n", "pooled", F.posexplode("p1").alias("at", "token"))
     part = F.expr("cast(shiftright(token, 32) as int)")  # counts by half of the token's bits: a rule like any other
     often = rows.groupBy(part.alias("part")).agg(F.count("*").alias("df")).where("df > 1")
-    rows = rows.withColumn("part", part).join(often, "part").join(copies, "r", "left_anti")
+    rows = rows.withColumn("part", part).join(often, "part")
     rows = rows.withColumn("late", F.col("at") >= F.col("pooled"))
     own = Window.partitionBy("r", "late")
     before = F.col("pooled") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")) - 1
@@ -211,36 +327,56 @@ def _first_groups(signs: DataFrame, copies: DataFrame, percent: int) -> DataFram
     return rows.where(F.col("pos") <= F.floor((100 - percent) * F.col("n") / 100)).select("token", F.col("r").alias("k"), "n", "pos")
 
 
+def _signatures(keyed: DataFrame, n: int, percent: int) -> DataFrame:
+    """The documents' rows and the buckets' replies, see _SIGN; a document moves as its tokens' keys and prefixes."""
+    size = keyed.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    bits = min(30, max(3, (size // BUCKET_BYTES).bit_length()))
+    signs = keyed.withColumn("part", F.spark_partition_id()).mapInArrow(_sign(n, percent, bits), _SIGN)
+    dealt = signs.repartition(F.when(F.col("bucket").isNull(), F.xxhash64("r")).otherwise(F.xxhash64("bucket"))).sortWithinPartitions("bucket")
+    return cut(dealt.mapInArrow(_count_alone, _SIGN), "signatures")
+
+
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """(k, x, n_shingles, component) per row of docs: its id and text hash, its tokens and the least id it reaches.
 
     Null ids are the least bigint.
     """
+    spark = docs.sparkSession
     text = F.coalesce(utf8(docs[f"`{text_col}`"]), F.lit(b""))
     keyed = docs.select(key_or(docs[f"`{id_col}`"]).alias("k"), F.xxhash64(text).alias("x"), text.alias("t"))
-    signs = cut(keyed.mapInArrow(_sign(n, percent), _SIGN).withColumn("r", F.monotonically_increasing_id()), "signatures")
+    told = _signatures(keyed, n, percent)
+    signs = told.where("r is not null")
     narrow = cut(signs.select("r", "k", "x", "n", "d1", "d2"), "rows")
     whole = narrow.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("r").alias("first"), F.count("*").alias("rows")).where("rows > 1")
     twins = narrow.join(whole.select("d1", "d2", "n", "first"), ["d1", "d2", "n"]).where("r <> first")
     links = cut(twins.select(F.col("first").alias("a"), F.col("r").alias("b")), "twins")
 
-    rows = cut(_first_groups(signs, links.select(F.col("b").alias("r")), percent), "prefixes")
-    wanted = rows.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
-    rows = cut(rows.join(wanted, "token"), "prefixes")
+    # the first order: documents with no more tokens of their own than they may differ in
+    alone = told.where("r is null").select("unit", "owners").repartition("unit").sortWithinPartitions("unit").mapInArrow(_sum_alone, "r bigint, alone bigint")
+    open_ = narrow.where("n > 0").join(alone, "r", "left").where(F.coalesce("alone", F.lit(0)) <= F.floor((100 - percent) * F.col("n") / 100))
+    open_ = open_.select("r").join(links.select(F.col("b").alias("r")), "r", "left_anti")
+    signs = cut(signs.select("r", "n", "pooled", "p1", "p2").join(open_, "r", "left_semi"), "open")
+    drop_tables(spark, told)
+
+    every = cut(_first_groups(signs, percent), "prefixes")
+    wanted = every.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
+    rows = cut(every.join(wanted, "token"), "prefixes")
+    drop_tables(spark, every)
     wanted = rows.select(F.col("k").alias("r")).distinct().join(narrow.select("r", "k", "x"), "r")
     texts = _texts_for(keyed, wanted)
     label, pairs = None, None
     for level in range(LEVELS + 1):
         if label is None:
-            group = rows.withColumn("c", F.col("k"))
+            shared = rows.withColumn("c", F.col("k"))
         else:
-            shared = rows.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
-            group = cut(rows.join(shared, "token"), "groups")
-        by = group.groupBy("token", "c").agg(F.count("*").alias("m"), F.min(F.struct("pos", "k")).alias("hub"))
+            often = rows.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
+            shared = cut(rows.join(often, "token"), "groups")
+        by = shared.groupBy("token", "c").agg(F.count("*").alias("m"), F.min(F.struct("pos", "k")).alias("hub"))
         by = by.groupBy("token").agg(F.max(F.struct("m", "c")).alias("main"), F.sum("m").alias("members"), F.min("hub").alias("hub"))
         # members outside the group's largest component; all pairs across components have one
         by = by.where("members > main.m").select("token", F.col("main.c").alias("main"), (F.col("members") - F.col("main.m")).alias("others"), F.col("hub.k").alias("hub"))
-        group = cut(group.join(by, "token"), "groups")
+        group = cut(shared.join(by, "token"), "groups")
+        drop_tables(spark, rows, shared)
         last = level == LEVELS
         small = group if last else group.where(F.col("others") <= SMALL)
         far = ["pos"] if label is None else ["pos", "hub_of", "size", "kept"]
@@ -265,10 +401,12 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         pairs = p if pairs is None else pairs.unionByName(p)
         large = group.where(F.col("others") > SMALL)
         if last or large.isEmpty():
+            drop_tables(spark, group)
             break
         star = cut(large.where("k <> hub").select(F.col("hub").alias("a"), F.col("k").alias("b")).distinct(), "star")
-        found = cut(_pair_texts(star, texts).mapInArrow(_compare(n, percent, True), _FOUND), "stars")
-        links = links.unionByName(found.where("linked").select("a", "b"))
+        found = _compared(star, texts, n, percent, True, "stars")
+        drop_tables(spark, group, star)
+        links = links.unionByName(cut(found.where("linked").select("a", "b"), "twins"))
         label = components(links)
         # hubs that all link to need no more; of a difference from another hub, the prefix is dealt out
         open_ = found.where("not linked").select("a").distinct()
@@ -283,8 +421,9 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         dealt = dealt.withColumn("pos", rank).where(F.col("pos") <= apart)
         rows = dealt.select("token", F.col("b").alias("k"), "n", "pos", "c", F.col("a").alias("hub_of"), "size", F.least(F.col("size"), apart + 1).alias("kept"))
         rows = cut(rows, "dealt")
+        drop_tables(spark, found)
 
-    # the second order, before texts are compared
+    # the third order, before texts are compared
     pairs = pairs.distinct()
     pre = signs.join(pairs.select(F.col("a").alias("r")).union(pairs.select("b")).distinct(), "r", "left_semi").select("r", "n", "p2")
     pre_a, pre_b = (pre.select(F.col("r").alias(c), F.col("n").alias(f"m{c}"), F.col("p2").alias(f"p{c}")) for c in "ab")
@@ -294,8 +433,9 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     least = F.greatest(F.lit(1), F.least(need - F.col("ma") + length("ma"), need - F.col("mb") + length("mb")))
     hidden = length("ma") - F.size(F.array_distinct("pa")) + length("mb") - F.size(F.array_distinct("pb"))
     q = cut(q.where(F.size(F.array_intersect("pa", "pb")) + hidden >= least).select("a", "b"), "candidates")
-    checked = cut(_pair_texts(q, texts).mapInArrow(_compare(n, percent, False), _FOUND), "links").where("linked").select("a", "b")
-    drop_tables(docs.sparkSession, texts, signs)
+    drop_tables(spark, signs)
+    checked = _compared(q, texts, n, percent, False, "links").where("linked").select("a", "b")
+    drop_tables(spark, texts)
 
     label = components(checked.unionByName(links))
     least_id = label.join(narrow.select("r", "k"), F.col("v") == F.col("r")).groupBy(F.col("label").alias("l")).agg(F.min("k").alias("component"))
