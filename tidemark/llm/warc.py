@@ -10,8 +10,8 @@ page id holds the payload, the others name it.  Only payload digests and ids are
 the few that repeat are joined back, by broadcast where Spark finds them small enough, else by a
 join that splits hot digests.
 
-Normalised archives are written from the tasks through pyarrow.fs, under a temporary name that is
-renamed when complete; contents follow from the input alone, so a task that is run again replaces
+Archives are read as streams and normalised ones are written from the tasks through pyarrow.fs (file, s3, s3a, gs, abfss,
+hdfs), under a temporary name that is renamed when complete; contents follow from the input alone, so a task that is run again replaces
 its file by an equal one.
 
 Edge cases: a null html is an empty payload; a null url has no WARC-Target-URI, line breaks in one are
@@ -85,19 +85,19 @@ def write_monolithic(pages: DataFrame, path: str) -> None:
 
 
 class _Members:
-    """The records of a gzip file's bytes, inflated once and in order."""
+    """The records of a gzip file (anything with ``read``), inflated once and in order; holds a record, not the file."""
 
     STEP = 1 << 16
 
-    def __init__(self, data: bytes):
-        self.data, self.at, self.buf, self.z = memoryview(data), 0, bytearray(), zlib.decompressobj(31)
+    def __init__(self, file):
+        self.file, self.rest, self.buf, self.z = file, b"", bytearray(), zlib.decompressobj(31)
 
     def _more(self) -> bool:
-        while self.at < len(self.data):
+        while data := self.rest or self.file.read(self.STEP):
             if self.z.eof:  # another gzip stream follows
                 self.z = zlib.decompressobj(31)
-            got = self.z.decompress(self.data[self.at : self.at + self.STEP])
-            self.at = min(len(self.data), self.at + self.STEP) - len(self.z.unused_data)
+            got = self.z.decompress(data)
+            self.rest = self.z.unused_data
             if got:
                 self.buf += got
                 return True
@@ -145,17 +145,24 @@ _INDEX = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("length",
 INDEX_DDL = "archive string, offset bigint, length bigint, record_type string, record_id string"
 
 
+def _store(uri: str):
+    """The file system of a URI, and the path in it; Spark's names of stores are taken as well."""
+    from pyarrow import fs
+
+    uri = re.sub(r"^s3[an]:", "s3:", re.sub(r"^(file:)?/+", "file:///", uri))
+    return fs.FileSystem.from_uri(uri)
+
+
 def _normalise(out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(out)
+        store, root = _store(out)
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for path in b.column(0).to_pylist():
                 name = re.sub(r"(\.txt)?(\.gz)?$", "", path.rpartition("/")[2]) + ".warc.gz"
                 temporary, rows, at = f"{root}/_{uuid.uuid4().hex}", [], 0
-                with store.open_output_stream(temporary) as f:
-                    for record in _Members(content.as_buffer()):
+                source, place = _store(path)
+                with source.open_input_stream(place, compression=None) as archive, store.open_output_stream(temporary, compression=None) as f:
+                    for record in _Members(archive):
                         member, headers = _member(record), parse(record)[0]
                         f.write(member)
                         rows.append({"archive": f"{out}/{name}", "offset": at, "length": len(member), "record_type": headers["warc-type"], "record_id": headers["warc-record-id"]})
@@ -171,18 +178,20 @@ def _normalise(out: str):
 
 def normalise(spark: SparkSession, path: str, out: str) -> DataFrame:
     """Rewrites the archives under ``path`` to the folder ``out``; the index of all records."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return cut(files.mapInArrow(_normalise(out), INDEX_DDL), "warc-index")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(hadoop.Path(out))
+    files = spark.read.format("binaryFile").load(path).select("path")  # the archives themselves are read as streams
+    index = cut(files.mapInArrow(_normalise(out), INDEX_DDL), "warc-index")
+    for left in store.globStatus(hadoop.Path(f"{out}/_*")) or []:  # of tasks that died
+        store.delete(left.getPath(), False)
+    return index
 
 
 _READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyarrow import fs
-
     name, f = None, None
     number = lambda x: int(x) if x is not None else None
     for b in batches:
@@ -191,7 +200,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if archive != name:
                 if f:
                     f.close()
-                store, path = fs.FileSystem.from_uri(archive)
+                store, path = _store(archive)
                 name, f = archive, store.open_input_file(path)
             headers, content = parse(zlib.decompress(f.read_at(length, offset), 31))
             digest = headers["warc-payload-digest"].removeprefix("sha256:")
@@ -215,7 +224,19 @@ def op1(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     raw, out = new_path(spark, "warc"), new_path(spark, "warc-members")
     write_monolithic(pages, raw)
-    return read(normalise(spark, raw, out)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return confirmed(read(normalise(spark, raw, out))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def confirmed(found: DataFrame) -> DataFrame:
+    """Records that were read; a revisit whose response isn't there with its digest and size raises an error."""
+    found = cut(found, "warc-read")
+    responses = found.where("record_type = 'response'").select(key_or(F.col("page_id")).alias("__page"), F.col("payload_digest").alias("__digest"), F.col("payload_bytes").alias("__bytes")).distinct()
+    revisits = found.where("record_type = 'revisit'")
+    # by digest first, so that a popular response is split among tasks if need be
+    j = revisits.join(responses, (F.col("payload_digest") == F.col("__digest")) & (key_or(F.col("refers_to")) == F.col("__page")), "left")
+    wrong = F.raise_error(F.concat_ws(" ", F.lit("no such response:"), "archive", F.lit("at"), "offset")).cast("bigint")
+    j = j.withColumn("payload_bytes", F.when(F.col("payload_bytes") == F.col("__bytes"), F.col("payload_bytes")).otherwise(wrong))
+    return found.where("record_type <> 'revisit'").unionByName(j.select(*found.columns))
 
 
 SQL = """
