@@ -50,12 +50,15 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def trigram_buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, first): hashed byte trigrams of some texts (lower-cased), and where each text's begin."""
+    """(buckets, first): hashed byte trigrams of some texts (lower-cased, two spaces behind), and where each text's begin."""
     buf = np.frombuffer(b"".join(t.lower() + b"  " for t in texts), np.uint8).astype(np.uint32)
+    sizes = np.array([len(t) for t in texts], np.int64)
     x = (buf[:-2] << 16 | buf[1:-1] << 8 | buf[2:]) if len(buf) > 2 else np.zeros(0, np.uint32)
+    inside = np.ones(len(buf), bool)
+    ends = np.cumsum(sizes + 2)
+    inside[ends - 1] = inside[ends - 2] = False  # these go on into the next text
     hashed = (x * np.uint32(0x9E3779B1)) >> np.uint32(17)
-    at = np.concatenate(([0], np.cumsum([len(t) + 2 for t in texts])))
-    return hashed, np.minimum(at, len(hashed))
+    return hashed[inside[: len(x)]], np.concatenate(([0], np.cumsum(sizes)))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,8 +98,10 @@ def _evidence(shared):
         texts = [t or b"" for t in texts]
         for i, j in slices(texts, SLICE_BYTES // 4):
             hashed, first = trigram_buckets(texts[i:j])
-            # two zeros, as the last text may have no trigrams
-            sums.append(np.stack([np.add.reduceat(np.concatenate((row[hashed], np.zeros(2, row.dtype))), first[:-1], dtype=np.float64) for row in logs], axis=1))
+            # one zero more, as the last texts may be empty
+            some = np.stack([np.add.reduceat(np.append(row[hashed], np.float32(0)), first[:-1], dtype=np.float64) for row in logs], axis=1)
+            some[first[1:] == first[:-1]] = 0.0
+            sums.append(some)
             words += [bool(t.strip()) for t in texts[i:j]]
         told = np.concatenate(sums) * TEXT_WEIGHT if sums else np.zeros((0, len(logs)))
         told[:, -1] += np.log(UND_PRIOR)
@@ -170,16 +175,26 @@ def documents(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return identify(docs, declared=F.col("lang"), host=F.col("source"), keep=keep)
 
 
+def markup_language(html: Column) -> Column:
+    """What <html lang> declares, without its region; null where it says nothing."""
+    return F.lower(F.nullif(F.regexp_extract(html, r"(?i)<html[^>]*\blang=[\"']?([A-Za-z]+)", 1), F.lit("")))
+
+
 def pages(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """For rows of ``pages``: <html lang>, the host's last label and the host, and the text outside tags."""
     body = F.regexp_replace(F.regexp_replace(F.col("html"), r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"(?s)<[^>]*>|&\w+;", " ")
-    lang = F.lower(F.nullif(F.regexp_extract(F.col("html"), r"(?i)<html[^>]*\blang=[\"']?([A-Za-z]+)", 1), F.lit("")))
     host = F.lower(F.nullif(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
-    return identify(rows, "page_id", body, lang, F.nullif(F.regexp_extract(host, r"\.([^.]+)$", 1), F.lit("")), host, keep=keep)
+    return identify(rows, "page_id", body, markup_language(F.col("html")), F.nullif(F.regexp_extract(host, r"\.([^.]+)$", 1), F.lit("")), host, keep=keep)
 
 
-def op5(rows: DataFrame) -> DataFrame:
-    return documents(rows, ["doc_id", "lang"]).select("doc_id", "lang_id", "confidence", "text_lang", F.col("lang").alias("declared"), "kept")
+def op5(documents_table: DataFrame, pages_table: DataFrame | None = None) -> DataFrame:
+    """A row per document (page_id null) and per page (doc_id null), each table with classes and priors of its own."""
+    new = ["lang_id", "confidence", "text_lang", F.col("lang").alias("declared"), "kept"]
+    found = documents(documents_table, ["doc_id", "lang"]).select("doc_id", F.lit(None).cast("bigint").alias("page_id"), *new)
+    if pages_table is None:
+        return found
+    of_pages = pages(pages_table.select("page_id", "url", "html", markup_language(F.col("html")).alias("lang")), ["page_id", "lang"])
+    return found.unionByName(of_pages.select(F.lit(None).cast("bigint").alias("doc_id"), F.col("page_id").cast("bigint").alias("page_id"), *new))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": _on("documents", substring.op2),
         "op3_bloom_lm": _on("documents", lm.op3),
         "op4_entropy_mixing": _on("documents", mixing.op4),
-        "op5_language_fusion": _on("documents", langid.op5),
+        "op5_language_fusion": lambda spark, sf_dir: langid.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")),
         "op6_temporal_url_lists": _on("pages", urlfilter.op6),
         "op7_jaccard_join": _on("documents", jaccard.op7),
         "op8_bpe_stream": _on("documents", bpe.op8),
