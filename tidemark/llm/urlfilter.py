@@ -3,7 +3,7 @@
 A list is a log of dated entries (list, pattern, verdict, action, since): ``add`` makes the pattern
 active from that time on, ``remove`` ends it.  Per list and pattern the log becomes intervals that don't overlap;
 several entries of one time count by the last of add, remove in that order, and a repeated add continues the
-interval with its own verdict.  Patterns are a host suffix of whole labels ("example.com", "m.example.com") or a
+interval with its own verdict.  Patterns are read in lower case; they are a host suffix of whole labels ("example.com", "m.example.com") or a
 host with the first path segment ("m.example.com/en").
 
 A capture asks for each of its own patterns (one per label, and one with the path), so the join is
@@ -43,13 +43,13 @@ def patterns_of(host: Column, segment: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, pattern, verdict, since, until) from the log; until is null while an entry lasts."""
-    e = entries.where("pattern is not null and since is not null")
+    e = entries.where("pattern is not null and since is not null").withColumn("pattern", F.lower("pattern"))
     # one entry per list, pattern and time: remove wins over add, block over allow
     key = F.struct(F.col("action"), F.col("verdict"))
     e = e.groupBy("list", "pattern", "since").agg(F.max(key).alias("e"))
     w = Window.partitionBy("list", "pattern").orderBy("since")
     e = e.withColumn("until", F.lead("since").over(w))
-    return e.where("e.action = 'add'").select("list", F.lower("pattern").alias("pattern"), F.col("e.verdict").alias("verdict"), "since", "until")
+    return e.where("e.action = 'add'").select("list", "pattern", F.col("e.verdict").alias("verdict"), "since", "until")
 
 
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
