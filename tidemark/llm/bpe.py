@@ -2,9 +2,10 @@
 
 Encoding: texts are cut at the special tokens, then by the tokenizer's splitting pattern, and the
 merges run inside each piece.  Pieces come from segments of a text that end where the pattern must
-break, so memory doesn't grow with the text.  A piece has no length limit either: ``lookahead`` bytes past a
+break, or one by one where it doesn't break for long.  A piece has no length limit either: ``lookahead`` bytes past a
 token are enough to know that it is final, so a long piece is encoded in a window, and tokens that
-end before the window's last ``lookahead`` bytes are emitted.
+end before the window's last ``lookahead`` bytes are emitted.  So beside the text itself, memory doesn't grow with it;
+``digests`` hashes tokens as they come, and only ``encode`` (a column of ids) gathers them.
 
 The lookahead: merges are applied in the order of their ranks, so what happens on the right can
 only change what happens on the left through a merge of lower rank that overlaps the other's right
@@ -94,7 +95,7 @@ class BytePairs:
         self.lookahead = sufficient_lookahead([raw(a + b) for a, b in pairs])
         self.special = special
         self._cut = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
-        self._split = regex.compile(PATTERN).findall
+        self._split, self._pieces = regex.compile(PATTERN).findall, regex.compile(PATTERN).finditer
         self._break = regex.compile(r"(?<=\S) (?=\S)")
         self.pieces = _Pieces(self._piece)
         self.text_of = [str(i) for i in range(len(self.bytes_of))]
@@ -134,26 +135,29 @@ class BytePairs:
                 heapq.heappush(queue, (m[0], before[i], m[1], ids[before[i]], new))
         return [i for i in ids if i >= 0]
 
-    def stream(self, data: bytes, window: int | None = None) -> Iterator[list[int]]:
-        """The tokens of one piece, as soon as they are final."""
+    def stream(self, piece: str | bytes, window: int | None = None) -> Iterator[list[int]]:
+        """The tokens of one piece, as soon as they are final; holds two windows of its bytes."""
         window = window or 2 * self.lookahead
-        at = 0
-        while at < len(data):
-            part = data[at : at + window]
-            ids = self._window([self.single[b] for b in part])
-            if at + window >= len(data):
+        held, at = b"", 0
+        while at < len(piece) or held:
+            while at < len(piece) and len(held) < window:
+                part = piece[at : at + window]
+                held += part if isinstance(part, bytes) else part.encode("utf-8", "surrogatepass")
+                at += len(part)
+            ids = self._window([self.single[b] for b in held])
+            if at >= len(piece):
                 yield ids
                 return
             stop, final = 0, []
             for i in ids:
-                if stop + len(self.bytes_of[i]) > len(part) - self.lookahead:
+                if stop + len(self.bytes_of[i]) > len(held) - self.lookahead:
                     break
                 stop += len(self.bytes_of[i])
                 final.append(i)
             if not final:
                 window *= 2
                 continue
-            at += stop
+            held = held[stop:]
             yield final
 
     def _piece(self, data: bytes) -> list[int]:
@@ -161,26 +165,44 @@ class BytePairs:
             return self._short([self.single[b] for b in data])
         return [i for ids in self.stream(data) for i in ids]
 
-    def _segments(self, text: str) -> Iterator[str]:
-        at = 0
-        while len(text) - at > SEGMENT:
-            m = self._break.search(text, at + SEGMENT - 1)
+    def _segments(self, text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
+        """Where [begin, end) of a text may be cut: at breaks that the pattern has as well."""
+        while end - begin > SEGMENT:
+            m = self._break.search(text, begin + SEGMENT - 1, end)
             if not m:
                 break
-            yield text[at : m.start()]
-            at = m.start()
-        yield text[at:] if at else text
+            yield begin, m.start()
+            begin = m.start()
+        yield begin, end
+
+    def _plain(self, text: str, begin: int, end: int) -> Iterator[np.ndarray]:
+        """Tokens of a stretch without special tokens."""
+        for i, j in self._segments(text, begin, end):
+            if j - i <= 2 * SEGMENT:
+                yield np.frombuffer(b"".join(map(self.pieces.__getitem__, self._split(text[i:j]))), np.int32)
+                continue
+            few: list[bytes] = []
+            for m in self._pieces(text[i:j]):  # no break for long: piece by piece, long ones window by window
+                if m.end() - m.start() <= 64:
+                    few.append(self.pieces[m[0]])
+                if few and (len(few) == 4096 or m.end() - m.start() > 64):
+                    yield np.frombuffer(b"".join(few), np.int32)
+                    few = []
+                if m.end() - m.start() > 64:
+                    for ids in self.stream(m[0]):
+                        yield np.array(ids, np.int32)
+            yield np.frombuffer(b"".join(few), np.int32)
 
     def encode(self, text: str) -> Iterator[np.ndarray]:
-        """The text's token ids, segment by segment."""
+        """The text's token ids, in parts of bounded size, as they become final."""
         at = 0
-        for m in [*(self._cut.finditer(text) if self._cut else ()), None]:
-            plain = text[at : m.start()] if m else text[at:] if at else text
-            for s in self._segments(plain) if plain else ():
-                yield np.frombuffer(b"".join(map(self.pieces.__getitem__, self._split(s))), np.int32)
-            if m:
-                yield np.array([self.special[m[0]]], np.int32)
-                at = m.end()
+        for m in self._cut.finditer(text) if self._cut else ():
+            if m.start() > at:
+                yield from self._plain(text, at, m.start())
+            yield np.array([self.special[m[0]]], np.int32)
+            at = m.end()
+        if at < len(text):
+            yield from self._plain(text, at, len(text))
 
     def decode(self, chunks: Iterable[np.ndarray]) -> Iterator[str]:
         """Text from token ids; what a chunk leaves of a character waits for the next."""
