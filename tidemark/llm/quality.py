@@ -4,6 +4,8 @@ Every rule is evaluated once per document.  The ledger keeps the measurements an
 per rule; a policy is a version name and a mask over those bits, so a new policy, or the ablation of
 a rule, is bit arithmetic on the ledger and reads no text again.
 
+The ledger is written once (``stored``); the registered query judges by all versions from it and joins the ablation's counts.
+
 Edge cases: a null or empty text has no words (all measurements 0, ``few_words`` fails); repeated
 rows and ids are measured row by row; columns of the input that have a ledger column's name are
 replaced, all others pass through; an empty table gives an empty ledger.
@@ -17,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._frames import utf8, with_arrow
+from tidemark.llm._frames import cut, utf8, with_arrow
 from tidemark.llm._text import Words, mix, ngrams, inside, slices
 
 SYMBOLS = "#*$%&|<>"
@@ -124,12 +126,30 @@ def ablation(book: DataFrame, policy: str) -> DataFrame:
     )
 
 
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger of docs (id, measurements, bits) as a table: texts are read for it once, and policies read it."""
+    return cut(ledger(docs.select(docs[f"`{id_col}`"].alias(id_col), docs[f"`{text_col}`"].alias("text")), "text").drop("text"), "ledger")
+
+
+def alone(policy: str) -> Column:
+    """The rule that alone rejects a row under the policy, null where none or several do."""
+    bits = F.col("fail_bits").bitwiseAND(F.lit(POLICIES[policy]))
+    return F.coalesce(*[F.when(bits == BIT[r.name], F.lit(r.name)) for r in RULES])
+
+
 def op10(documents: DataFrame, policy: str = "v3") -> DataFrame:
-    book = ledger(documents.select("doc_id", "text")).drop("text")
-    return book.select(
+    """Every document's verdict under all versions of the policy, from the stored ledger; ``kept`` is that of ``policy``.
+
+    ``only_rule`` and ``kept_without`` are the document's part of the ablation: what rejects it alone, and how many are kept without that rule.
+    """
+    book = stored(documents)
+    lost = ablation(book, policy).select(F.col("rule").alias("only_rule"), F.col("n_kept_without").alias("kept_without"))
+    rows = book.withColumn("only_rule", alone(policy)).join(F.broadcast(lost), "only_rule", "left")  # a row per rule
+    return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("fail_bits").bitwiseAND(F.lit(BASE)) != 0).alias("base_failed"),
         verdict(policy).alias("kept"), "fail_bits", F.lit(policy).alias("policy"),
+        *[verdict(v).alias(f"kept_{v}") for v in POLICIES], "only_rule", "kept_without",
     )
 
 
@@ -147,5 +167,7 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(l
 b AS (SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
   + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 4 ELSE 0 END + CASE WHEN 10 * n_symbols > 3 * n_words THEN 8 ELSE 0 END
   + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 16 ELSE 0 END AS BIGINT) AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits, 'v3' AS policy FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits, 'v3' AS policy,
+  fail_bits & 3 = 0 AS kept_v1, fail_bits & 11 = 0 AS kept_v2, fail_bits = 0 AS kept_v3, only_rule, CASE WHEN only_rule IS NOT NULL THEN (SELECT count(*) FROM b c WHERE c.fail_bits & (31 - b.fail_bits) = 0) END AS kept_without
+FROM (SELECT *, CASE fail_bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'mean_word_length' WHEN 8 THEN 'symbols' WHEN 16 THEN 'repeated_lines' END AS only_rule FROM b) b
 """
