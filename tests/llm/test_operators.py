@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import io
 import math
 import re
 import zlib
@@ -45,6 +46,11 @@ def test_warc(spark, tmp_path):
         assert (r["payload_bytes"], r["payload_digest"]) == (len((h or "").encode()), sha(h or ""))
     assert {i: (r["record_type"], r["refers_to"]) for i, r in got.items()} == {3: ("revisit", 1), 1: ("response", None), 2: ("revisit", None), 4: ("response", None), 5: ("response", None), 6: ("response", None), None: ("response", None), 7: ("response", None)}
     assert warc.op1(pages.where("page_id < 0")).count() == 0
+    long = spark.createDataFrame([(1, None, "x" * 3_000_000), (2, None, "x" * 3_000_000)], pages.schema).withColumn("payload", warc.F.lit(1))
+    assert [(r["payload_bytes"], r["refers_to"]) for r in warc.op1(long).orderBy("page_id").collect()] == [(3_000_000, None), (3_000_000, 1)]
+    found = warc.cut(warc.op1(long).withColumn("archive", warc.F.lit("a")).withColumn("offset", warc.F.lit(0)), "test")
+    with pytest.raises(Exception, match="no such response"):
+        warc.confirmed(found.withColumn("payload_bytes", warc.F.when(warc.F.col("page_id") == 2, 5).otherwise(warc.F.col("payload_bytes")))).collect()
     again = spark.createDataFrame([(1, "u", big), (1, "u", big)], pages.schema)
     assert [r["record_type"] for r in warc.op1(again).collect()] == ["response"] * 2
 
@@ -63,7 +69,7 @@ def test_warc_members_and_index(spark, tmp_path):
     side = open(index[0]["archive"].removeprefix("file://") + ".idx").read().splitlines()
     assert any(line.split("\t")[3] == index[0]["record_id"] for line in side)
     with pytest.raises(ValueError):
-        list(warc._Members(warc._member(b"WARC/1.1\r\nContent-Length: 50\r\n\r\nshort\r\n\r\n")))
+        list(warc._Members(io.BytesIO(warc._member(b"WARC/1.1\r\nContent-Length: 50\r\n\r\nshort\r\n\r\n"))))
 
 
 # -- 2
@@ -213,6 +219,26 @@ def test_mixed_documents(docs, odd, empty):
     assert n == {i: c for i, c in taken.items() if c}
     assert mixing.op4(odd).count() == 7 and mixing.mixed_documents(odd).columns == odd.columns
     assert mixing.op4(empty).count() == 0
+    r = mixing.op4(odd).collect()
+    assert sum(x["taken"] for x in r) <= 3 * sum(x["size"] for x in r) and {x["source_size"] for x in r} == {sum(x["size"] for x in r)}
+
+
+def test_mixing_equal_rows(spark):
+    """Of rows that repeat, as many are taken as the target needs; so it is with ties and with a source per row."""
+    rows = [(1, "ten words of one text that is here four hundred times", "a")] * 400 + [(i, f"some other text {i} " * 5, "b") for i in range(2, 200)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.op4(d).collect()
+    target = {r["source_size"]: r["target"] for r in got}
+    taken = collections.Counter()
+    for r in got:
+        taken[r["source_size"]] += r["taken"]
+    assert len(got) == len(rows) and all(abs(taken[s] - t) <= 0.01 * t + 11 for s, t in target.items())
+    mixed = collections.Counter(r["doc_id"] for r in mixing.mixed_documents(d).collect())
+    assert mixed[1] * 11 == sum(r["taken"] for r in got if r["doc_id"] == 1)
+    again = mixing.op4(d.repartition(7)).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(map(tuple, again))
+    many = mixing.op4(d.withColumn("source", langid.F.col("doc_id").cast("string"))).collect()
+    assert len(many) == len(rows) and abs(sum({r["doc_id"]: r["target"] for r in many}.values()) - sum(r["size"] for r in many)) < 1e-3
 
 
 # -- 5
@@ -233,6 +259,76 @@ def test_language(spark):
     assert all(p[i]["lang_id"] == ("fr" if i % 2 else "en") for i in range(60)) and not p[99]["kept"]
 
 
+def brute_language(rows):
+    """Posteriors by the definition, one row and one number at a time, from (id, text, declared, suffix, host); few rows, so that none is left out of the fit."""
+
+    def grams(t):
+        x = t.lower() + b"  "
+        return [((((a << 16 | b << 8 | c) * 0x9E3779B1) % (1 << 32)) >> 17) for a, b, c in zip(x, x[1:], x[2:], strict=False)]
+
+    texts = [(t or "").encode() for _, t, *_ in rows]
+    labelled = collections.Counter(r[2] for r, t in zip(rows, texts, strict=True) if r[2] is not None and t)
+    names = sorted(k for k, n in labelled.items() if n >= langid.LEAST)
+    logs = []
+    for c in names:
+        n = np.full(langid.BUCKETS, 0.05)
+        for t in (t for r, t in zip(rows, texts, strict=True) if r[2] == c and t):
+            for g in grams(t):
+                n[g] += 1
+        logs.append(np.log(n / n.sum()))
+    logs.append(np.full(langid.BUCKETS, -math.log(langid.BUCKETS)))
+    k = len(logs)
+    soft = lambda x: (e := np.exp(x - x.max())) / e.sum()
+    told = [np.array([langid.TEXT_WEIGHT * sum(w[g] for g in grams(t)) for w in logs]) + np.array([0.0] * (k - 1) + [math.log(0.01)]) for t in texts]
+    post = [soft(x) for x in told]
+    values = [*names, "?"]
+    value = [None if r[2] is None else r[2] if r[2] in names else "?" for r in rows]
+    say = np.array([sum((p for p, v in zip(post, value, strict=True) if v == x), np.zeros(k)) for x in values]) + 0.5
+    say = np.log(say / say.sum(axis=0))
+    say[:, -1] = -math.log(len(values))
+    top = (sum(post) + 1) / (sum(post).sum() + k)
+    out = {}
+    for i, r in enumerate(rows):
+        prior = top
+        for level in (3, 4):
+            own = sum((p for j, p in enumerate(post) if rows[j][level] == r[level] is not None), np.zeros(k))
+            own = np.maximum(own - post[i], 0) if r[level] is not None else own
+            prior = (own + langid.SMOOTH * prior) / (own.sum() + langid.SMOOTH)
+        x = soft(told[i] + (say[values.index(value[i])] if value[i] else 0) + np.log(prior))
+        out[r[0]] = ([*names, "und"][int(x.argmax())], float(x.max()), [*names, "und"][int(post[i].argmax())], bool(texts[i].strip()))
+    return out
+
+
+def test_language_by_definition(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = {"en": "the people and house of that nation with this".split(), "fr": "les gens et la maison de cette nation une autre".split(), "de": "die leute und das haus der nation mit einer".split()}
+    rows = []
+    for i in range(80):
+        c = ("en", "fr", "de")[i % 3]
+        t = " ".join(rng.choice(vocabulary[c], rng.integers(1, 9)))
+        rows.append((i, t, c if i % 5 else ("en", None, "xx")[i % 3], ("com", "fr", None)[i % 3], None if i % 11 == 0 else f"h{i % 4}.x"))
+    rows += [(90, None, "fr", "fr", "h1.x"), (91, "", None, None, None), (92, "die la of", None, None, "h0.x"), (93, "中文字符", None, "com", "h0.x")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, declared string, suffix string, host string").coalesce(1)
+    f = langid.F.col
+    got = by_id(langid.identify(d, declared=f("declared"), suffix=f("suffix"), host=f("host")))
+    want = brute_language(rows)
+    for i, (lang, confidence, text_lang, words) in want.items():
+        r = got[i]
+        assert abs(r["confidence"] - confidence) < 0.02, (i, r, want[i])
+        # where two classes are about equal either may come first
+        assert r["lang_id"] == lang or confidence < 0.52
+        assert r["text_lang"] == text_lang or not words
+        assert r["kept"] == (words and r["lang_id"] != "und" and r["confidence"] >= langid.MIN_CONFIDENCE)
+
+
+def test_language_of_both_tables(spark, docs):
+    html = "<html lang='en'><p>the people and the house of that nation</p></html>"
+    p = spark.createDataFrame([(i, "http://a.com/", html) for i in range(8)] + [(9, None, None)], "page_id bigint, url string, html string")
+    got = langid.op5(docs, p).collect()
+    assert sum(r["doc_id"] is not None for r in got) == docs.count() and {r["page_id"] for r in got if r["doc_id"] is None} == {*range(8), 9}
+    assert all(r["kept"] and r["declared"] == "en" for r in got if r["doc_id"] is None and r["page_id"] != 9)
+
+
 def test_language_rare(spark, monkeypatch):
     """A rare label stays a class, and its texts stay, when common labels have far more rows than are sampled."""
     monkeypatch.setattr(langid, "SAMPLE", 20)
@@ -246,6 +342,10 @@ def test_language_rare(spark, monkeypatch):
 
 
 def test_language_odd(odd, empty):
+    same = odd.withColumn("lang", langid.F.lit("en")).withColumn("row", langid.F.lit(1)).withColumn("whole", langid.F.lit("w"))
+    kept = langid.kept_documents(same)
+    # rows that repeat count each; the null text goes
+    assert kept.columns == same.columns and sorted((r["doc_id"] or 0, r["whole"], r["a.b"]) for r in kept.collect()) == [(0, "w", 2), (0, "w", 2), (5, "w", 2), (5, "w", 2), (5, "w", 2), (7, "w", 2)]
     assert langid.op5(odd).count() == 7 and langid.kept_documents(odd).columns == odd.columns
     assert langid.op5(empty).count() == 0
 
@@ -266,6 +366,11 @@ def test_url_lists(spark):
     assert len(got) == 10
     assert {r["id"] for r in got if r["blocked"]} == {1, 2, 5}
     assert {r["id"]: r["pattern"] for r in got if r["list"]} == {1: "x.com", 2: "x.com", 4: "m.x.com/en", 5: "x.com"}
+    # one pattern in two spellings is one pattern; of two lists with patterns of one length allow decides, then the name
+    twice = spark.createDataFrame([("bad", "X.com", "block", "add", "2024-01-01"), ("bad", "x.COM", "block", "remove", "2024-01-03"), ("a", "z.com", "block", "add", "2024-01-01"), ("b", "z.com", "allow", "add", "2024-01-01"), ("c", "z.com", "allow", "add", "2024-01-01")], e.columns).selectExpr("list", "pattern", "verdict", "action", "cast(since as timestamp) as since")
+    assert {r["id"] for r in urlfilter.judge(c, twice).collect() if r["blocked"]} == {1}
+    z = spark.createDataFrame([(1, "http://z.com/" + "p" * 100_000)], "id int, url string").selectExpr("id", "url", "timestamp'2024-01-02' as fetched")
+    assert [(r["blocked"], r["list"]) for r in urlfilter.judge(z, twice).collect()] == [(False, "b")]
     assert urlfilter.judge(c, e.where("false")).where("blocked").count() == 0
     assert urlfilter.op6(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
@@ -303,6 +408,22 @@ def test_jaccard(docs, rows, monkeypatch, small, n, percent):
     assert {r["k"]: (r["n_shingles"], r["component"]) for r in got.collect()} == brute_components(rows, n, percent)
 
 
+def test_jaccard_lone_tokens(spark):
+    """Documents end at the first order only if nobody shares what they may not differ in: brute force at the limit, in many units."""
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(102)]
+    rows = []
+    for i in range(60):
+        t = list(base)
+        for k in rng.choice(100, i % 7, replace=False):
+            t[k] = f"n{i}x{k}"
+        rows.append((i, " ".join(t)))
+    rows += [(100 + i, " ".join(f"u{i}y{k}" for k in range(30))) for i in range(40)] + [(200, "z " * 200_000), (201, "z " * 100_000 + "y")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(9)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.op7(d).collect()}
+    assert got == brute_components(rows)
+
+
 def test_jaccard_odd(odd, empty):
     got = jaccard.op7(odd).collect()
     assert len(got) == 7 and {r["component_id"] for r in got if r["doc_id"] == 7} == {None}
@@ -334,7 +455,18 @@ def test_bpe(docs, rows, library):
 def test_bpe_round_trip_and_odd(docs, odd, empty, rows):
     texts = dict(rows)
     assert all(r["decoded"] == (texts[r["doc_id"]] or "") for r in bpe.decode(bpe.encode(docs.select("doc_id", "text"))).collect())
-    assert bpe.op8(odd).count() == 7 and bpe.op8(empty).count() == 0
+    assert sorted((r["doc_id"] or 0, r["n_tokens"] > 0) for r in bpe.op8(odd).collect()) == [(0, True), (0, True), (5, True), (5, True), (5, True), (6, False), (7, True)]
+    assert bpe.op8(empty).count() == 0
+
+
+def test_bpe_memory(library):
+    """Tokens of a text without a break come in parts of bounded size, and its window doesn't grow."""
+    b = bpe.tokenizer(bpe.public_path())
+    rng = np.random.default_rng(2)
+    for text in ("".join(rng.choice(list("abcdefgh"), 400_000)), "\n\t x" * 60_000, "é,." * 70_000 + "<|endoftext|>" + "q" * 100):
+        parts = list(b.encode(text))
+        assert [i for p in parts for i in p.tolist()] == library.encode(text, add_special_tokens=False).ids
+        assert max(len(p) for p in parts) <= 2 * bpe.SEGMENT
 
 
 def test_bpe_long_pieces(library):
@@ -425,4 +557,11 @@ def test_ablation(docs, odd, empty):
     for name, r in table.items():
         b = quality.BIT[name]
         assert (r["n_failed"], r["n_only_this"], r["n_kept_without"]) == (sum(bool(x & b) for x in bits), sum(x & mask == b for x in bits), sum(not x & mask & ~b for x in bits))
+    names = [r.name for r in quality.RULES]
+    for r in quality.op10(docs).collect():
+        failed = [n for n in names if r["fail_bits"] & quality.BIT[n]]
+        assert r["only_rule"] == (failed[0] if len(failed) == 1 else None)
+        assert r["kept_without"] == (sum(not x & ~quality.BIT[failed[0]] for x in bits) if len(failed) == 1 else None)
+        assert (r["kept_v1"], r["kept_v2"], r["kept_v3"]) == tuple(not r["fail_bits"] & quality.POLICIES[v] for v in ("v1", "v2", "v3"))
+    assert sorted((r["doc_id"] or 0, r["n_words"]) for r in quality.op10(odd).collect()) == [(0, 1), (0, 40), (5, 40), (5, 40), (5, 43), (6, 0), (7, 40)]
     assert quality.op10(odd).count() == 7 and quality.ledger(odd).count() == 7 and quality.op10(empty).count() == 0
