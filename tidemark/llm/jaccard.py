@@ -18,7 +18,9 @@ members are compared with one of them, the hub (the one with the fewest rarer to
 link to it become one component.  For others a counting argument holds: x links to y, not both
 linked to the hub, only if both differ from the hub in common tokens, and in one among a prefix of the difference
 under an order that puts the hub's own tokens last and rare ones first.  So the group is
-dealt anew by hub and differing token; what is still large after ``LEVELS`` rounds is paired up.
+dealt anew by hub and differing token; what is still large after ``LEVELS`` rounds is paired up.  A token's place in a prefix
+bounds the size of what the document can link to through it, so before members are counted or paired, those that
+reach no member of another component leave the group.
 
 Members of a hub go to it as whole texts, since they need their differences in any case; all other pairs pass the three orders.
 
@@ -31,12 +33,13 @@ ids, a component with one has a null id; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._frames import by_bucket, cut, drop_tables, key_or, utf8
@@ -327,6 +330,26 @@ def _first_groups(signs: DataFrame, percent: int) -> DataFrame:
     return rows.where(F.col("pos") <= F.floor((100 - percent) * F.col("n") / 100)).select("token", F.col("r").alias("k"), "n", "pos")
 
 
+def _with_partners(rows: DataFrame) -> DataFrame:
+    """Of rows (token, c, s, reach, ...) those that may find a partner: of another component, within reach and reaching them.
+
+    Of a token's largest component only what an outsider can reach stays, however many members it has.
+    """
+    parts = rows.groupBy("token", "c").agg(F.count("*").alias("m"), F.min("s").alias("s"), F.max("reach").alias("reach"))
+    of = parts.groupBy("token").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.min("s").alias("least"), F.max("reach").alias("most"))
+    out = parts.join(of, "token").where("c <> main").groupBy("token", "main", "least", "most").agg(F.min("s").alias("least_out"), F.max("reach").alias("most_out"))
+    j = rows.join(out, "token")
+    inner = F.col("c") == F.col("main")
+    least, most = F.when(inner, F.col("least_out")).otherwise(F.col("least")), F.when(inner, F.col("most_out")).otherwise(F.col("most"))
+    return j.where((F.col("reach") >= least) & (F.col("s") <= most)).select(*rows.columns)
+
+
+def _release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files and broadcasts of what nobody refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _signatures(keyed: DataFrame, n: int, percent: int) -> DataFrame:
     """The documents' rows and the buckets' replies, see _SIGN; a document moves as its tokens' keys and prefixes."""
     size = keyed.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -371,32 +394,29 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         else:
             often = rows.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
             shared = cut(rows.join(often, "token"), "groups")
-        by = shared.groupBy("token", "c").agg(F.count("*").alias("m"), F.min(F.struct("pos", "k")).alias("hub"))
+        # a member's first common token with what it links to has at least as many tokens after it as they must share: that bounds the other's size
+        if label is None:
+            size, reach = F.col("n"), F.floor((100 + percent) * (F.col("n") - F.col("pos")) / percent + 1e-6) - F.col("n")
+        else:
+            size, reach = F.col("size"), F.col("size") - 2 * F.col("pos") + F.floor((100 - percent) * F.col("n") / percent)
+        shared = shared.withColumn("s", size.cast("bigint")).withColumn("reach", reach.cast("bigint"))
+        met = cut(_with_partners(shared), "groups")
+        drop_tables(spark, rows, shared)
+        # of what is left: members outside the group's largest component; all pairs across components have one
+        by = met.groupBy("token", "c").agg(F.count("*").alias("m"), F.min(F.struct("pos", "k")).alias("hub"))
         by = by.groupBy("token").agg(F.max(F.struct("m", "c")).alias("main"), F.sum("m").alias("members"), F.min("hub").alias("hub"))
-        # members outside the group's largest component; all pairs across components have one
         by = by.where("members > main.m").select("token", F.col("main.c").alias("main"), (F.col("members") - F.col("main.m")).alias("others"), F.col("hub.k").alias("hub"))
-        group = cut(shared.join(by, "token"), "groups")
-        drop_tables(spark, rows, shared)
+        group = cut(met.join(by, "token"), "groups")
+        drop_tables(spark, met)
         last = level == LEVELS
         small = group if last else group.where(F.col("others") <= SMALL)
-        far = ["pos"] if label is None else ["pos", "hub_of", "size", "kept"]
-        x = small.where("c <> main").select("token", "main", F.col("k").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), *[F.col(c).alias(f"a_{c}") for c in far])
-        y = small.select("token", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), *[F.col(c).alias(f"b_{c}") for c in far])
+        x = small.where("c <> main").select("token", "main", F.col("k").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("s").alias("sa"), F.col("reach").alias("ra"))
+        y = small.select("token", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("s").alias("sb"), F.col("reach").alias("rb"))
         near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
         once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))  # two outsiders meet once
-        p = x.join(y, "token").where((F.col("ca") != F.col("cb")) & near & once)
-        # the first common token of two that link has at least as many tokens after it as they must share
-        if label is None:
-            common, a_size, b_size = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9), F.col("na"), F.col("nb")
-        else:
-            most = F.floor((100 - percent) * F.least("na", "nb") / percent)
-            common, a_size, b_size = F.ceil((F.col("a_size") + F.col("b_size") - most) / 2), F.col("a_size"), F.col("b_size")
-        p = p.withColumn("fits", F.least(a_size - F.col("a_pos"), b_size - F.col("b_pos")) >= common)
-        if last:
-            # all groups are paired here, so the common part of two differences can be counted
-            enough = F.least(common - F.col("a_size") + F.col("a_kept"), common - F.col("b_size") + F.col("b_kept"))
-            p = p.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "a_hub_of").agg(F.count("*").alias("met"), F.first(enough).alias("enough"), F.max("fits").alias("fits")).where("met >= enough")
-        p = p.where("fits").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        fits = (F.col("ra") >= F.col("sb")) & (F.col("rb") >= F.col("sa"))
+        p = x.join(y, "token").where((F.col("ca") != F.col("cb")) & fits & near & once)
+        p = p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         p = cut(p, "pairs")
         pairs = p if pairs is None else pairs.unionByName(p)
         large = group.where(F.col("others") > SMALL)
@@ -419,7 +439,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         # b shares all but (1 - t) n / t of its difference with what it links to; if it links to the hub, a share of t / 2
         apart = F.when(F.col("linked"), F.col("size") - F.ceil(percent * F.col("size") / 200)).otherwise(F.floor((100 - percent) * F.col("n") / percent))
         dealt = dealt.withColumn("pos", rank).where(F.col("pos") <= apart)
-        rows = dealt.select("token", F.col("b").alias("k"), "n", "pos", "c", F.col("a").alias("hub_of"), "size", F.least(F.col("size"), apart + 1).alias("kept"))
+        rows = dealt.select("token", F.col("b").alias("k"), "n", "pos", "c", "size")
         rows = cut(rows, "dealt")
         drop_tables(spark, found)
 
@@ -438,6 +458,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     drop_tables(spark, texts)
 
     label = components(checked.unionByName(links))
+    _release(spark)
     least_id = label.join(narrow.select("r", "k"), F.col("v") == F.col("r")).groupBy(F.col("label").alias("l")).agg(F.min("k").alias("component"))
     out = narrow.join(label, F.col("r") == F.col("v"), "left").join(least_id, F.col("label") == F.col("l"), "left")
     return out.select("k", "x", F.col("n").alias("n_shingles"), F.coalesce("component", "k").alias("component"))
