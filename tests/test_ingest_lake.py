@@ -1,6 +1,7 @@
 import gzip
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,9 +75,43 @@ def test_lake(spark, tmp_path):
     assert "month" in lake.plan_of(q["category_of_month"]["silver"])["partition_filters"]
 
 
+def test_lake_as_one_program(spark, tmp_path):
+    rows = [["a1", "bob", f"Hello #T{i % 2}", "United States", "English", "1/1/2016 10:00", "", "1", "9", "2", "", "", "0", "Right", "", "77", str(i % 4), "", "", "", ""] for i in range(5)]
+    rows.append([*rows[0][:2], " ", *rows[0][3:]])
+    spark.createDataFrame(rows, ", ".join(f"{c} string" for c in RAW_COLUMNS)).coalesce(1).write.option("header", True).csv(str(tmp_path / "raw"))
+    report = {r["step"]: r["rows"] for r in lake.run(spark, str(tmp_path / "raw"), str(tmp_path / "lake")).collect()}
+    assert report == {"bronze": 6, "validation": 6, "silver": 4, "gold": 4, "rejected: empty_text": 1, "duplicates removed": 1}
+    assert {r["hashtag"] for r in spark.read.parquet(str(tmp_path / "lake/gold/top_hashtags")).collect()} == {"t0", "t1"}
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.range(30).withColumn("x", F.col("id") * 2)
+    path = str(tmp_path / "t")
+    sinks.rebuild(df, path)
+    sinks.rebuild(df.where("id < 10"), path)
+    assert spark.read.parquet(path).count() == 10 and not sinks.exists(spark, f"{path}.old") and not sinks.exists(spark, f"{path}.staging")
+    for codec in ("none", "snappy", "gzip", "zstd", "json"):
+        sinks.write_with_codec(df, str(tmp_path / codec), codec)
+        assert (spark.read.json if codec == "json" else spark.read.parquet)(str(tmp_path / codec)).count() == 30
+    assert sinks.extract(df.orderBy("id"), 2) == [{"id": 0, "x": 0}, {"id": 1, "x": 2}]
+    out = str(tmp_path / "batches")
+    sinks.in_batches(df.repartition(2), lambda rows: open(out, "a").write("".join(f"{r['id']}\n" for r in rows)), 4)
+    assert sorted(map(int, open(out))) == list(range(30))
+
+
+def test_samples(spark):
+    df = spark.range(10_000)
+    a, b = (readers.sample_share(df, 0.1, 7).count() for _ in range(2))
+    assert a == b and 800 < a < 1200
+    assert readers.sample_rows(df, 5).collect() == readers.sample_rows(df, 5).collect()
+    low, high = lake.terciles(df, "id")
+    assert abs(low - 3333) <= 12 and abs(high - 6667) <= 12
+
+
 def test_synthetic_engagement(spark):
-    a, b = engagement.numbers("12", 5000.0, False), engagement.numbers("12", 5000.0, False)
-    assert a == b and all(x >= 0 for x in a)
+    n = engagement.generated(["12", "13"], np.array([5000.0, 0.0]), np.array([False, True]))
+    a = n.iloc[0].tolist()
+    assert a == engagement.generated(["12"], np.array([5000.0]), np.array([False])).iloc[0].tolist() and min(a) >= 0
     rows = spark.createDataFrame([("12", 5000, False, None), ("13", None, True, None)], "post_id string, reach bigint, is_retweet boolean, engagement struct<likes: bigint, comments: bigint, shares: bigint, total: bigint, synthetic: boolean, generator: string>")
     made = engagement.synthesize(rows)
     assert {r["post_id"]: r["engagement"]["likes"] for r in made.collect()} == {"12": a[0], "13": 0}

@@ -47,8 +47,7 @@ def _fields(rec: Column, profile: str) -> dict[str, Column]:
 
 def reason(post_id: Column, text: Column, created_at: Column, parse_error: Column) -> Column:
     """The first reason to reject a record, null for a valid one."""
-    blank = lambda c: F.coalesce(X.strip(c) == "", F.lit(True))
-    return F.when(parse_error, "parse_error").when(blank(post_id), "missing_id").when(blank(text), "empty_text").when(created_at.isNull(), "invalid_timestamp")
+    return F.when(parse_error, "parse_error").when(X.blank(post_id), "missing_id").when(X.blank(text), "empty_text").when(created_at.isNull(), "invalid_timestamp")
 
 
 def normalise(raw: DataFrame, profile: str = "generic", source: str = "upload", job_id: str | None = None, now: str | None = None) -> DataFrame:

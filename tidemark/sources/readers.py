@@ -101,6 +101,11 @@ def read_raw_csv(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("*", F.col("_metadata.file_name").alias("_source_file")).withColumn("_loaded_at", F.current_timestamp())
 
 
+def sample_share(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
+    """About a share of the rows, each drawn by itself; the same ones for the same input and seed."""
+    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
+
+
 def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n random rows, the same ones for the same input and seed."""
     return df.orderBy(F.rand(seed)).limit(n)

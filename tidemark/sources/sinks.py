@@ -32,16 +32,26 @@ def append_new(posts: DataFrame, path: str, key: str = "post_id") -> DataFrame:
     return done
 
 
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def rebuild(df: DataFrame, path: str) -> None:
-    """Writes beside ``path`` and then takes its place, so that readers never see half a table."""
+    """Writes beside ``path`` and then takes its place: the old table is renamed away first and deleted last, so a crash loses neither."""
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}.staging")
     jvm = spark.sparkContext._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(f"{path}.staging"), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    new, now, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.staging", path, f"{path}.old"))
+    fs = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(now):
+        fs.delete(old, True)
+        if not fs.rename(now, old):
+            raise OSError(f"{path} can't be renamed")
+    if not fs.rename(new, now):
+        raise OSError(f"{path}.staging can't be renamed; the table is at {path}.old")
     fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"{path}.staging can't be renamed")
 
 
 def write_with_codec(df: DataFrame, path: str, codec: str) -> None:
