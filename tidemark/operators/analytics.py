@@ -5,6 +5,7 @@ Each reads the source that the planner chooses.  Ratios are rounded half up; eve
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.rollups import CUBE_MEASURES, named, sentiment_counts, total
 from tidemark.plans import planner
-from tidemark.plans.filters import Filters, on_cube, on_posts, tokens
+from tidemark.plans.filters import Filters, hits, on_cube, on_posts
 from tidemark.plans.planner import Tables
 from tidemark.schema import SENTIMENTS, SENTINELS
 
@@ -278,17 +279,13 @@ def category_stats(t: Tables) -> DataFrame:
 # -- posts
 
 
-def _relevance(q: str) -> Column:
-    wanted = F.array_remove(tokens(F.lit(q)), "")
-    return F.size(F.filter(tokens(F.col("clean_text")), lambda w: F.array_contains(wanted, w)))
-
-
 def list_posts(t: Tables, f: Filters = Filters(), sort: str = "newest", page: int = 1, size: int = 20) -> DataFrame:
     """A page of posts.  Relevance is the number of matching words; without ``q`` it is newest."""
     if not (1 <= page <= 400 and 1 <= size <= 100):
         raise ValueError("page is 1 to 400, size 1 to 100")
-    p = t.posts.where(on_posts(f))
-    p = p.withColumn("relevance", _relevance(f.q) if f.q else F.lit(0))
+    # with ``q`` the words are counted once, for the filter and for the order
+    p = t.posts.where(on_posts(replace(f, q=None))).withColumn("relevance", hits(F.col("clean_text"), f.q) if f.q else F.lit(0))
+    p = p.where("relevance > 0") if f.q else p
     newest = [F.desc("created_at"), F.desc("post_id")]
     order = {"newest": newest, "oldest": [F.asc("created_at"), F.asc("post_id")], "engagement": [F.desc_nulls_last("engagement"), *newest], "relevance": [F.desc("relevance"), *newest]}[sort]
     p = p.orderBy(*order).offset((page - 1) * size).limit(size)

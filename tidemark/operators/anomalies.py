@@ -19,11 +19,12 @@ HISTORY, LEAST_HISTORY, LEAST_ANALYSED = 28, 14, 50
 
 
 def daily_features(t: Tables, f: Filters = Filters()) -> DataFrame:
-    """Posts, negative share and engagement by day, with means and deviations of the 28 rows before."""
-    if f.live_only:
-        raise ValueError("anomalies come from the daily cube, which has no filter of that kind")
+    """Posts, retweets, reach, negative share and engagement by day, with means and deviations of the 28 rows before.
+
+    Always from the daily cube; filters that it can't answer are left aside.
+    """
     of = lambda s: total(F.when(F.col("sentiment") == s, F.col("posts")))
-    d = t.rollup("daily_cube").where(on_cube(f)).groupBy("day").agg(total("posts").alias("posts"), of("negative").alias("negative"), total(F.when(F.col("sentiment") != "not_analyzed", F.col("posts"))).alias("analysed"), total("engagement").alias("engagement"))
+    d = t.rollup("daily_cube").where(on_cube(f)).groupBy("day").agg(*[total(m).alias(m) for m in ("posts", "retweets", "reach")], of("negative").alias("negative"), total(F.when(F.col("sentiment") != "not_analyzed", F.col("posts"))).alias("analysed"), total("engagement").alias("engagement"))
     d = d.withColumn("neg_share", F.try_divide(F.col("negative").cast("double"), "analysed"))
     w = Window.partitionBy().orderBy("day").rowsBetween(-HISTORY, -1)
     d = d.select(
@@ -69,7 +70,8 @@ def isolation_scores(x: np.ndarray, trees: int = 200, seed: int = 42, size: int
 def _forest(contamination: float):
     def run(key: tuple, days: pd.DataFrame) -> pd.DataFrame:
         days = days.sort_values("day").reset_index(drop=True)
-        x = np.column_stack([np.log1p(days["posts"]), days["neg_share"].fillna(0), np.log1p(days["engagement"]), days["vol_z"].fillna(0)]).astype(float)
+        posts = np.maximum(days["posts"], 1)
+        x = np.column_stack([np.log1p(days["posts"]), days["neg_share"].fillna(0), days["retweets"] / posts, np.log1p(days["reach"] / posts)]).astype(float)
         score = isolation_scores(x) if len(days) >= 30 else np.zeros(len(days))
         cutoff = np.quantile(score, 1 - contamination) if len(days) >= 30 else np.inf
         return pd.DataFrame({"day": days["day"], "if_score": np.round(score, 6), "if_outlier": score > cutoff})
@@ -78,22 +80,41 @@ def _forest(contamination: float):
 
 
 def forest(d: DataFrame, contamination: float = 0.02) -> DataFrame:
-    """(day, if_score, if_outlier): a forest over the whole daily series, one row per day."""
-    return d.select("day", "posts", "neg_share", "engagement", "vol_z", F.lit(1).alias("series")).groupBy("series").applyInPandas(_forest(contamination), "day date, if_score double, if_outlier boolean")
+    """(day, if_score, if_outlier): a forest over the whole daily series, one row per day.
 
+    Its features are log posts, negative share, retweet share and log mean reach.
+    """
+    return d.select("day", "posts", "neg_share", "retweets", "reach", F.lit(1).alias("series")).groupBy("series").applyInPandas(_forest(contamination), "day date, if_score double, if_outlier boolean")
 
-def detect(t: Tables, f: Filters = Filters(), z: float = 3.0, contamination: float = 0.02, limit: int = 50, min_volume: int = 100) -> DataFrame:
-    """Days with at least one reason, those with most reasons first."""
+
+def judged(t: Tables, f: Filters = Filters(), z: float = 3.0, contamination: float | None = 0.02, min_volume: int = 100) -> DataFrame:
+    """Every day with its ``reasons``, by the rules; without ``contamination`` the forest is left out."""
     d = daily_features(t, f)
     big = F.greatest("posts", "vol_mean") >= min_volume
-    d = d.crossJoin(F.broadcast(fences(d))).join(forest(d, contamination), "day")  # one row of fences
     rules: dict[str, Column] = {
-        "volume_spike": big & (F.col("vol_z") >= z), "volume_drop": big & (F.col("vol_z") <= -z), "negativity_spike": big & (F.col("neg_z") >= z),
-        "iqr_outlier": (F.col("posts") < F.col("low")) | (F.col("posts") > F.col("high")), "isolation_forest": F.col("if_outlier"),
+        "volume_spike": big & (F.col("vol_z") >= z), "volume_drop": big & (F.col("vol_z") <= -z),
+        "negativity_surge": big & (F.col("neg_z") >= z), "negativity_drop": big & (F.col("neg_z") <= -z),
+        "iqr_outlier": (F.col("posts") < F.col("low")) | (F.col("posts") > F.col("high")),
     }
-    d = d.withColumn("reasons", F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()])))
-    d = d.where(F.size("reasons") > 0)
+    d = d.crossJoin(F.broadcast(fences(d)))  # one row of fences
+    if contamination is not None:
+        d, rules["isolation_forest"] = d.join(forest(d, contamination), "day"), F.col("if_outlier")
+    return d.withColumn("reasons", F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()])))
+
+
+def detect(t: Tables, f: Filters = Filters(), z: float = 3.0, contamination: float | None = 0.02, limit: int = 50, min_volume: int = 100) -> DataFrame:
+    """Days with at least one reason, those with most reasons first."""
+    d = judged(t, f, z, contamination, min_volume).where(F.size("reasons") > 0)
     return d.orderBy(F.size("reasons").desc(), F.abs(F.coalesce("vol_z", F.lit(0.0))).desc(), "day").limit(limit).drop("q1", "q3")
 
 
-__all__ = ["daily_features", "detect", "fences", "forest", "isolation_scores"]
+def methods(days: DataFrame) -> DataFrame:
+    """How many days in all, with any reason, and by method (one row), from judged()."""
+    has = lambda *names: F.count_if(F.arrays_overlap("reasons", F.array(*map(F.lit, names))))
+    return days.agg(
+        F.count("*").alias("days"), F.count_if(F.size("reasons") > 0).alias("anomalous_days"), has("volume_spike", "volume_drop").alias("volume_z"),
+        has("negativity_surge", "negativity_drop").alias("negativity_z"), has("iqr_outlier").alias("iqr"), has("isolation_forest").alias("isolation_forest"),
+    )
+
+
+__all__ = ["daily_features", "detect", "fences", "forest", "isolation_scores", "judged", "methods"]

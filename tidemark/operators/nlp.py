@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.clustering import LDA
@@ -30,11 +32,14 @@ def balanced(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.join(F.broadcast(n.crossJoin(whole)), label).withColumn("weight", F.col("__all") / (F.col("__k") * F.col("__n"))).drop("__n", "__all", "__k")
 
 
-def train_classifier(rows: DataFrame, c: float = 1.0, kind: str = "logistic", terms: int = 20_000) -> PipelineModel:
-    """From (text, label): word and pair TF-IDF with a balanced logistic regression or naive Bayes."""
+def train_classifier(rows: DataFrame, c: float = 1.0, kind: str = "logistic", terms: int = 300_000) -> PipelineModel:
+    """From (text, label): word and pair TF-IDF with a balanced logistic regression or naive Bayes.
+
+    ``c`` weighs the rows' losses against the penalty, so the penalty of the mean loss is 1 / (c rows).
+    """
     index = StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc", handleInvalid="error")
     if kind == "logistic":
-        last = LogisticRegression(labelCol="target", weightCol="weight", regParam=1.0 / (c * 1000), maxIter=50)
+        last = LogisticRegression(labelCol="target", weightCol="weight", regParam=1.0 / (c * max(1, rows.count())), maxIter=50)
     else:
         last = NaiveBayes(labelCol="target", smoothing=0.5)
     return Pipeline(stages=[*_features(terms, 2.0, 0.9), index, last]).fit(balanced(rows))
@@ -98,12 +103,20 @@ def lexicon_sentiment(posts: DataFrame, lexicon: DataFrame, id_col: str = "post_
     return s.select("id", F.when(score >= 0.05, SENTIMENTS[0]).when(score <= -0.05, SENTIMENTS[2]).otherwise(SENTIMENTS[1]).alias("label"), score.alias("score"))
 
 
-def keywords(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = 5) -> DataFrame:
-    """(id, term, weight, place): the terms with the largest (1 + ln tf)(ln((1 + n) / (1 + df)) + 1) of each text."""
+#: Words of keywords in any alphabet: three letters or more, marks included.
+TERM = r"\p{L}[\p{L}\p{M}]{2,}"
+
+
+def keywords(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = 5, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """(id, term, weight, place): the terms with the largest (1 + ln tf)(ln((1 + n) / (1 + df)) + 1) of each text.
+
+    Ranks are cut to ``top`` before the last shuffle too, as Spark pushes limits of ranks down.
+    """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    tf = d.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]{3,}"), 0)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    words = d.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0)).alias("term"))
+    tf = (words.where(~F.col("term").isin(*stop_words)) if stop_words else words).groupBy("id", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = d.agg(F.count("*").alias("docs"))
+    n = docs.agg(F.count("*").alias("docs"))
     w = tf.join(df, "term").crossJoin(F.broadcast(n))  # one row
     weight = F.round((1 + F.log("tf")) * (F.log((1.0 + F.col("docs")) / (1.0 + F.col("df"))) + 1), 6)
     w = w.select("id", "term", weight.alias("weight"))
@@ -111,19 +124,27 @@ def keywords(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
     return w.withColumn("place", place).where(F.col("place") <= top)
 
 
-def fit_topics(docs: DataFrame, language: str, k: int, terms: int = 5_000, seed: int = 42, iterations: int = 20, stop_words: list[str] | None = None) -> tuple[PipelineModel, DataFrame]:
+def fit_topics(docs: DataFrame, language: str, k: int, terms: int = 50_000, seed: int = 42, iterations: int = 20, stop_words: list[str] | None = None) -> tuple[PipelineModel, DataFrame]:
     """A topic model of (text) and its topics (topic_id, language, label, top_terms)."""
     words = RegexTokenizer(inputCol="text", outputCol="raw_words", pattern=r"(?U)\b\p{L}[\p{L}'-]{2,}\b", gaps=False)
     stop = StopWordsRemover(inputCol="raw_words", outputCol="words", stopWords=stop_words or [])
-    counts = CountVectorizer(inputCol="words", outputCol="features", vocabSize=terms, minDF=2.0, maxDF=0.3)
-    model = Pipeline(stages=[words, stop, counts, LDA(k=k, seed=seed, maxIter=iterations, optimizer="online")]).fit(docs.select("text"))
-    vocabulary = model.stages[2].vocabulary
-    t = model.stages[3].describeTopics(12)
+    pairs = [NGram(n=2, inputCol="words", outputCol="pairs"), SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__")]
+    counts = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=terms, minDF=2.0, maxDF=0.3)
+    model = Pipeline(stages=[words, stop, *pairs, counts, LDA(k=k, seed=seed, maxIter=iterations, optimizer="online")]).fit(docs.select("text"))
+    vocabulary = model.stages[-2].vocabulary
+    t = model.stages[-1].describeTopics(12)
     listed = docs.sparkSession.createDataFrame([(r["topic"], [vocabulary[i] for i in r["termIndices"]]) for r in t.select("topic", "termIndices").collect()], "topic int, top_terms array<string>")  # k rows
     label = F.array_join(F.transform(F.slice("top_terms", 1, 3), F.initcap), " / ")
     return model, listed.select(F.format_string(f"{language}-%02d", "topic").alias("topic_id"), F.lit(language).alias("language"), label.alias("label"), "top_terms")
 
 
+def topics_by_language(docs: DataFrame, k: int, lang_col: str = "lang", **options) -> DataFrame:
+    """The topics of a model for every language in the table (a handful), one after the other."""
+    names = sorted(r[0] for r in docs.where(F.col(lang_col).isNotNull()).select(lang_col).distinct().collect())
+    parts = [fit_topics(docs.where(F.col(lang_col) == name), name, k, **options)[1] for name in names]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def assign_topics(model: PipelineModel, docs: DataFrame, language: str, least: float = 0.02) -> DataFrame:
     """docs with topic_id (the heaviest topic, ``<language>-other`` below ``least``) and topic_weight."""
     x = model.transform(docs).withColumn("__w", vector_to_array("topicDistribution"))

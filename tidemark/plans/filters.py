@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass, replace
 from datetime import date, timedelta
 
@@ -44,7 +45,12 @@ class Filters:
 
     @property
     def live_only(self) -> bool:
-        return any(getattr(self, f) for f in LIVE_ONLY)
+        """``min_engagement=0`` counts: it leaves out posts without engagement, which the cube can't tell."""
+        return any(getattr(self, f) is not None and getattr(self, f) is not False for f in LIVE_ONLY)
+
+    def of_cube(self) -> Filters:
+        """The part of the filters that the cube can answer."""
+        return replace(self, **{f: False if f == "exclude_retweets" else None for f in LIVE_ONLY})
 
     @property
     def more_than_dates(self) -> bool:
@@ -77,8 +83,12 @@ def on_cube(f: Filters) -> Column:
     return _all(parts)
 
 
-def tokens(text: Column) -> Column:
-    return F.split(F.lower(text), r"(?U)[^\w]+")
+def hits(text: Column, q: str) -> Column:
+    """How many words of a text are words of ``q``: one scan by a pattern, no word is kept."""
+    words = sorted({*"".join(c if c == "_" or unicodedata.category(c)[0] in "LMN" else " " for c in q.lower()).split()})
+    if not words:
+        return F.lit(0)
+    return F.regexp_count(F.lower(text), F.lit(rf"(?U)(?<!\w)(?:{'|'.join(words)})(?!\w)"))
 
 
 def on_posts(f: Filters) -> Column:
@@ -94,7 +104,7 @@ def on_posts(f: Filters) -> Column:
     if f.hashtag:
         parts.append(F.array_contains("hashtags", f.hashtag))
     if f.q:
-        parts.append(F.arrays_overlap(tokens(F.col("clean_text")), F.array_remove(tokens(F.lit(f.q)), "")))
+        parts.append(hits(F.col("clean_text"), f.q) > 0)
     if f.min_engagement is not None:
         parts.append(F.col("engagement") >= f.min_engagement)
     if f.exclude_retweets:
