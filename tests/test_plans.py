@@ -17,6 +17,7 @@ def test_routing():
     assert planner.choose(Filters(language="en")) == "daily_cube"
     assert planner.choose(Filters(hashtag="#X", mode="cube")) == "posts"
     assert planner.choose(Filters(), "hour") == "posts"
+    assert planner.choose(Filters(min_engagement=0)) == "posts" and planner.choose(Filters(min_engagement=0).of_cube()) == "daily_cube"
     assert planner.choose_hourly(Filters(language="en")) == "hourly_cube" and planner.choose_hourly(Filters(topic="en-01")) == "posts"
     assert planner.choose_hashtags(Filters(start=date(2024, 1, 1))) == "hashtag_daily" and planner.choose_hashtags(Filters(country="x")) == "posts"
 
@@ -42,6 +43,13 @@ def test_rollups_conserve_posts(spark, sf_dir, tmp_path):
     key = ["day", "language", "country", "sentiment", "topic_id", "posts", "engagement"]
     assert cube.select(key).exceptAll(want.select(key)).count() == 0 and want.select(key).exceptAll(cube.select(key)).count() == 0
     assert before["users"] == spark.read.parquet(f"{root}/users").count()
+    # a day that has lost its posts loses its partitions, its users what they had there
+    gone = posts.where("to_date(created_at) <> '2024-01-06'")
+    R.refresh(gone, root, "2024-01-06", "2024-01-06")
+    for name in R.BUILDERS:
+        assert name == "users" or spark.read.parquet(f"{root}/{name}").where("day = '2024-01-06'").isEmpty()
+    users = lambda df: {(r["username"], r["posts"]) for r in df.select("username", "posts").collect()}
+    assert users(spark.read.parquet(f"{root}/users")) == users(R.users(gone))
     t = planner.Tables.at(spark, posts, root)
     f = Filters(start=date(2024, 1, 5), end=date(2024, 1, 6))
     plan = A.timeseries(t, f)._jdf.queryExecution().toString()
@@ -56,13 +64,6 @@ def test_live_and_cube_agree(spark, sf_dir):
         assert a == b
 
 
-def test_anomalies_reject_live_filters(spark, sf_dir):
-    from tidemark.operators.anomalies import daily_features
-
-    with pytest.raises(ValueError):
-        daily_features(planner.Tables(posts_fx(spark, sf_dir)), Filters(user="x"))
-
-
 def test_isolation_forest_finds_the_odd_one():
     x = np.random.default_rng(1).normal(size=(200, 3))
     x[17] = 9
@@ -79,3 +80,15 @@ def test_stream_keeps_rollups_fresh(spark, sf_dir, tmp_path):
     want = R.daily_cube(posts.where("created_at < '2024-01-12'")).agg(F.sum("posts"), F.count("*")).first()
     assert spark.read.parquet(f"{root}/daily_cube").agg(F.sum("posts"), F.count("*")).first() == want
     assert refresh.hourly_counts(spark.readStream.schema(posts.schema).parquet(src)).isStreaming
+
+
+def test_cube_is_read_not_derived(spark, sf_dir):
+    from tidemark import catalog
+
+    t = catalog.tables(spark, sf_dir)
+    live, cube = (A.sentiment_over_time(t, Filters(mode=m)) for m in ("live", "cube"))
+    assert cube._jdf.queryExecution().toString().count("FileScan parquet") == 1 and all("/daily_cube/" in f for f in cube.inputFiles())
+    assert any("events.parquet" in f for f in live.inputFiles())
+    read = lambda df: df.sparkSession.read.parquet(*df.inputFiles()).count()
+    assert read(cube) < t.posts.count()
+    assert catalog.tables(spark, sf_dir).root == t.root

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.fixtures import FX, posts_fx
+from tidemark.fixtures import FX, TOPIC_LABEL, posts_fx, topics_fx
 from tidemark.operators import analytics as A
 from tidemark.operators import rollups as R
 from tidemark.plans.filters import Filters
 from tidemark.plans.planner import Tables
+from tidemark.session import shared_dir
 
 END = date(2024, 1, 30)
 EN, LIVE = Filters(language="en"), Filters(mode="live")
@@ -27,8 +29,15 @@ def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str
         SQL[name] = sql
 
 
+#: Where a session keeps the rollups of an input; each is built when it is first asked for, and read from then on.
+_ROOTS: dict[tuple[str, str], str] = {}
+
+
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables(posts_fx(spark, sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ROOTS:
+        _ROOTS[key] = f"{shared_dir(spark)}/tidemark-rollups-{uuid.uuid4().hex}"
+    return Tables(posts_fx(spark, sf_dir), topics_fx(spark), root=_ROOTS[key])
 
 
 def on_tables(f: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -147,13 +156,15 @@ register("q3_activity_live", on_tables(lambda t: A.activity(t, Filters(country="
 both("q4_sentiment_dist", A.sentiment_distribution, f"SELECT sentiment, posts, CASE WHEN sentiment <> 'not_analyzed' THEN {pct('posts', 'known')} END AS pct FROM (SELECT sentiment, {big('posts', 'posts')}, sum(sum({_AN})) OVER () AS known FROM m GROUP BY sentiment)")
 both("q4_sentiment_over_time", A.sentiment_over_time, f"SELECT * EXCLUDE (score_sum) REPLACE (CASE WHEN analysed >= 100 THEN positive_pct END AS positive_pct, CASE WHEN analysed >= 100 THEN neutral_pct END AS neutral_pct, CASE WHEN analysed >= 100 THEN negative_pct END AS negative_pct) FROM (SELECT *, {_shares()} FROM (SELECT date_trunc('week', t)::TIMESTAMP AS t, {big('posts', 'posts')}, sum(score_sum) AS score_sum, {_SENT} FROM m GROUP BY 1) WHERE analysed > 0)")
 for by, (column, least, most) in {"topic": ("topic_id", 1, 30), "language": ("language", 1, 20), "country": ("country", 100, 30)}.items():
-    label = ", topic_id AS label" if by == "topic" else ""
+    label = f", {TOPIC_LABEL} AS label" if by == "topic" else ""
     both(f"q4_sentiment_by_{by}", lambda t, f, by=by: A.sentiment_by(t, by, f), f"SELECT * EXCLUDE (score_sum){label} FROM (SELECT *, {_shares()} FROM (SELECT {column}, {big('posts', 'posts')}, sum(score_sum) AS score_sum, {_SENT} FROM m WHERE {_TOPIC if by == 'topic' else 'true'} GROUP BY 1) WHERE analysed >= {least} ORDER BY analysed DESC, {column} LIMIT {most})")
 
+register("f2_no_engagement", on_tables(lambda t: A.sentiment_distribution(t, Filters(min_engagement=0)).select("sentiment", "posts")), f"{CTES} SELECT coalesce(sentiment, 'not_analyzed') AS sentiment, count(*) AS posts FROM fx WHERE engagement >= 0 GROUP BY 1")
+
 # -- topics, engagement, geography, languages, users
 both(
     "q5_topics", A.topics,
-    f"""SELECT m.topic_id, posts, m.reach, engagement, {pct('posts', 'everything')} AS share_pct, {_ENG.split(', CASE WHEN reach')[0]}, growth_pct, trend_score, m.topic_id AS label
+    f"""SELECT m.topic_id, posts, m.reach, engagement, {pct('posts', 'everything')} AS share_pct, {_ENG.split(', CASE WHEN reach')[0]}, growth_pct, trend_score, {TOPIC_LABEL.replace('topic_id', 'm.topic_id')} AS label
   FROM (SELECT topic_id, {big('posts', 'posts')}, {big('reach', 'reach')}, {big('engagement', 'engagement')}, sum(sum(posts)) OVER () AS everything FROM m WHERE topic_id <> 'none' GROUP BY topic_id) m
   LEFT JOIN ({trend_sql("cube", "topic_id", _E, 30, 1, 1000, "topic_id <> 'none'")}) g ON g.key = m.topic_id""",
     Filters(end=END), f"day <= {_E}",
@@ -166,7 +177,7 @@ _EM = ", ".join(big(x, x) for x in ("posts", "reach", "likes", "comments", "shar
 both("q9_engagement_totals", A.engagement, f"SELECT *, {_ENG} FROM (SELECT {_EM} FROM m)")
 both("q9_engagement_over_time", lambda t, f: A.engagement(t, f, "time"), f"SELECT *, {_ENG} FROM (SELECT date_trunc('week', t)::TIMESTAMP AS t, {_EM} FROM m GROUP BY 1)")
 both("q9_engagement_by_sentiment", lambda t, f: A.engagement(t, f, "sentiment"), f"SELECT *, {_ENG} FROM (SELECT sentiment, {_EM} FROM m GROUP BY 1)")
-both("q9_engagement_by_topic", lambda t, f: A.engagement(t, f, "topic"), f"SELECT *, {_ENG}, topic_id AS label FROM (SELECT topic_id, {_EM} FROM m WHERE topic_id <> 'none' GROUP BY 1 ORDER BY engagement DESC, topic_id LIMIT 25)")
+both("q9_engagement_by_topic", lambda t, f: A.engagement(t, f, "topic"), f"SELECT *, {_ENG}, {TOPIC_LABEL} AS label FROM (SELECT topic_id, {_EM} FROM m WHERE topic_id <> 'none' GROUP BY 1 ORDER BY engagement DESC, topic_id LIMIT 25)")
 register("q9_top_posts", on_tables(A.top_posts), f"{CTES} SELECT post_id, created_at, username, language, topic_id, engagement FROM fx WHERE engagement >= 0 ORDER BY engagement DESC, post_id LIMIT 10")
 
 
@@ -181,9 +192,9 @@ register("a10_category_stats", on_tables(A.category_stats), f"{CTES} SELECT acco
 
 # -- posts
 _PAGE = "SELECT post_id, created_at, username, language, country, sentiment, topic_id, engagement, is_retweet"
-register("q13_posts_page", on_tables(lambda t: A.list_posts(t, Filters(country="Unknown", exclude_retweets=True, min_engagement=5), "engagement", 2, 50)), f"{CTES} {_PAGE}, 0 AS relevance, topic_id AS label FROM fx WHERE country IS NULL AND NOT is_retweet AND engagement >= 5 ORDER BY engagement DESC NULLS LAST, created_at DESC, post_id DESC LIMIT 50 OFFSET 50")
+register("q13_posts_page", on_tables(lambda t: A.list_posts(t, Filters(country="Unknown", exclude_retweets=True, min_engagement=5), "engagement", 2, 50)), f"{CTES} {_PAGE}, 0 AS relevance, {TOPIC_LABEL} AS label FROM fx WHERE country IS NULL AND NOT is_retweet AND engagement >= 5 ORDER BY engagement DESC NULLS LAST, created_at DESC, post_id DESC LIMIT 50 OFFSET 50")
 _HITS = r"CAST(len(list_filter(regexp_split_to_array(lower(clean_text), '[^\p{L}\p{M}\p{N}_]+'), lambda x: x IN ('thereaand', 'nation', 'the'))) AS INTEGER)"
-register("q13_search", on_tables(lambda t: A.list_posts(t, Filters(q="Thereaand nation the"), "relevance", 1, 100)), f"{CTES} {_PAGE}, {_HITS} AS relevance, topic_id AS label FROM fx WHERE {_HITS} > 0 ORDER BY relevance DESC, created_at DESC, post_id DESC LIMIT 100")
+register("q13_search", on_tables(lambda t: A.list_posts(t, Filters(q="Thereaand nation the"), "relevance", 1, 100)), f"{CTES} {_PAGE}, {_HITS} AS relevance, {TOPIC_LABEL} AS label FROM fx WHERE {_HITS} > 0 ORDER BY relevance DESC, created_at DESC, post_id DESC LIMIT 100")
 register("a25_capped_count", on_tables(lambda t: A.count_posts(t, EN, cap=1000)), f"{CTES} SELECT least(count(*), 1000) AS total, count(*) >= 1000 AS total_capped FROM fx WHERE language = 'en'")
 register("q14_identical_text", on_posts(A.identical_texts), f"{CTES} SELECT post_id, text_hash, count(*) OVER (PARTITION BY text_hash) AS identical_texts FROM fx")
 register("q15_filter_options", on_tables(A.filter_options), " UNION ALL ".join(([f"{CTES} SELECT 'language' AS kind, language AS value, {big('posts', 'posts')} FROM cube GROUP BY language"] + [f"SELECT '{kind}', {c}, {big('posts', 'posts')} FROM cube GROUP BY {c}" for kind, c in (("country", "country"), ("topic", "topic_id"))])))
@@ -210,14 +221,29 @@ def on_silver(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, st
 
 
 _SILVER = f"{CTES}, s AS (SELECT *, CAST(created_at AS DATE) AS day, CAST(year(created_at) AS INTEGER) AS year, CAST(month(created_at) AS INTEGER) AS month FROM fx), td AS (SELECT day, hashtag, count(*) AS posts FROM (SELECT day, unnest(hashtags) AS hashtag FROM s) GROUP BY 1, 2)"
-register("a13_daily_activity", on_silver(lambda s: L.daily_activity(s, exact=True)), f"{_SILVER} SELECT day, language, country, account_category, count(*) AS posts, count(*) FILTER (is_retweet) AS retweets, count(DISTINCT user_id) AS active_accounts, {big('len(hashtags)', 'hashtag_uses')} FROM s GROUP BY 1, 2, 3, 4")
-register("a13_daily_activity_approx", on_silver(L.daily_activity))
-register("a14_gold_hashtag_daily", on_silver(L.tag_days), f"{_SILVER} SELECT * FROM td")
-register("a15_top_hashtags", on_silver(lambda s: L.top_tags(L.tag_days(s))), f"{_SILVER} SELECT hashtag, {big('posts', 'posts')}, count(DISTINCT day) AS days_active, min(day) AS first_seen, max(day) AS last_seen, arg_max(day, (posts, day)) AS peak_day, max(posts) AS peak_posts FROM td GROUP BY hashtag")
-register("a16_account_stats", on_silver(L.account_stats), f"{_SILVER} SELECT user_id, username, account_category, count(*) AS posts, round(count(*) FILTER (is_retweet) / count(*), 4) AS retweet_ratio, max(followers) AS max_followers, min(created_at) AS first_post, max(created_at) AS last_post, count(DISTINCT day) AS active_days FROM s GROUP BY 1, 2, 3")
-register("a17_monthly_category", on_silver(L.monthly_category), f"{_SILVER} SELECT year, month, account_category, count(*) AS posts, count(DISTINCT user_id) AS accounts FROM s GROUP BY 1, 2, 3")
-register("a18_weekday", on_silver(lambda s: L.summaries({"monthly_category": L.monthly_category(s), "daily_activity": L.daily_activity(s, True), "top_hashtags": L.top_tags(L.tag_days(s)), "account_stats": L.account_stats(s)})["weekday"]), f"{_SILVER} SELECT strftime(day, '%a') AS weekday, CAST(dayofweek(day) + 1 AS INTEGER) AS dow, count(*) AS posts FROM s GROUP BY 1, 2")
-register("q18_category_of_month", on_silver(lambda s: s.where("year = 2024 and month = 1").groupBy("account_category").agg(F.count("*").alias("n"))), f"{_SILVER} SELECT account_category, count(*) AS n FROM s WHERE year = 2024 AND month = 1 GROUP BY 1")
+register("a13_daily_activity", on_silver(lambda s: L.gold_table("daily_activity", s, exact=True)), f"{_SILVER} SELECT day, language, country, account_category, count(*) AS posts, count(*) FILTER (is_retweet) AS retweets, count(DISTINCT user_id) AS active_accounts, {big('len(hashtags)', 'hashtag_uses')} FROM s GROUP BY 1, 2, 3, 4")
+register("a13_daily_activity_approx", on_silver(lambda s: L.gold_table("daily_activity", s)))
+register("a14_gold_hashtag_daily", on_silver(lambda s: L.gold_table("hashtag_daily", s)), f"{_SILVER} SELECT * FROM td")
+register("a15_top_hashtags", on_silver(lambda s: L.gold_table("top_hashtags", s)), f"{_SILVER} SELECT hashtag, {big('posts', 'posts')}, count(DISTINCT day) AS days_active, min(day) AS first_seen, max(day) AS last_seen, arg_max(day, (posts, day)) AS peak_day, max(posts) AS peak_posts FROM td GROUP BY hashtag")
+register("a16_account_stats", on_silver(lambda s: L.gold_table("account_stats", s)), f"{_SILVER} SELECT user_id, username, account_category, count(*) AS posts, round(count(*) FILTER (is_retweet) / count(*), 4) AS retweet_ratio, max(followers) AS max_followers, min(created_at) AS first_post, max(created_at) AS last_post, count(DISTINCT day) AS active_days FROM s GROUP BY 1, 2, 3")
+register("a17_monthly_category", on_silver(lambda s: L.gold_table("monthly_category", s)), f"{_SILVER} SELECT year, month, account_category, count(*) AS posts, count(DISTINCT user_id) AS accounts FROM s GROUP BY 1, 2, 3")
+_MONTHLY = "SELECT year, month, account_category, count(*) AS posts, count(DISTINCT user_id) AS accounts FROM s GROUP BY 1, 2, 3"
+_TOP_TAG_ROWS = f"SELECT hashtag, {big('posts', 'posts')}, count(DISTINCT day) AS days_active, min(day) AS first_seen, max(day) AS last_seen, arg_max(day, (posts, day)) AS peak_day, max(posts) AS peak_posts FROM td GROUP BY hashtag"
+_ACCOUNTS = "SELECT user_id, username, account_category, count(*) AS posts, round(count(*) FILTER (is_retweet) / count(*), 4) AS retweet_ratio, max(followers) AS max_followers, min(created_at) AS first_post, max(created_at) AS last_post, count(DISTINCT day) AS active_days FROM s GROUP BY 1, 2, 3"
+for _name, _sql in {
+    "monthly_total": "SELECT year, month, count(*) AS posts FROM s GROUP BY 1, 2",
+    "monthly_category": _MONTHLY,
+    "categories": "SELECT account_category, count(*) AS posts FROM s GROUP BY 1",
+    "languages": "SELECT language, count(*) AS posts FROM s GROUP BY 1 ORDER BY posts DESC, language NULLS FIRST LIMIT 12",
+    "countries": "SELECT country, count(*) AS posts FROM s GROUP BY 1 ORDER BY posts DESC, country NULLS FIRST LIMIT 12",
+    "weekday": "SELECT strftime(day, '%a') AS weekday, CAST(dayofweek(day) + 1 AS INTEGER) AS dow, count(*) AS posts FROM s GROUP BY 1, 2",
+    "top_hashtags": f"{_TOP_TAG_ROWS} ORDER BY posts DESC, hashtag LIMIT 25",
+    "top_accounts": f"{_ACCOUNTS} ORDER BY posts DESC, username, user_id, account_category LIMIT 15",
+}.items():
+    register(f"a18_{_name}", on_silver(lambda s, e=L.EXTRACTS[_name]: e.of(L.gold_table(e.reads, s, exact=True))), f"{_SILVER} {_sql}")
+register("q18_top_hashtags_of_year", on_silver(lambda s: L.layer_queries(s, 2024, 1)["top_hashtags_of_year"]), f"{_SILVER} SELECT tag, count(*) AS n FROM (SELECT unnest(hashtags) AS tag FROM s WHERE year = 2024) GROUP BY 1 ORDER BY n DESC, tag LIMIT 20")
+register("q18_posts_by_language", on_silver(lambda s: L.layer_queries(s, 2024, 1)["posts_by_language"]), f"{_SILVER} SELECT language, count(*) AS count FROM s GROUP BY 1")
+register("q18_category_of_month", on_silver(lambda s: L.layer_queries(s, 2024, 1)["category_of_month"]), f"{_SILVER} SELECT account_category, count(*) AS count FROM s WHERE year = 2024 AND month = 1 GROUP BY 1")
 for _name, _sql in {
     "point_lookup": "SELECT post_id, username FROM fx WHERE post_id = '77'",
     "one_week": "SELECT post_id, username FROM fx WHERE created_at >= TIMESTAMP '2024-01-08' AND created_at < TIMESTAMP '2024-01-15'",
@@ -231,27 +257,40 @@ for _name, _sql in {
     )
 
 # -- anomalies
-_DAYS = f"""{CTES}, d0 AS (SELECT day, {big('posts', 'posts')}, {big("CASE WHEN sentiment = 'negative' THEN posts END", 'negative')}, {big(_AN, 'analysed')}, {big('engagement', 'engagement')} FROM cube GROUP BY day),
+_DAYS = f"""{CTES}, d0 AS (SELECT day, {big('posts', 'posts')}, {big('retweets', 'retweets')}, {big('reach', 'reach')}, {big("CASE WHEN sentiment = 'negative' THEN posts END", 'negative')}, {big(_AN, 'analysed')}, {big('engagement', 'engagement')} FROM cube GROUP BY day),
 d1 AS (SELECT *, CASE WHEN analysed > 0 THEN CAST(negative AS DOUBLE) / analysed END AS ns FROM d0),
 d2 AS (SELECT *, avg(posts) OVER w AS vm, stddev_pop(posts) OVER w AS vs, avg(ns) OVER w AS nm, stddev_pop(ns) OVER w AS nsd, count(*) OVER w AS history FROM d1 WINDOW w AS (ORDER BY day ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING))"""
+_FEATURES = "SELECT day, posts, retweets, reach, negative, analysed, engagement, round(ns, 6) AS neg_share, round(vm, 6) AS vol_mean, round(vs, 6) AS vol_std, round(nm, 6) AS neg_mean, round(nsd, 6) AS neg_std, history, CASE WHEN history >= 14 AND vs > 0 THEN round((posts - vm) / vs, 6) END AS vol_z, CASE WHEN history >= 14 AND nsd > 0 AND analysed >= 50 AND ns IS NOT NULL THEN round((ns - nm) / nsd, 6) END AS neg_z FROM d2"
+register("q16_daily_features", on_tables(N.daily_features), f"{_DAYS} {_FEATURES}")
+# a filter that the cube can't answer changes nothing
+register("q16_daily_features_live_filter", on_tables(lambda t: N.daily_features(t, Filters(user="acct1", min_engagement=0))), f"{_DAYS} {_FEATURES}")
+_FENCES = "SELECT quantile_cont(posts, 0.25) AS q1, quantile_cont(posts, 0.75) AS q3 FROM d0"
+_RULES = f"""{_DAYS}, f AS ({_FEATURES}), j AS (SELECT f.*, greatest(posts, coalesce(vol_mean, 0)) >= 100 AS big, q1 - 1.5::DOUBLE * (q3 - q1) AS low, q3 + 1.5::DOUBLE * (q3 - q1) AS high FROM f CROSS JOIN ({_FENCES})),
+r AS (SELECT day, posts, concat_ws(',', CASE WHEN big AND vol_z >= 1.5 THEN 'volume_spike' END, CASE WHEN big AND vol_z <= -1.5 THEN 'volume_drop' END, CASE WHEN big AND neg_z >= 1.5 THEN 'negativity_surge' END,
+  CASE WHEN big AND neg_z <= -1.5 THEN 'negativity_drop' END, CASE WHEN posts < low OR posts > high THEN 'iqr_outlier' END) AS reasons FROM j)"""
+register("q17_rules", on_tables(lambda t: N.judged(t, z=1.5, contamination=None).select("day", "posts", F.array_join("reasons", ",").alias("reasons"))), f"{_RULES} SELECT * FROM r")
 register(
-    "q16_daily_features", on_tables(N.daily_features),
-    f"{_DAYS} SELECT day, posts, negative, analysed, engagement, round(ns, 6) AS neg_share, round(vm, 6) AS vol_mean, round(vs, 6) AS vol_std, round(nm, 6) AS neg_mean, round(nsd, 6) AS neg_std, history, CASE WHEN history >= 14 AND vs > 0 THEN round((posts - vm) / vs, 6) END AS vol_z, CASE WHEN history >= 14 AND nsd > 0 AND analysed >= 50 AND ns IS NOT NULL THEN round((ns - nm) / nsd, 6) END AS neg_z FROM d2",
+    "q17_methods", on_tables(lambda t: N.methods(N.judged(t, z=1.5, contamination=None))),
+    f"{_RULES} SELECT count(*) AS days, count(*) FILTER (reasons <> '') AS anomalous_days, count(*) FILTER (contains(reasons, 'volume')) AS volume_z, count(*) FILTER (contains(reasons, 'negativity')) AS negativity_z, count(*) FILTER (contains(reasons, 'iqr')) AS iqr, CAST(0 AS BIGINT) AS isolation_forest FROM r",
 )
 register("q17_iqr", on_tables(lambda t: N.fences(N.daily_features(t))), f"{_DAYS} SELECT q1, q3, q1 - 1.5::DOUBLE * (q3 - q1) AS low, q3 + 1.5::DOUBLE * (q3 - q1) AS high FROM (SELECT quantile_cont(posts, 0.25) AS q1, quantile_cont(posts, 0.75) AS q3 FROM d0)")
 register("q17_isolation_forest", on_tables(lambda t: N.forest(N.daily_features(t))))
 register("q17_anomalies", on_tables(lambda t: N.detect(t, z=1.5).withColumn("reasons", F.array_join("reasons", ","))))
 
 # -- scalar functions, on texts with tags, handles and links added
-_DECOR = "concat(clean_text, ' #', hashtags[0], ' #K1 and @acct', username, ' https://t.co/', post_id, ' #k1')"
+_DECOR = """case when cast(post_id as bigint) % 23 = 0 then null when cast(post_id as bigint) % 29 = 0 then '' when size(hashtags) > 0
+  then concat(clean_text, ' #', hashtags[0], ' #K1 and @acct', username, ' https://t.co/', post_id, ' #k1') else clean_text end"""
 
 
 def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return posts_fx(spark, sf_dir).where("size(hashtags) > 0").select("post_id", F.expr(_DECOR).alias("body"))
+    return posts_fx(spark, sf_dir).select("post_id", F.expr(_DECOR).alias("body"))
 
 
-_DEC = f"{CTES}, dec AS (SELECT post_id, clean_text || ' #' || hashtags[1] || ' #K1 and @acct' || username || ' https://t.co/' || post_id || ' #k1' AS body FROM fx WHERE len(hashtags) > 0)"
-register("x2_hashtags_decorated", lambda s, d: decorated(s, d).select("post_id", F.array_join(X.hashtags(F.col("body")), ",").alias("tags")), rf"{_DEC}, t AS (SELECT post_id, lower(u.tag) AS tag, u.pos FROM dec, unnest(regexp_extract_all(body, '(^|[^\w#&])#(\w+)', 2)) WITH ORDINALITY AS u(tag, pos)) SELECT post_id, string_agg(tag, ',' ORDER BY pos) AS tags FROM (SELECT post_id, tag, min(pos) AS pos FROM t GROUP BY 1, 2) GROUP BY post_id")
+_DEC = f"{CTES}, dec AS (SELECT post_id, CASE WHEN CAST(post_id AS BIGINT) % 23 = 0 THEN NULL WHEN CAST(post_id AS BIGINT) % 29 = 0 THEN '' WHEN len(hashtags) > 0 THEN clean_text || ' #' || hashtags[1] || ' #K1 and @acct' || username || ' https://t.co/' || post_id || ' #k1' ELSE clean_text END AS body FROM fx)"
+register(
+    "x2_hashtags_decorated", lambda s, d: decorated(s, d).select("post_id", F.array_join(X.hashtags(F.col("body")), ",").alias("tags")),
+    rf"{_DEC}, t AS (SELECT post_id, lower(u.tag) AS tag, u.pos FROM dec, unnest(regexp_extract_all(body, '(^|[^\w#&])#(\w*[^\W\d_]\w*)', 2)) WITH ORDINALITY AS u(tag, pos)), g AS (SELECT post_id, string_agg(tag, ',' ORDER BY pos) AS tags FROM (SELECT post_id, tag, min(pos) AS pos FROM t GROUP BY 1, 2) GROUP BY post_id) SELECT post_id, CASE WHEN body IS NOT NULL THEN coalesce(tags, '') END AS tags FROM dec LEFT JOIN g USING (post_id)",
+)
 register("x4_url_count", lambda s, d: decorated(s, d).select("post_id", X.url_count(F.col("body")).alias("urls")), rf"{_DEC} SELECT post_id, CAST(len(regexp_extract_all(body, '(?i)https?://\S+|www\.\S+')) AS INTEGER) AS urls FROM dec")
 _NAMED = "CASE language WHEN 'en' THEN ' English ' WHEN 'fr' THEN 'FRENCH' WHEN 'de' THEN 'Low German' WHEN 'es' THEN 'LANGUAGE UNDEFINED' END"
 register("x9_language_map", lambda s, d: posts_fx(s, d).select("post_id", X.language(F.expr(_NAMED)).alias("code")), f"{CTES} SELECT post_id, CASE language WHEN 'en' THEN 'en' WHEN 'fr' THEN 'fr' WHEN 'de' THEN 'low_german' END AS code FROM fx")
@@ -274,7 +313,7 @@ register("j5_new_posts_anti", on_posts(lambda p: p.join(p.where("is_retweet").se
 # -- texts
 register(
     "m8_keywords", lambda s, d: M.keywords(s.read.parquet(f"{d}/documents.parquet")),
-    """WITH w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents), tf AS (SELECT id, term, count(*) AS tf FROM w GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+    r"""WITH w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '\p{L}[\p{L}\p{M}]{2,}')) AS term FROM documents), tf AS (SELECT id, term, count(*) AS tf FROM w GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 x AS (SELECT id, term, round((1 + ln(tf)) * (ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + df)) + 1), 6) AS weight FROM tf JOIN df USING (term))
 SELECT * FROM (SELECT id, term, weight, CAST(row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) AS INTEGER) AS place FROM x) WHERE place <= 5""",
 )
@@ -293,4 +332,12 @@ def sentiment_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("m2_sentiment_model", sentiment_metrics)
-register("m6_topics", lambda s, d: M.fit_topics(s.read.parquet(f"{d}/documents.parquet").where("lang = 'en'").select("text"), "en", 8)[1].withColumn("top_terms", F.array_join("top_terms", ",")))
+register("m6_topics", lambda s, d: M.topics_by_language(s.read.parquet(f"{d}/documents.parquet"), 8).withColumn("top_terms", F.array_join("top_terms", ",")))
+# stored predictions, so that SQL can tell the metrics
+_SAID = "CASE WHEN doc_id % 5 = 0 THEN 'neutral' WHEN doc_id % 7 = 0 THEN 'negative' ELSE label END"
+_METRICS = f"""WITH p AS (SELECT label, {_SAID} AS predicted FROM (SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS label FROM documents d JOIN labels USING (doc_id))),
+c AS (SELECT label, count(*) AS support, count(*) FILTER (label = predicted) AS hit, (SELECT count(*) FROM p q WHERE q.predicted = p.label) AS said FROM p GROUP BY label),
+m AS (SELECT *, CASE WHEN said > 0 THEN hit / said ELSE 0 END AS precision, hit / support AS recall, 2.0::DOUBLE * hit / (said + support) AS f1 FROM c)
+SELECT label, support, hit, said, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, round(sum(hit) OVER () / sum(support) OVER (), 9) AS accuracy, round(avg(f1) OVER (), 9) AS macro_f1, round(avg(recall) OVER (), 9) AS macro_recall FROM m"""
+_MEANS = ("precision", "recall", "f1", "accuracy", "macro_f1", "macro_recall")
+register("m5_metrics", lambda s, d: M.metrics(labelled(s, d).withColumn("predicted", F.expr(_SAID))).withColumns({c: F.round(c, 9) for c in _MEANS}), _METRICS)

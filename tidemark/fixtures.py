@@ -38,6 +38,15 @@ def posts_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Labels of some of the fixture's topics; the others are called by their ids.
+_LABELS = {"en-01": "English one", "en-02": "English two", "de-01": "German one"}
+TOPIC_LABEL = "CASE topic_id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _LABELS.items()) + " ELSE topic_id END"
+
+
+def topics_fx(spark: SparkSession) -> DataFrame:
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _LABELS.items()) + " AS t(topic_id, label)")
+
+
 #: The same rows for DuckDB, as the common table expression ``fx``.
 FX = r"""
 fx0 AS (SELECT e.*, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 11 = 0 THEN NULL ELSE lang END AS language, lang, text, n_name

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.schema import SENTINELS, SENTIMENTS
+from tidemark.sources import sinks
 
 CUBE_KEYS = ("day", "language", "country", "sentiment", "topic_id")
 CUBE_MEASURES = ("posts", "retweets", "with_hashtags", "reach", "score_sum", "likes", "comments", "shares", "engagement")
@@ -86,28 +87,52 @@ def _with_day(name: str, df: DataFrame) -> DataFrame:
     return df.withColumn("day", F.to_date("hour")) if name == "hourly_cube" else df
 
 
+def stored(spark: SparkSession, name: str, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/{name}")
+
+
+def build(posts: DataFrame, name: str, root: str) -> None:
+    """One rollup from all posts.  Those with a day are partitioned by it, a day's rows in as few files as their size asks for."""
+    df = _with_day(name, BUILDERS[name](posts))
+    if name == "users":
+        sinks.rebuild(df, f"{root}/{name}")
+    else:
+        df.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("day").parquet(f"{root}/{name}")
+
+
 def rebuild(posts: DataFrame, root: str) -> None:
-    """All rollups from all posts; those with a day are partitioned by it."""
-    for name, build in BUILDERS.items():
-        w = _with_day(name, build(posts)).write.mode("overwrite")
-        if name == "users":
-            w.parquet(f"{root}/{name}")
-        else:
-            w.option("partitionOverwriteMode", "static").partitionBy("day").parquet(f"{root}/{name}")
+    """All rollups from all posts."""
+    for name in BUILDERS:
+        build(posts, name, root)
 
 
-def refresh(posts: DataFrame, root: str, start: str, end: str) -> None:
-    """Recomputes the days [start, end] as a whole and replaces their partitions; users anew.
+def refresh(posts: DataFrame, root: str, start: str, end: str, names: DataFrame | None = None) -> None:
+    """Recomputes the days [start, end] as a whole and replaces their partitions; a day that has lost all its posts loses its partition.
 
-    Cells that no longer exist go, as a day's partition is overwritten.  A day that has lost all its
-    posts keeps its old partition, so callers pass posts that include every touched day.
+    Of the users only those in ``names`` (username) are recomputed where it is given, else those who posted in these days or had posts there.
     """
+    spark = posts.sparkSession
     touched = posts.where((F.col("created_at") >= F.to_timestamp(F.lit(start))) & (F.col("created_at") < F.to_timestamp(F.date_add(F.lit(end), 1))))
-    for name, build in BUILDERS.items():
-        if name != "users":
-            out = _with_day(name, build(touched))
-            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{root}/{name}")
-    users(posts).write.mode("overwrite").parquet(f"{root}/users")
+    within = F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    for name, builder in BUILDERS.items():
+        if name == "users":
+            continue
+        path = f"{root}/{name}"
+        before = {r["day"] for r in stored(spark, name, root).where(within).select("day").distinct().collect()} if sinks.exists(spark, path) else set()  # days of the span
+        _with_day(name, builder(touched)).hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+        if before:
+            # a partition that the new result lacks is still the old one
+            has = {r["day"] for r in touched.select(F.to_date("created_at").alias("day")).distinct().collect()}
+            sinks.delete(spark, [f"{path}/day={d}" for d in before - has])
+    if not sinks.exists(spark, f"{root}/users"):
+        build(posts, "users", root)
+        return
+    old = stored(spark, "users", root)
+    if names is None:
+        had = old.where((F.col("first_post") < F.date_add(F.lit(end), 1)) & (F.col("last_post") >= F.lit(start))).select("username")
+        names = touched.select("username").union(had).distinct()
+    new = users(posts.join(names, "username", "left_semi"))
+    sinks.rebuild(old.join(names, "username", "left_anti").unionByName(new), f"{root}/users")
 
 
 def touched_range(posts: DataFrame, job_id: str) -> DataFrame:

@@ -13,20 +13,25 @@ from tidemark.plans.filters import Filters, on_cube, on_posts
 
 @dataclass
 class Tables:
-    """The posts table and, where they are built, the rollups; missing ones are derived from posts."""
+    """The posts table and the rollups: read where they are built, built once under ``root`` where that is given, else derived from posts."""
 
     posts: DataFrame
     topics: DataFrame | None = None
     built: dict[str, DataFrame] = field(default_factory=dict)
+    root: str | None = None
 
     def rollup(self, name: str) -> DataFrame:
         if name not in self.built:
-            self.built[name] = rollups.BUILDERS[name](self.posts)
+            if self.root:
+                rollups.build(self.posts, name, self.root)
+                self.built[name] = rollups.stored(self.posts.sparkSession, name, self.root)
+            else:
+                self.built[name] = rollups.BUILDERS[name](self.posts)
         return self.built[name]
 
     @classmethod
     def at(cls, spark, posts: DataFrame, root: str, topics: DataFrame | None = None) -> Tables:
-        return cls(posts, topics, {n: spark.read.parquet(f"{root}/{n}") for n in rollups.BUILDERS})
+        return cls(posts, topics, {n: rollups.stored(spark, n, root) for n in rollups.BUILDERS})
 
 
 def choose(f: Filters, granularity: str | None = None) -> str:

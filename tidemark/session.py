@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share; a local session without one gets one of its own."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
 def get_session(name: str = "tidemark", **conf: str) -> SparkSession:
     """UTC, adaptive execution, dynamic partition overwrite; everything else is the cluster's."""
     base = {

@@ -28,8 +28,10 @@ def keep_fresh(stream: DataFrame, posts_path: str, rollup_root: str, checkpoint:
         span = new.agg(F.min(F.to_date("created_at")).alias("a"), F.max(F.to_date("created_at")).alias("b")).first()
         if span["a"] is None:
             return
-        known = spark.read.schema(new.schema).parquet(posts_path).select("post_id")
+        posts = lambda: spark.read.schema(new.schema).parquet(posts_path)
+        # a post keeps its time, so an id can be known from the batch's days only
+        known = posts().where((F.col("created_at") >= F.lit(span["a"])) & (F.col("created_at") < F.date_add(F.lit(span["b"]), 1))).select("post_id")
         new.join(known, "post_id", "left_anti").write.mode("append").parquet(posts_path)
-        rollups.refresh(spark.read.schema(new.schema).parquet(posts_path), rollup_root, str(span["a"]), str(span["b"]))
+        rollups.refresh(posts(), rollup_root, str(span["a"]), str(span["b"]), new.select("username").distinct())
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
