@@ -18,6 +18,8 @@ it for all keys that were sent and returns a byte (the level) per key to the uni
 The units are cut from the rows twice (for the keys and for the scores), so docs must give the same rows in the same order
 both times, as files do; a unit whose keys aren't those that were answered raises an error.
 
+Counts are the middles of their levels, so over all words after one v the P(w | v) add up to about 1, not to 1 exactly.
+
 Base score: exact add-one unigram probabilities.  The HEAD most frequent words are broadcast
 (a fixed number); a document's other words join the count table.
 
@@ -38,8 +40,8 @@ from pyspark.sql import functions as F
 from tidemark.llm._frames import cut, utf8
 from tidemark.llm._text import U64, Words, mix, signed, slices
 
-#: Bits of a filter that is held as one table (probed_counts), and probes per stored level.
-FILTER_BITS, PROBES = 1 << 28, 4
+#: Probes per stored level.
+PROBES = 4
 #: Bits of a segment per stored level, at least: of absent grams, at most one in 400 seems to be there.
 BITS_PER_LEVEL = 16
 #: Bytes of text whose grams are asked for together.
@@ -186,11 +188,11 @@ def _places(keys: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
         yield (h + U64(i) * step) & U64(size - 1)
 
 
-def _segment(keys: np.ndarray, n: np.ndarray, size: int, floor: int = 1) -> np.ndarray:
+def _segment(keys: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
     """The bits (packed) of one bucket's segment of ``size`` bits."""
     seg, level = np.zeros(size, bool), 1
     while True:
-        keep = n >= floor << (level - 1)
+        keep = n >= 1 << (level - 1)
         keys, n = keys[keep], n[keep]
         if not len(keys):
             return np.packbits(seg, bitorder="little")
@@ -199,26 +201,13 @@ def _segment(keys: np.ndarray, n: np.ndarray, size: int, floor: int = 1) -> np.n
         level += 1
 
 
-def _fill(bits: int, floor: int):
-    """One bucket's counts to its segment of a filter of FILTER_BITS bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for bucket, packed, counts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                seg = _segment(*_unpack(bucket, packed, counts), FILTER_BITS >> bits, floor)
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([seg.tobytes()])], names=["bucket", "bits"])
-
-    return run
-
-
-def probed_levels(keys: np.ndarray, table: np.ndarray, size: int, base: np.ndarray | None = None) -> np.ndarray:
-    """The level of the last hit of each key, or 0; its segment of ``size`` bits begins at bit ``base`` (0)."""
+def probed_levels(keys: np.ndarray, table: np.ndarray, size: int) -> np.ndarray:
+    """The level of the last hit of each key in a segment of ``size`` bits, or 0."""
     level, left = np.zeros(len(keys), np.int64), np.arange(len(keys))
     step = 1
     while len(left) and step < 48:
         hit = np.ones(len(left), bool)
-        for place in _places(keys[left], step, size):
-            at = place if base is None else base[left] + place
+        for at in _places(keys[left], step, size):
             hit &= (table[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
         left = left[hit]
         level[left] = step
@@ -226,16 +215,9 @@ def probed_levels(keys: np.ndarray, table: np.ndarray, size: int, base: np.ndarr
     return level
 
 
-def level_counts(level: np.ndarray, floor: int = 1) -> np.ndarray:
-    """The counts that stand for levels: 0, or the middle of the level."""
-    low = np.ldexp(float(floor), level - 1)
-    return np.where(level > 0, np.where((level == 1) & (floor == 1), 1.0, low * 1.5 - 0.5), 0.0)
-
-
-def probed_counts(keys: np.ndarray, table: np.ndarray, bits: int, floor: int) -> np.ndarray:
-    """The counts that a filter of FILTER_BITS bits, its segments one behind another, has for keys."""
-    size = FILTER_BITS >> bits
-    return level_counts(probed_levels(keys, table, size, (keys >> U64(REST)) * U64(size)), floor)
+def level_counts(level: np.ndarray) -> np.ndarray:
+    """The counts that stand for levels: 0, or the middle of the level (1 for the first)."""
+    return np.where(level > 0, np.ldexp(1.5, level - 1) - 0.5, 0.0)
 
 
 def _told(keys: np.ndarray, bits: int, answers: list[tuple[int, bytes, int]]) -> np.ndarray:
