@@ -136,27 +136,25 @@ def test_filter_levels():
     keys = np.random.default_rng(2).integers(0, 1 << 36, 3000, dtype=np.uint64)
     keys = np.unique(keys)
     counts = np.random.default_rng(3).integers(1, 500, len(keys))
-    import pyarrow as pa
-
-    table = np.zeros(lm.FILTER_BITS >> 3, np.uint8)
-    size = lm.FILTER_BITS >> 4 >> 3
-    for b in range(16):
-        mine = (keys >> np.uint64(32)) == b
-        rows = pa.RecordBatch.from_pylist([lm._pack(b, keys[mine], counts[mine])], schema=lm._PACKED)
-        seg = next(lm._fill(4, 1)(iter([rows])))["bits"][0].as_py()
-        table[b * size : (b + 1) * size] = np.frombuffer(seg, np.uint8)
-    got = lm.probed_counts(keys, table, 4, 1)
+    size = 1 << 20
+    table = lm._segment(keys, counts, size)
+    got = lm.level_counts(lm.probed_levels(keys, table, size))
     level = lambda c: np.floor(np.log2(c))
     assert (level(got) >= level(counts)).all() and (level(got) == level(counts)).mean() > 0.99
     absent = np.setdiff1d(np.random.default_rng(4).integers(0, 1 << 36, 3000, dtype=np.uint64), keys)
-    assert (lm.probed_counts(absent, table, 4, 1) > 0).mean() < 0.01
+    assert (lm.probed_levels(absent, table, size) > 0).mean() < 0.01
+    # counts of frequent words at any size, and the middles of levels
+    many = np.array([1 << 32, (1 << 40) + 5], np.int64)
+    assert (lm.probed_levels(keys[:2], lm._segment(keys[:2], many, size), size) == [33, 41]).all()
+    assert lm.level_counts(np.array([0, 1, 2, 33])).tolist() == [0.0, 1.0, 2.5, 1.5 * 2**32 - 0.5]
 
 
 def test_lm_once_seen_grams_stay(docs, monkeypatch):
-    """However little a filter holds, pairs seen once are in the model: no count floor rises with the input."""
+    """However texts are cut into units, pairs seen once are in the model."""
     before = {i: r["score"] for i, r in by_id(lm.op3(docs)).items()}
-    monkeypatch.setattr(lm, "LOAD", 1e-6, raising=False)  # once the load at which the floor doubled: now 46 levels fit
-    assert before == {i: r["score"] for i, r in by_id(lm.op3(docs)).items()}
+    monkeypatch.setattr(lm, "UNIT_BYTES", 1 << 12)
+    after = {i: r["score"] for i, r in by_id(lm.op3(docs)).items()}
+    assert set(after) == set(before) and all(math.isclose(after[i], before[i], rel_tol=1e-9, abs_tol=1e-9) for i in before)
 
 
 def test_lm_segments_grow():
