@@ -237,13 +237,21 @@ def _sum_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
+def _apart(size: int, n: int, linked: bool, percent: int) -> int:
+    """How many tokens of its difference from a hub (size of it) a document with n tokens may not share with what it links to, beside the hub's links.
+
+    All but (1 - t) n / t are shared; if it links to the hub itself, a share of t / 2 at least.
+    """
+    return size - (percent * size + 199) // 200 if linked else (100 - percent) * n // percent
+
+
 def _compare(n: int, percent: int, deltas: bool):
     """Over rows (a, b, ta, tb): links by exact comparison; with ``deltas`` the groups to deal b to next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, ta, tb = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), batch.column(3)
-            out = ([], [], [], [], [], [])
+            out = ([], [], [], [], [], [], [])
             for i, j in slices(tb):
                 hubs: dict[bytes, int] = {}
                 hub = [hubs.setdefault(ta[m].as_py(), len(hubs)) for m in range(i, j)]
@@ -258,29 +266,31 @@ def _compare(n: int, percent: int, deltas: bool):
                     same = every[1:] == every[:-1]
                     common = int(same.sum())
                     linked = 100 * common >= percent * (len(x) + len(y) - common)
-                    row, own = np.zeros(0, np.int64), 0
+                    row, own, size = np.zeros(0, np.int64), 0, 0
                     if deltas:
                         alone = np.ones(len(every), bool)
                         alone[1:] &= ~same
                         alone[:-1] &= ~same
                         d = every[alone]
                         of_hub = np.isin(d, x, assume_unique=True)
-                        own = int((~of_hub).sum())
-                        row = signed(mix(np.concatenate((d[~of_hub], d[of_hub])) ^ mix(np.array([a[i + m]]).view(U64))))
+                        own, size = int((~of_hub).sum()), len(d)
+                        # the hub's own come last, so few of them can be among the first
+                        row = np.concatenate((d[~of_hub], d[of_hub][: max(0, _apart(size, len(y), linked, percent) + 1 - own)]))
+                        row = signed(mix(row ^ mix(np.array([a[i + m]]).view(U64))))
                     if linked or deltas:
-                        for o, v in zip(out, (int(a[i + m]), int(b[i + m]), linked, row, own, len(y)), strict=True):
+                        for o, v in zip(out, (int(a[i + m]), int(b[i + m]), linked, row, own, size, len(y)), strict=True):
                             o.append(v)
             ends = np.concatenate(([0], np.cumsum([len(r) for r in out[3]]))).astype(np.int32)
             flat = np.concatenate(out[3]) if out[3] else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())), pa.array(out[4], pa.int32()), pa.array(out[5], pa.int64())],
-                names=["a", "b", "linked", "next", "own", "n"],
+                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())), pa.array(out[4], pa.int32()), pa.array(out[5], pa.int32()), pa.array(out[6], pa.int64())],
+                names=["a", "b", "linked", "next", "own", "size", "n"],
             )
 
     return run
 
 
-_FOUND = "a bigint, b bigint, linked boolean, next array<bigint>, own int, n bigint"
+_FOUND = "a bigint, b bigint, linked boolean, next array<bigint>, own int, size int, n bigint"
 
 
 def _bit(k: Column) -> Column:
@@ -431,12 +441,12 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         # hubs that all link to need no more; of a difference from another hub, the prefix is dealt out
         open_ = found.where("not linked").select("a").distinct()
         dealt = found.join(open_, "a", "left_semi").join(label, F.col("b") == F.col("v"), "left").withColumn("c", F.coalesce("label", "b"))
-        dealt = dealt.select("a", "b", "c", "n", "own", "linked", F.size("next").alias("size"), F.posexplode("next").alias("at", "token"))
+        dealt = dealt.repartition("b", "a")  # a hub's documents evenly, before their differences are dealt out
+        dealt = dealt.select("a", "b", "c", "n", "own", "size", "linked", F.posexplode("next").alias("at", "token"))
         dealt = dealt.join(dealt.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token").withColumn("late", F.col("at") >= F.col("own"))
         own = Window.partitionBy("a", "b", "late")
-        before = F.when(F.col("late"), F.col("size")).otherwise(F.col("own")) - F.count("*").over(own)  # tokens of one difference come first
-        rank = before + F.row_number().over(own.orderBy("df", "token")) - 1
-        # b shares all but (1 - t) n / t of its difference with what it links to; if it links to the hub, a share of t / 2
+        # tokens of one difference come first, then rare ones; the hub's own follow in the order of their hashes
+        rank = F.when(F.col("late"), F.col("at")).otherwise(F.col("own") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")) - 1)
         apart = F.when(F.col("linked"), F.col("size") - F.ceil(percent * F.col("size") / 200)).otherwise(F.floor((100 - percent) * F.col("n") / percent))
         dealt = dealt.withColumn("pos", rank).where(F.col("pos") <= apart)
         rows = dealt.select("token", F.col("b").alias("k"), "n", "pos", "c", "size")
