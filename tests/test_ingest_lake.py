@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import engagement
-from tidemark.operators import ingest, lake
+from tidemark.operators import ingest, jobs, lake
 from tidemark.schema import POSTS_DDL, RAW_COLUMNS
 from tidemark.sources import readers, sinks
 
@@ -54,6 +54,25 @@ def test_append_is_idempotent(spark, folder, tmp_path):
     assert {f.split(":")[0].split()[0] for f in POSTS_DDL.strip().splitlines()[:1]} == {"post_id"}
 
 
+def test_job(spark, tmp_path):
+    """Ingest, append, enrich and refresh; a second job touches its days, the same job again changes nothing."""
+    (tmp_path / "a.csv").write_text("id,text,created_at,language,author\n1,election election today #Vote,2016-01-01,English,ann\n2,выборы выборы сегодня,2016-01-02,Russian,bob\n3,,2016-01-02,English,bob\n")
+    (tmp_path / "b.csv").write_text("id,text,created_at,language,author\n2,again,2016-01-02,English,bob\n4,another election,2016-01-02,English,ann\n")
+    root = str(tmp_path / "lake")
+    c = jobs.run(spark, [str(tmp_path / "a.csv")], root, "j1")
+    assert (c["read"], c["rejected"], c["inserted"]) == (3, 1, 2)
+    p = {r["post_id"]: r for r in jobs.posts(spark, root).collect()}
+    assert all(r["processed"] for r in p.values()) and p["1"]["keywords"][0] == "election" and p["2"]["keywords"] is None
+    cube = lambda: sorted((str(r["day"]), r["posts"]) for r in spark.read.parquet(f"{root}/rollups/daily_cube").groupBy("day").agg(F.sum("posts").alias("posts")).collect())
+    assert cube() == [("2016-01-01", 1), ("2016-01-02", 1)]
+    for inserted in (1, 0):
+        c = jobs.run(spark, [str(tmp_path / "b.csv")], root, "j2")
+        assert (c["inserted"], c["known"]) == (inserted, 2 - inserted)
+        assert cube() == [("2016-01-01", 1), ("2016-01-02", 2)]
+        users = {r["username"]: r["posts"] for r in spark.read.parquet(f"{root}/rollups/users").collect()}
+        assert users == {"ann": 2, "bob": 1}
+
+
 def test_lake(spark, tmp_path):
     rows = [["a1", "bob", "Hello #World", "United States", "English", f"{m}/1/2016 10:00", "", "1", "9", "2", kind, "", "1" if kind == "RETWEET" else "0", "Right", "", "77", str(i), "", "", "", ""] for i, (m, kind) in enumerate([(1, ""), (1, "RETWEET"), (2, "QUOTE_TWEET"), (2, ""), (3, "")])]
     rows.append([*rows[0]])  # the same id again
