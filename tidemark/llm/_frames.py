@@ -31,11 +31,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: no lineage, and it outlives executors."""
     path = new_path(df.sparkSession, name)
     with small_batches(df.sparkSession):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -112,11 +112,19 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_arrow(df: DataFrame, inputs: list[Column], make: Callable[..., dict], fields: str) -> DataFrame:
     """Appends columns computed in Python from ``inputs``; only these cross over, all other columns stay in the JVM.
 
     ``make`` gets a list per input and returns the new columns by name.  A column of df that has a
-    new column's name is replaced.
+    new column's name, in any case, is replaced.
     """
     new = T._parse_datatype_string(fields)
     kinds = [(f.name, to_arrow_type(f.dataType)) for f in new]
@@ -129,5 +137,6 @@ def with_arrow(df: DataFrame, inputs: list[Column], make: Callable[..., dict], f
 
     # not deterministic for Spark, so that no filter on a new column runs it twice
     called = F.arrow_udf(run, new).asNondeterministic()(*inputs)
-    out = df.select(*[df[f"`{c}`"] for c in df.columns if c not in new.names], called.alias("__made"))
-    return out.select(*[f"`{c}`" for c in out.columns[:-1]], *[F.col("__made")[k].alias(k) for k in new.names])
+    made, replaced = unused(df, "made"), {k.lower() for k in new.names}
+    out = df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in replaced], called.alias(made))
+    return out.select(*[f"`{c}`" for c in out.columns[:-1]], *[F.col(made)[k].alias(k) for k in new.names])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, jaccard, langid, lm, media, mixing, quality, substring, urlfilter, warc
+from tidemark.llm import bpe, counts, jaccard, langid, lm, media, mixing, quality, replay, substring, urlfilter, warc, yinyang
 from tidemark.llm._frames import table
 
 
@@ -26,6 +26,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe_stream": _on("documents", bpe.op8),
         "op9_png_media": _on("documents", media.op9),
         "op10_rule_ledger": _on("documents", quality.op10),
+        "op11_prefix_counts": _on("documents", counts.op11),
+        "op12_yinyang": _on("embeddings", yinyang.op12),
+        "op13_filter_replay": lambda spark, sf_dir: replay.op13(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     }
 
 
@@ -36,4 +39,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_temporal_url_lists": urlfilter.SQL,
         "op7_jaccard_join": jaccard.SQL,
         "op10_rule_ledger": quality.SQL,
+        "op12_yinyang": yinyang.SQL,
+        "op13_filter_replay": replay.SQL,
     }
