@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Callable
 from datetime import date
 
@@ -29,15 +29,26 @@ def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str
         SQL[name] = sql
 
 
-#: Where a session keeps the rollups of an input; each is built when it is first asked for, and read from then on.
-_ROOTS: dict[tuple[str, str], str] = {}
+#: The tables of a session and an input; rollups and indexes are published once, and read from then on.
+_TABLES: dict[tuple, Tables] = {}
+SOURCES = ("events", "documents", "nation")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> str:
+    """What the input's files are: names, sizes and times, as a digest."""
+    hadoop, conf, seen = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for name in SOURCES:
+        p = hadoop.Path(f"{sf_dir}/{name}.parquet")
+        seen += sorted((str(s.getPath()), s.getLen(), s.getModificationTime()) for s in p.getFileSystem(conf).listStatus(p))
+    return hashlib.sha256(repr(seen).encode()).hexdigest()[:24]
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _ROOTS:
-        _ROOTS[key] = f"{shared_dir(spark)}/tidemark-rollups-{uuid.uuid4().hex}"
-    return Tables(posts_fx(spark, sf_dir), topics_fx(spark), root=_ROOTS[key])
+    """The posts of an input with what is published of them; an input whose files have changed gets new tables beside the old ones."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, _files(spark, sf_dir))
+    if key not in _TABLES:
+        _TABLES[key] = Tables(posts_fx(spark, sf_dir), topics_fx(spark), root=f"{shared_dir(spark)}/tidemark-rollups-{key[-1]}")
+    return _TABLES[key]
 
 
 def on_tables(f: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -98,7 +109,7 @@ def both(name: str, f: Callable[[Tables, Filters], DataFrame], select: str, filt
 
 
 # -- rollups
-register("a1_daily_cube", on_posts(R.daily_cube), f"{CTES} SELECT * EXCLUDE (t) FROM cube")
+register("a1_daily_cube", on_posts(lambda p: R.daily_cube(p).drop("accounts")), f"{CTES} SELECT * EXCLUDE (t) FROM cube")
 register("a2_hourly_cube", on_posts(R.hourly_cube), f"{CTES} SELECT * FROM hourly")
 register("a3_hashtag_daily", on_posts(R.hashtag_daily), f"{CTES} SELECT * FROM tag_daily")
 register("a4_keyword_daily", on_posts(R.keyword_daily), f"{CTES} SELECT * FROM word_daily")
@@ -195,6 +206,56 @@ _PAGE = "SELECT post_id, created_at, username, language, country, sentiment, top
 register("q13_posts_page", on_tables(lambda t: A.list_posts(t, Filters(country="Unknown", exclude_retweets=True, min_engagement=5), "engagement", 2, 50)), f"{CTES} {_PAGE}, 0 AS relevance, {TOPIC_LABEL} AS label FROM fx WHERE country IS NULL AND NOT is_retweet AND engagement >= 5 ORDER BY engagement DESC NULLS LAST, created_at DESC, post_id DESC LIMIT 50 OFFSET 50")
 _HITS = r"CAST(len(list_filter(regexp_split_to_array(lower(clean_text), '[^\p{L}\p{M}\p{N}_]+'), lambda x: x IN ('thereaand', 'nation', 'the'))) AS INTEGER)"
 register("q13_search", on_tables(lambda t: A.list_posts(t, Filters(q="Thereaand nation the"), "relevance", 1, 100)), f"{CTES} {_PAGE}, {_HITS} AS relevance, {TOPIC_LABEL} AS label FROM fx WHERE {_HITS} > 0 ORDER BY relevance DESC, created_at DESC, post_id DESC LIMIT 100")
+_WORDS = r"list_filter(regexp_split_to_array(lower(clean_text), '[^\p{L}\p{M}\p{N}_]+'), lambda x: x <> '')"
+_RUN = r"regexp_matches(' ' || array_to_string(w, ' ') || ' ', ' {} ')"
+_TEXTS = f"{CTES}, tx AS (SELECT *, {_WORDS} AS w FROM fx WHERE clean_text IS NOT NULL)"
+
+
+def _found(where: str, words: str) -> str:
+    n = f"CAST(len(list_filter(w, lambda x: x IN ({words}))) AS INTEGER)"
+    return f"{_TEXTS} {_PAGE}, {n} AS relevance, {TOPIC_LABEL} AS label FROM tx WHERE {n} > 0 AND {where} ORDER BY"
+
+
+register("q13_search_live", on_tables(lambda t: A.list_posts(t, Filters(q="Thereaand nation the", mode="live"), "relevance", 1, 100)), f"{CTES} {_PAGE}, {_HITS} AS relevance, {TOPIC_LABEL} AS label FROM fx WHERE {_HITS} > 0 ORDER BY relevance DESC, created_at DESC, post_id DESC LIMIT 100")
+register("f8_phrase", on_tables(lambda t: A.list_posts(t, Filters(q='"The AND" los', start=date(2024, 1, 4)), "newest", 2, 20)), _found(f"created_at >= TIMESTAMP '2024-01-04' AND {_RUN.format('the and')}", "'the', 'and', 'los'") + " created_at DESC, post_id DESC LIMIT 20 OFFSET 20")
+register("f8_without", on_tables(lambda t: A.list_posts(t, Filters(q='that was -"of the" -los', language="en"), "engagement", 1, 50)), _found(f"language = 'en' AND NOT list_contains(w, 'los') AND NOT {_RUN.format('of the')}", "'that', 'was'") + " engagement DESC NULLS LAST, created_at DESC, post_id DESC LIMIT 50")
+register("f8_oldest", on_tables(lambda t: A.list_posts(t, Filters(q="atst una"), "oldest", 1, 30)), _found("true", "'atst', 'una'") + " created_at, post_id LIMIT 30")
+register("f8_count", on_tables(lambda t: A.count_posts(t, Filters(q="una -the"), cap=100_000)), f"{_TEXTS} SELECT least(count(*), 100000) AS total, count(*) >= 100000 AS total_capped FROM tx WHERE list_contains(w, 'una') AND NOT list_contains(w, 'the')")
+register(
+    "f8_best_posts", on_tables(lambda t: A.best_posts(t, "una atst the", 25)),
+    f"""{_TEXTS}, n AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS mean FROM tx), u AS (SELECT post_id, len(w) AS length, unnest(w) AS word FROM tx), tf AS (SELECT post_id, word, length, count(*) AS tf FROM u WHERE word IN ('una', 'atst', 'the') GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1)
+  SELECT post_id, any_value(created_at) AS created_at, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score
+  FROM tf JOIN df USING (word) CROSS JOIN n JOIN (SELECT post_id, created_at FROM fx) p USING (post_id) GROUP BY post_id ORDER BY score DESC, post_id LIMIT 25""",
+)
+register("q14_get_post", on_tables(lambda t: A.get_post(t, "77").select("post_id", "text_hash", "username", "identical_texts")), f"{CTES} SELECT post_id, text_hash, username, (SELECT count(*) FROM fx g WHERE g.text_hash = fx.text_hash) AS identical_texts FROM fx WHERE post_id = '77'")
+register("o5_posts_oldest", on_tables(lambda t: A.list_posts(t, Filters(language="de"), "oldest", 1, 40)), f"{CTES} {_PAGE}, 0 AS relevance, {TOPIC_LABEL} AS label FROM fx WHERE language = 'de' ORDER BY created_at, post_id LIMIT 40")
+
+
+def accounts_within(t: Tables) -> DataFrame:
+    """Active accounts by week and in all: whether the sketches' numbers are within 5 % of the exact ones, which stand beside them."""
+    posts = t.posts.where("processed")
+    exact = lambda *by: posts.groupBy(*by).agg(F.count_distinct("user_id").alias("accounts"))
+    weeks = A.active_accounts(t).join(exact(F.date_trunc("week", "created_at").cast("timestamp_ntz").alias("t")), "t")
+    years = A.active_accounts(t, granularity="year").join(exact(F.date_trunc("year", "created_at").cast("timestamp_ntz").alias("t")), "t")
+    both = weeks.withColumn("span", F.lit("week")).unionByName(years.withColumn("span", F.lit("year")))
+    return both.select("span", "t", "accounts", (F.abs(F.col("active_accounts") - F.col("accounts")) <= 0.05 * F.col("accounts")).alias("within"))
+
+
+register("a13_accounts_within", on_tables(accounts_within), " UNION ALL ".join(f"{CTES if s == 'week' else ''} SELECT '{s}' AS span, date_trunc('{s}', created_at)::TIMESTAMP AS t, count(DISTINCT user_id) AS accounts, true AS within FROM fx WHERE processed GROUP BY 2" for s in ("week", "year")))
+
+SHARES = (0.25, 1 / 3, 0.5, 2 / 3, 0.75)
+
+
+def quantiles_within(t: Tables) -> DataFrame:
+    """Terciles, median and quartiles of engagement by language: whether each value from the sketches stands within 1 % of its rank."""
+    told = A.engagement_quantiles(t, SHARES, Filters(start=date(2024, 1, 5), end=date(2024, 1, 25)), "language")
+    posts = t.posts.where("engagement is not null and created_at >= '2024-01-05' and created_at < '2024-01-26'").select(R.named("language"), "engagement")
+    j = posts.join(F.broadcast(told), "language")  # a row per language and share
+    ranks = j.groupBy("language", "posts", "share", "value").agg((F.count_if(F.col("engagement") < F.col("value")) / F.count("*")).alias("below"), (F.count_if(F.col("engagement") <= F.col("value")) / F.count("*")).alias("upto"))
+    return ranks.select("language", F.round("share", 6).alias("share"), "posts", ((F.col("below") - 0.01 <= F.col("share")) & (F.col("share") <= F.col("upto") + 0.01)).alias("within"))
+
+
+register("a24_quantiles_within", on_tables(quantiles_within), f"{CTES} SELECT coalesce(language, 'unknown') AS language, round(u.s, 6) AS share, count(*) AS posts, true AS within FROM fx, unnest([{', '.join(f'{s!r}::DOUBLE' for s in SHARES)}]) AS u(s) WHERE engagement IS NOT NULL AND created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-26' GROUP BY 1, 2")
 register("a25_capped_count", on_tables(lambda t: A.count_posts(t, EN, cap=1000)), f"{CTES} SELECT least(count(*), 1000) AS total, count(*) >= 1000 AS total_capped FROM fx WHERE language = 'en'")
 register("q14_identical_text", on_posts(A.identical_texts), f"{CTES} SELECT post_id, text_hash, count(*) OVER (PARTITION BY text_hash) AS identical_texts FROM fx")
 register("q15_filter_options", on_tables(A.filter_options), " UNION ALL ".join(([f"{CTES} SELECT 'language' AS kind, language AS value, {big('posts', 'posts')} FROM cube GROUP BY language"] + [f"SELECT '{kind}', {c}, {big('posts', 'posts')} FROM cube GROUP BY {c}" for kind, c in (("country", "country"), ("topic", "topic_id"))])))
@@ -252,7 +313,7 @@ for _name, _sql in {
 }.items():
     register(
         f"q19_{_name}",
-        lambda s, d, n=_name: (lambda q: q.select("post_id", "username") if "post_id" in q.columns else q)(L.routing_queries(posts_fx(s, d), "77", "2024-01-08", "2024-01-15")[n]),
+        lambda s, d, n=_name: (lambda q: q.select("post_id", "username") if "post_id" in q.columns else q)(L.routing_queries(tables(s, d).by_time(), "77", "2024-01-08", "2024-01-15")[n]),
         f"{CTES} {_sql}",
     )
 

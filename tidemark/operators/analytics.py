@@ -11,9 +11,11 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.rollups import CUBE_MEASURES, named, sentiment_counts, total
+from tidemark.operators import indexes, search
+from tidemark.operators.rollups import ACCOUNT_REGISTERS, CUBE_MEASURES, QUANTILE_K, named, sentiment_counts, total
+from tidemark.operators.search import hits
 from tidemark.plans import planner
-from tidemark.plans.filters import Filters, hits, on_cube, on_posts
+from tidemark.plans.filters import Filters, on_cube, on_posts
 from tidemark.plans.planner import Tables
 from tidemark.schema import SENTIMENTS, SENTINELS
 
@@ -283,28 +285,67 @@ def list_posts(t: Tables, f: Filters = Filters(), sort: str = "newest", page: in
     """A page of posts.  Relevance is the number of matching words; without ``q`` it is newest."""
     if not (1 <= page <= 400 and 1 <= size <= 100):
         raise ValueError("page is 1 to 400, size 1 to 100")
-    # with ``q`` the words are counted once, for the filter and for the order
-    p = t.posts.where(on_posts(replace(f, q=None))).withColumn("relevance", hits(F.col("clean_text"), f.q) if f.q else F.lit(0))
-    p = p.where("relevance > 0") if f.q else p
     newest = [F.desc("created_at"), F.desc("post_id")]
     order = {"newest": newest, "oldest": [F.asc("created_at"), F.asc("post_id")], "engagement": [F.desc_nulls_last("engagement"), *newest], "relevance": [F.desc("relevance"), *newest]}[sort]
+    rest = replace(f, q=None)
+    if f.q and t.indexed and f.mode != "live":
+        found = search.found(t.rollup("postings"), f.q, f.start, f.end)
+        if sort != "engagement" and not rest.more_than_dates:  # the index alone knows the page: a page's rows at most meet the posts
+            found = F.broadcast(found.orderBy(*order).limit(page * size))
+        p = t.posts.where(on_posts(rest)).join(found.select("post_id", "relevance"), "post_id")
+    else:
+        # with ``q`` the words are counted once, for the filter and for the order
+        p = t.posts.where(on_posts(rest)).withColumn("relevance", hits(F.col("clean_text"), f.q) if f.q else F.lit(0))
+        p = p.where("relevance > 0") if f.q else p
     p = p.orderBy(*order).offset((page - 1) * size).limit(size)
     return with_labels(p.select("post_id", "created_at", "username", "language", "country", "sentiment", "topic_id", "engagement", "is_retweet", "relevance"), t)
 
 
 def count_posts(t: Tables, f: Filters = Filters(), cap: int = 100_000) -> DataFrame:
     """The number of matching posts, counted up to ``cap`` only."""
-    p = t.posts.where(on_posts(f))
+    only_words = f.q and t.indexed and f.mode != "live" and not replace(f, q=None).more_than_dates
+    p = search.found(t.rollup("postings"), f.q, f.start, f.end) if only_words else t.posts.where(on_posts(f))
     narrowed = f.more_than_dates or bool(f.start or f.end)
     n = (p.select("post_id").limit(cap) if narrowed else p).agg(F.count("*").alias("total"))
     return n.withColumn("total_capped", F.lit(narrowed) & (F.col("total") == cap))
 
 
 def get_post(t: Tables, post_id: str) -> DataFrame:
-    """The post with the number of posts (itself included) with its text."""
-    one = t.posts.where(F.col("post_id") == post_id)
-    same = t.posts.join(F.broadcast(one.select("text_hash")), "text_hash", "left_semi").agg(F.count("*").alias("identical_texts"))
-    return one.crossJoin(same)
+    """The post with the number of posts (itself included) with its text: two lookups by value, of the id and of the text's fingerprint."""
+    posts = t.by_time()
+    post = indexes.one(posts, post_id)
+    hashes = [r["text_hash"] for r in post.select("text_hash").limit(1).collect()]
+    same = indexes.same_text(posts, hashes[0]).agg(F.count("*")).first()[0] if hashes and hashes[0] else len(hashes)
+    return post.withColumn("identical_texts", F.lit(same).cast("bigint"))
+
+
+def best_posts(t: Tables, q: str, k: int = 20, start: date | None = None, end: date | None = None) -> DataFrame:
+    """The k posts that answer a query best, by the index's scores."""
+    return search.ranked(t.rollup("postings"), t.rollup("text_daily"), q, k, start, end)
+
+
+def active_accounts(t: Tables, f: Filters = Filters(), granularity: str = "week") -> DataFrame:
+    """(t, active_accounts): about how many accounts posted, from the cube's sketches united over each span (3 standard errors: 5 %)."""
+    if planner.choose(f, granularity) == "posts":
+        made = t.posts.where(on_posts(f)).groupBy(F.date_trunc(granularity, "created_at").cast("timestamp_ntz").alias("t")).agg(F.hll_sketch_agg("user_id", ACCOUNT_REGISTERS).alias("s"))
+    else:
+        made = planner.cells(t, f).groupBy(F.date_trunc(granularity, "t").cast("timestamp_ntz").alias("t")).agg(F.hll_union_agg("accounts").alias("s"))
+    return made.select("t", F.hll_sketch_estimate("s").alias("active_accounts"))
+
+
+def engagement_quantiles(t: Tables, shares: tuple[float, ...], f: Filters = Filters(), by: str | None = None) -> DataFrame:
+    """(by, posts, share, value): the engagement below which a share of the posts lies, within 1 % of the rank, from the days' sketches united.
+
+    For dates and language; other filters read the posts.  Terciles and the fences of outliers are shares like any other.
+    """
+    if f.mode == "live" or f.live_only or f.country or f.sentiment or f.topic:
+        kept = t.posts.where(on_posts(f) & F.col("engagement").isNotNull()).select(F.to_date("created_at").alias("day"), named("language"), "engagement")
+        g = kept.groupBy(*([by] if by else [])).agg(F.count("*").alias("posts"), F.kll_sketch_agg_bigint("engagement", F.lit(QUANTILE_K)).alias("sketch"))
+    else:
+        cells = t.rollup("engagement_daily").where(on_cube(Filters(start=f.start, end=f.end, language=f.language)))
+        g = cells.groupBy(*([by] if by else [])).agg(F.sum("posts").alias("posts"), F.kll_merge_agg_bigint("sketch", F.lit(QUANTILE_K)).alias("sketch"))
+    told = [F.struct(F.lit(x).alias("share"), F.kll_sketch_get_quantile_bigint("sketch", F.lit(x)).alias("value")) for x in shares]
+    return g.where("posts > 0").select(*([by] if by else []), "posts", F.inline(F.array(*told)))
 
 
 def identical_texts(posts: DataFrame) -> DataFrame:
@@ -343,6 +384,3 @@ def weekly_sentiment(t: Tables, language: str = "en") -> DataFrame:
 
 def topic_by_sentiment(t: Tables) -> DataFrame:
     return t.posts.groupBy(named("topic_id"), named("sentiment")).agg(F.count("*").alias("posts"))
-
-
-__all__ = ["CUBE_MEASURES", *[n for n in dir() if not n.startswith("_")]]

@@ -1,6 +1,6 @@
 """A job from files to fresh rollups: ingest, append what is new, enrich it, recompute the days it touches.
 
-Under ``root`` lie ``posts`` (appended to, never rewritten), ``enriched`` (a row per post and processing, joined by id on
+Under ``root`` lie ``posts`` (appended to, never rewritten; bloom filters of ids), ``enriched`` (a row per post and processing, joined by id on
 reading) and ``rollups``.  A job that is run again appends nothing and recomputes the same days to the same cells.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import ingest, nlp, rollups
-from tidemark.schema import flat
+from tidemark.schema import flat, schema_violations
 from tidemark.sources import readers, sinks
 
 #: What enrichment tells about a post.
@@ -44,17 +44,23 @@ def posts(spark: SparkSession, root: str) -> DataFrame:
     return j.select(*[over.get(c, F.col(c)) for c in stored.columns])
 
 
+def take(read: DataFrame, path: str) -> dict[str, int]:
+    """Appends what is new of normalised records; all counters come from that one pass over the input."""
+    rows = ingest.folded(read)
+    ok = F.col("reason").isNull()
+    broken = ok & (F.size(schema_violations()) > 0)
+    of_input = ("fold_key", "rows", "reason", "file_ord", "row_ord")  # rejected rows have no id to be known by, but their place
+    return sinks.append_unknown(rows, path, "post_id", ok & ~broken, {**ingest.counted(), "schema_validation": broken.cast("bigint")}, of_input, by="fold_key")
+
+
 def run(spark: SparkSession, paths: list[str], root: str, job_id: str, profile: str = "generic", sentiment: PipelineModel | None = None, topics: dict[str, PipelineModel] | None = None) -> dict[str, int]:
     """One job; the counts of what was read, rejected, inserted and found to be there already."""
-    read = ingest.normalise(readers.read(spark, paths), profile, job_id=job_id)
-    counts = ingest.counters(read).first().asDict()  # one row
-    done = sinks.append_new(ingest.accepted(read), f"{root}/posts").first().asDict()
-    counts |= {"inserted": done["inserted"], "known": done["duplicates"]}
+    counts = take(ingest.normalise(readers.read(spark, paths), profile, job_id=job_id), f"{root}/posts")
     write_back(posts(spark, root), root, sentiment, topics)
-    span = rollups.touched_range(spark.read.parquet(f"{root}/posts"), job_id).first()
+    days = rollups.touched_days(spark.read.parquet(f"{root}/posts").where(F.col("ingestion_job_id") == job_id))
     whole = flat(posts(spark, root))
     if not sinks.exists(spark, f"{root}/rollups"):
         rollups.rebuild(whole, f"{root}/rollups")
-    elif span["first"] is not None:
-        rollups.refresh(whole, f"{root}/rollups", str(span["first"].date()), str(span["last"].date()))
+    else:
+        rollups.refresh_days(whole, f"{root}/rollups", days)
     return counts

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import unicodedata
 from dataclasses import dataclass, replace
 from datetime import date, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.operators.search import hits
 from tidemark.schema import SENTIMENTS, SENTINELS
 
 #: Filters that only the posts table can answer.
@@ -83,14 +83,6 @@ def on_cube(f: Filters) -> Column:
     return _all(parts)
 
 
-def hits(text: Column, q: str) -> Column:
-    """How many words of a text are words of ``q``: one scan by a pattern, no word is kept."""
-    words = sorted({*"".join(c if c == "_" or unicodedata.category(c)[0] in "LMN" else " " for c in q.lower()).split()})
-    if not words:
-        return F.lit(0)
-    return F.regexp_count(F.lower(text), F.lit(rf"(?U)(?<!\w)(?:{'|'.join(words)})(?!\w)"))
-
-
 def on_posts(f: Filters) -> Column:
     """All filters; a sentinel asks for missing values."""
     parts, at = [], F.col("created_at")

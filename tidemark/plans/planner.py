@@ -7,13 +7,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import rollups
+from tidemark.operators import indexes, rollups
 from tidemark.plans.filters import Filters, on_cube, on_posts
+from tidemark.sources import sinks
 
 
 @dataclass
 class Tables:
-    """The posts table and the rollups: read where they are built, built once under ``root`` where that is given, else derived from posts."""
+    """The posts table and the rollups: read where they are built; published once under ``root`` where that is given (of posts that don't change), else derived from posts."""
 
     posts: DataFrame
     topics: DataFrame | None = None
@@ -23,12 +24,25 @@ class Tables:
     def rollup(self, name: str) -> DataFrame:
         if name not in self.built:
             if self.root:
-                rollups.build(self.posts, name, self.root)
-                self.built[name] = rollups.stored(self.posts.sparkSession, name, self.root)
+                self.built[name] = rollups.published(self.posts, name, self.root)
             else:
                 self.built[name] = rollups.BUILDERS[name](self.posts)
         return self.built[name]
 
+    @property
+    def indexed(self) -> bool:
+        """Whether searches have an index to read."""
+        return self.root is not None or "postings" in self.built
+
+    def by_time(self) -> DataFrame:
+        """The posts in files by time with bloom filters of their ids, written once under ``root``; without it, the posts as they are."""
+        if not self.root:
+            return self.posts
+        if "posts" not in self.built:
+            spark = self.posts.sparkSession
+            self.built["posts"] = spark.read.parquet(sinks.publish(spark, f"{self.root}/posts", lambda to: indexes.write(self.posts, to)))
+        return self.built["posts"]
+
     @classmethod
     def at(cls, spark, posts: DataFrame, root: str, topics: DataFrame | None = None) -> Tables:
         return cls(posts, topics, {n: rollups.stored(spark, n, root) for n in rollups.BUILDERS})

@@ -16,6 +16,8 @@ RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS
 
 #: What a missing dimension is called in rollups and in filters (fixed values).
 SENTINELS = {"language": "unknown", "country": "Unknown", "sentiment": "not_analyzed", "topic_id": "none"}
+#: Columns that are looked up by value.
+POINTS = ("post_id", "text_hash")
 SENTIMENTS = ("positive", "neutral", "negative")
 
 POSTS_DDL = """
