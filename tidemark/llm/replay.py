@@ -51,6 +51,7 @@ def flags(documents: DataFrame, labels: DataFrame) -> DataFrame:
     )
     rows = cut(rows, "flags")  # texts are read for it once
     first = rows.groupBy("content").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").drop("last")
+    first = cut(first, "copies")  # a join of two tables can be split where one text has many rows
     said = lambda c: F.max(F.coalesce(labels[c] == 1, F.lit(False)))
     judged = labels.groupBy(labels["doc_id"].cast("bigint").alias("doc_id")).agg(said("quality").alias("good"), said("toxic").alias("toxic"))
     copy = F.when(F.col("place") > F.col("first"), BIT["E"]).otherwise(0)
