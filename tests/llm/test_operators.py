@@ -339,6 +339,19 @@ def test_language_rare(spark, monkeypatch):
     assert {r["doc_id"] for r in langid.kept_documents(d).collect()} == set(got)
 
 
+def test_language_repeats_and_many_labels(spark, monkeypatch):
+    """A label whose rows all repeat one text is a class; more labels than fit into a worker are an error."""
+    monkeypatch.setattr(langid, "SAMPLE", 20)
+    en, xx = "the people and the house of that nation with this", "qwx zzk vvj qqp xkz wqv jjx kzq pqx zvw"
+    rows = [(i, f"{en} {i}", "en", "s1") for i in range(400)] + [(7000, xx, "xx", "s2")] * 300
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {(r["doc_id"] == 7000, r["lang_id"], r["kept"]) for r in langid.op5(d).collect()}
+    assert got == {(True, "xx", True), (False, "en", True)}
+    many = spark.createDataFrame([(i, f"text {i}", f"odd{i % 300}", None) for i in range(1500)], "doc_id bigint, text string, lang string, source string")
+    with pytest.raises(ValueError, match="more than 256 labels"):
+        langid.op5(many)
+
+
 def test_language_odd(odd, empty):
     same = odd.withColumn("lang", langid.F.lit("en")).withColumn("row", langid.F.lit(1)).withColumn("whole", langid.F.lit("w"))
     kept = langid.kept_documents(same)

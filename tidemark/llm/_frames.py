@@ -112,6 +112,14 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+def packed(df: DataFrame, without: Iterable[str] = ()) -> tuple[Column, Callable[[], list[Column]]]:
+    """df's columns, but for those named (in any case), as a struct called ``row``, and what unpacks them: no name of a user clashes with ours."""
+    left_out = {x.lower() for x in without}
+    names = [c for c in df.columns if c.lower() not in left_out]
+    row = F.struct(*[df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(names)], F.lit(0).alias("none")).alias("row")
+    return row, lambda: [F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(names)]
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, in any case."""
     taken = {c.lower() for c in df.columns}

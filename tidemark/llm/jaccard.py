@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._frames import by_bucket, cut, drop_tables, key_or, utf8
+from tidemark.llm._frames import by_bucket, cut, drop_tables, key_or, packed, utf8
 from tidemark.llm._text import U64, Words, inside, mix, ngrams, signed, slices
 from tidemark.llm.components import components
 
@@ -488,9 +488,10 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     found = similarity_components(docs, n=n, percent=percent).where("n_shingles > 0")
     # of the rows with a component's least id one text stays
     stay = found.where("k = component").groupBy("component").agg(F.min("x").alias("stays"))
-    gone = found.join(stay, "component").where("k <> component or x <> stays").select(F.col("k").alias("__gk"), F.col("x").alias("__gx")).distinct()
-    keyed = docs.withColumn("__k", key_or(docs["doc_id"])).withColumn("__x", F.xxhash64(F.coalesce(utf8(docs["text"]), F.lit(b""))))
-    return keyed.join(gone, (F.col("__k") == F.col("__gk")) & (F.col("__x") == F.col("__gx")), "left_anti").drop("__k", "__x")
+    gone = found.join(stay, "component").where("k <> component or x <> stays").select("k", "x").distinct()
+    row, unpacked = packed(docs)
+    keyed = docs.select(key_or(docs["doc_id"]).alias("k"), F.xxhash64(F.coalesce(utf8(docs["text"]), F.lit(b""))).alias("x"), row)
+    return keyed.join(gone, ["k", "x"], "left_anti").select(*unpacked())
 
 
 #: Links by shared shingles, components by recursion; small tables only.

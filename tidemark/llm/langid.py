@@ -8,8 +8,9 @@ document's own share is taken out of its priors again.  One class more, ``und``,
 trigrams, so that text unlike all languages is found.
 
 Training: the text model of a label is fitted on all its rows if they are at most SAMPLE, else on about SAMPLE of them
-(chosen by a hash of id and text), their whole texts; everything else covers all rows.  So a label with
-LEAST rows with text is a class at every size of the table; one with fewer (a stray declaration) is not.
+(chosen by a hash of id and text), their whole texts; everything else covers all rows.  Rows that repeat both id and text are one here.
+So a label with LEAST rows with text is a class at every size of the table; one with fewer (a stray declaration) is not, and its texts
+get the class they are most like, or ``und``.  Models of classes go to the driver and to all workers, so more than CLASSES labels of LEAST rows are an error.
 
 A row is kept if it has words, its best class isn't ``und`` and that class has a posterior of at
 least MIN_CONFIDENCE.
@@ -36,6 +37,8 @@ from tidemark.llm._text import SLICE_BYTES, slices
 SAMPLE = 4000
 #: Labelled rows that a language needs to be a class.
 LEAST = 5
+#: The most classes: their models take 32 MB.
+CLASSES = 256
 BUCKETS = 1 << 15
 #: Weight of a trigram's log-likelihood; neighbours overlap, so they aren't independent evidence.
 TEXT_WEIGHT = 0.1
@@ -76,10 +79,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     """(classes, log-probabilities) from rows (id, label, t); ``und`` is the last class."""
     labelled = rows.where("label is not null and length(t) > 0")
-    often = labelled.groupBy("label").agg(F.count("*").alias("rows")).where(F.col("rows") >= LEAST)
+    labelled = labelled.withColumn("x", F.xxhash64("t"))
+    # rows that repeat an id and a text are one in the sample: else all of them would be drawn, or none
+    often = labelled.groupBy("label").agg(F.count("*").alias("rows"), F.count_distinct(F.struct(F.coalesce(F.col("id").cast("string"), F.lit("")), "x")).alias("texts")).where(F.col("rows") >= LEAST)
+    if often.limit(CLASSES + 1).count() > CLASSES:
+        raise ValueError(f"more than {CLASSES} labels have {LEAST} rows or more; a model of each wouldn't fit into a worker: give a label column with fewer values")
     chance = F.pmod(F.xxhash64("id", "t", F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    some = labelled.join(F.broadcast(often), "label").where(chance < F.lit(float(SAMPLE)) / F.col("rows"))
-    counts = some.select("label", "t").mapInArrow(_count, "label string, bucket int, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()  # labels x BUCKETS rows
+    some = labelled.join(F.broadcast(often), "label").where(chance < F.lit(float(SAMPLE)) / F.col("texts"))  # CLASSES rows
+    some = some.groupBy("label", "id", "x").agg(F.first("t").alias("t"))
+    counts = some.select("label", "t").mapInArrow(_count, "label string, bucket int, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()  # CLASSES x BUCKETS rows
     classes = sorted(counts["label"].unique().tolist())
     logs = np.full((len(classes) + 1, BUCKETS), -np.log(BUCKETS), np.float32)
     for i, c in enumerate(classes):
@@ -128,7 +136,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None
     declared, suffix, host = (none if c is None else c.cast("string") for c in (declared, suffix, host))
     label = declared if label is None else label
     new = ("lang_id", "confidence", "text_lang", "kept")
-    rest = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    rest = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     # their columns in a struct, so that no name clashes with ours
     d = docs.select(F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(rest)], F.lit(0).alias("none")).alias("row"), utf8(text).alias("t"), declared.alias("declared"), suffix.alias("suffix"), host.alias("host"), label.alias("label"), docs[f"`{id_col}`"].alias("id"))
     classes, logs = fit(d.select("id", "label", F.coalesce("t", F.lit(b"")).alias("t")))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._frames import cut, key_or, utf8, with_arrow
+from tidemark.llm._frames import cut, key_or, packed, utf8, with_arrow
 from tidemark.llm._text import Runs, Words, inside, mix, ngrams, signed, slices
 
 LENGTH, SEED = 20, 8
@@ -195,20 +195,21 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     return found.where(F.col("kind") == REPEAT).unionByName(ends.where(F.col("kind") == REPEAT)).select("k", "x", "st", "en")
 
 
+NEW = ("n_words", "n_removed", "kept_sha256", "kept_text")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """docs with n_words, n_removed, kept_sha256 (of the kept words joined by spaces) and kept_text.
 
     kept_text is the text without the removed words; white space elsewhere stays.
     """
     text = F.coalesce(utf8(docs[f"`{text_col}`"]), F.lit(b""))
-    new = ["n_words", "n_removed", "kept_sha256", "kept_text"]
-    rest = [docs[f"`{c}`"] for c in docs.columns if c not in (*new, text_col)]
-    keyed = docs.select(key_or(docs[f"`{id_col}`"]).alias("__k"), F.xxhash64(text).alias("__x"), text.alias("__t"), *rest)
-    plain = keyed.select(F.col("__k").alias("k"), F.col("__x").alias("x"), F.col("__t").alias("t"))
-    gone = repeated_spans(plain, length, seed).groupBy(F.col("k").alias("__gk"), F.col("x").alias("__gx")).agg(F.collect_set(F.struct("st", "en")).alias("__gone"))
-    j = keyed.join(gone, (F.col("__k") == F.col("__gk")) & (F.col("__x") == F.col("__gx")), "left").drop("__gk", "__gx")
-    made = with_arrow(j, [F.col("__t"), F.col("__gone")], _remove, "n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
-    return made.drop("__k", "__x", "__t", "__gone")
+    row, unpacked = packed(docs, [*NEW, text_col])
+    keyed = docs.select(key_or(docs[f"`{id_col}`"]).alias("k"), F.xxhash64(text).alias("x"), text.alias("t"), row)
+    gone = repeated_spans(keyed.select("k", "x", "t"), length, seed).groupBy("k", "x").agg(F.collect_set(F.struct("st", "en")).alias("gone"))
+    j = keyed.join(gone, ["k", "x"], "left")
+    made = with_arrow(j, [F.col("t"), F.col("gone")], _remove, "n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    return made.select(*unpacked(), *NEW)
 
 
 def op2(documents: DataFrame) -> DataFrame:
@@ -217,9 +218,11 @@ def op2(documents: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeats cut out of their texts, those of which only repeats were left out; columns stay as they are."""
-    r = remove_repeats(docs).where("n_removed = 0 or n_removed < n_words")
-    text = {"text": F.col("kept_text")} | ({"n_chars": F.length("kept_text").cast("bigint")} if "n_chars" in docs.columns else {})
-    return r.select(*[text.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    row, unpacked = packed(docs)
+    few = docs.select(docs["doc_id"], docs["text"], row.alias("whole"))
+    r = remove_repeats(few).where("n_removed = 0 or n_removed < n_words").withColumnRenamed("whole", "row")
+    text = {"text": F.col("kept_text").alias("text")} | ({"n_chars": F.length("kept_text").cast("bigint").alias("n_chars")} if "n_chars" in docs.columns else {})
+    return r.select(*[text.get(c, column) for c, column in zip(docs.columns, unpacked(), strict=True)])
 
 
 #: For SQL engines that can hold every window of the corpus; small tables only.

@@ -21,11 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm._frames import packed
+
 URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?(/[^?#]*)?"
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.nullif(F.regexp_extract(url, URL, 1), F.lit("")))
+    """The host in lower case, without the dots that may end a full name."""
+    return F.lower(F.nullif(F.regexp_replace(F.regexp_extract(url, URL, 1), r"\.+$", ""), F.lit("")))
 
 
 def segment_of(url: Column) -> Column:
@@ -54,18 +57,17 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (url, fetched, ...) with host, blocked, list and pattern of the deciding entry."""
-    new = ("host", "blocked", "list", "pattern")
-    c = captures.select(*[captures[f"`{x}`"] for x in captures.columns if x not in new])
-    c = c.withColumn("host", host_of(F.col("url"))).withColumn("__segment", segment_of(F.col("url")))
-    asked = c.where("host is not null and fetched is not null").select("host", "__segment", "fetched").distinct()
-    asked = asked.withColumn("pattern", F.explode(patterns_of(F.col("host"), F.col("__segment"))))
+    row, unpacked = packed(captures, ("host", "blocked", "list", "pattern"))
+    c = captures.select(row, host_of(captures["url"]).alias("host"), segment_of(captures["url"]).alias("segment"), captures["fetched"].alias("fetched"))
+    asked = c.where("host is not null and fetched is not null").select("host", "segment", "fetched").distinct()
+    asked = asked.withColumn("pattern", F.explode(patterns_of(F.col("host"), F.col("segment"))))
     hits = asked.join(intervals(entries), "pattern").where("fetched >= since and (until is null or fetched < until)")
     # least of (-length, allow before block, list): the deciding hit
-    best = F.min(F.struct((-F.length("pattern")).alias("l"), "verdict", "list", "pattern")).alias("__hit")
-    found = hits.groupBy("host", "__segment", "fetched").agg(best)
-    j = c.join(found, ["host", "__segment", "fetched"], "left")
-    blocked = F.coalesce(F.col("__hit.verdict") == "block", F.lit(False))
-    return j.select(*[f"`{x}`" for x in captures.columns if x not in new], "host", blocked.alias("blocked"), F.col("__hit.list").alias("list"), F.col("__hit.pattern").alias("pattern"))
+    best = F.min(F.struct((-F.length("pattern")).alias("l"), "verdict", "list", "pattern")).alias("hit")
+    found = hits.groupBy("host", "segment", "fetched").agg(best)
+    j = c.join(found, ["host", "segment", "fetched"], "left")
+    blocked = F.coalesce(F.col("hit.verdict") == "block", F.lit(False))
+    return j.select(*unpacked(), "host", blocked.alias("blocked"), F.col("hit.list").alias("list"), F.col("hit.pattern").alias("pattern"))
 
 
 def _digit(host: Column, at: int) -> Column:
@@ -103,7 +105,7 @@ def op6(pages: DataFrame) -> DataFrame:
 SQL = r"""
 WITH c AS (
   SELECT page_id, TIMESTAMP '2024-01-01' + to_hours(CAST((page_id * 7919) % 8784 AS INTEGER)) AS fetched,
-    nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+    nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.'), '') AS host,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:]+(?::[0-9]*)?/([^/?#]*)', 1) AS seg
   FROM pages),
 h AS (SELECT DISTINCT host, md5(host) AS m FROM c WHERE host IS NOT NULL),
