@@ -335,6 +335,10 @@ register(
     f"{_RULES} SELECT count(*) AS days, count(*) FILTER (reasons <> '') AS anomalous_days, count(*) FILTER (contains(reasons, 'volume')) AS volume_z, count(*) FILTER (contains(reasons, 'negativity')) AS negativity_z, count(*) FILTER (contains(reasons, 'iqr')) AS iqr, CAST(0 AS BIGINT) AS isolation_forest FROM r",
 )
 register("q17_iqr", on_tables(lambda t: N.fences(N.daily_features(t))), f"{_DAYS} SELECT q1, q3, q1 - 1.5::DOUBLE * (q3 - q1) AS low, q3 + 1.5::DOUBLE * (q3 - q1) AS high FROM (SELECT quantile_cont(posts, 0.25) AS q1, quantile_cont(posts, 0.75) AS q3 FROM d0)")
+register(
+    "o7_anomaly_ranking", on_tables(lambda t: N.detect(t, z=1.5, contamination=None, limit=20).select("day", "posts", F.round("vol_z", 6).alias("vol_z"), F.array_join("reasons", ",").alias("reasons"))),
+    f"{_RULES}, k AS (SELECT r.day, r.posts, vol_z, reasons, len(string_split(reasons, ',')) AS n FROM r JOIN f USING (day) WHERE reasons <> '') SELECT day, posts, vol_z, reasons FROM k ORDER BY n DESC, abs(coalesce(vol_z, 0)) DESC, day LIMIT 20",
+)
 register("q17_isolation_forest", on_tables(lambda t: N.forest(N.daily_features(t))))
 register("q17_anomalies", on_tables(lambda t: N.detect(t, z=1.5).withColumn("reasons", F.array_join("reasons", ","))))
 
@@ -380,6 +384,44 @@ SELECT * FROM (SELECT id, term, weight, CAST(row_number() OVER (PARTITION BY id
 )
 
 
+def keywords_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords by the statistics of each language, without what more than three in ten of its texts have."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    seen = M.term_statistics(docs)
+    return M.keywords(docs, stop_words=M.common_terms(seen), statistics=seen)
+
+
+register(
+    "m8_keywords_by_language", keywords_by_language,
+    r"""WITH d AS (SELECT doc_id AS id, coalesce(lang, 'unknown') AS language, text FROM documents), n AS (SELECT language, count(*) AS docs FROM d GROUP BY 1),
+w AS (SELECT id, language, unnest(regexp_extract_all(lower(text), '\p{L}[\p{L}\p{M}]{2,}')) AS term FROM d), tf AS (SELECT id, language, term, count(*) AS tf FROM w GROUP BY ALL), df AS (SELECT language, term, count(*) AS df FROM tf GROUP BY ALL),
+x AS (SELECT id, term, round((1 + ln(tf)) * (ln((1.0::DOUBLE + docs) / (1.0::DOUBLE + df)) + 1), 6) AS weight FROM tf JOIN df USING (language, term) JOIN n USING (language) WHERE NOT (docs >= 20 AND df > 0.3::DOUBLE * docs))
+SELECT * FROM (SELECT id, term, weight, CAST(row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) AS INTEGER) AS place FROM x) WHERE place <= 5""",
+)
+
+#: A lexicon and rule words that the tables' texts have.
+_VALENCE = {"that": 1.5, "was": -2.0, "los": 0.75, "una": -1.25, "be": 2.5, "his": -0.5}
+_NO, _MORE = ("of", "con"), {"the": 0.293, "la": -0.293}
+
+
+def lexicon_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{w}', {v}D)" for w, v in _VALENCE.items()) + " AS t(word, valence)")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return M.lexicon_sums(docs, lexicon, "doc_id", "text", _NO, _MORE, "and").select("id", "hits", F.round("s", 6).alias("s"))
+
+
+_BOOST = " + ".join(f"sign(v) * {w}::DOUBLE * coalesce(CASE CASE WHEN p > {d} THEN l[p - {d}] END " + " ".join(f"WHEN '{b}' THEN {x}::DOUBLE" for b, x in _MORE.items()) + " END, 0)" for d, w in enumerate(M.BY_DISTANCE, 1))
+register(
+    "m1_lexicon_rules", lexicon_rules,
+    rf"""WITH d AS (SELECT doc_id AS id, regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{N}}_'']+') AS w FROM documents), e AS (SELECT id, w, list_transform(w, lambda x: lower(x)) AS l FROM d),
+f AS (SELECT *, coalesce(list_position(l, 'and'), 0) AS b, len(list_filter(w, lambda x: NOT (length(x) > 1 AND upper(x) = x AND lower(x) <> x))) > 0 AS emphasis FROM e),
+t AS (SELECT id, w, l, b, emphasis, unnest(generate_series(1, len(w))) AS p FROM f), s AS (SELECT *, CAST(CASE l[p] {" ".join(f"WHEN '{w}' THEN {v}" for w, v in _VALENCE.items())} END AS DOUBLE) AS v FROM t),
+c AS (SELECT *, v + CASE WHEN emphasis AND length(w[p]) > 1 AND upper(w[p]) = w[p] THEN sign(v) * 0.733::DOUBLE ELSE 0 END + {_BOOST} AS u,
+  len(list_filter(l[greatest(p - 3, 1) : p - 1], lambda x: x IN ('of', 'con') OR ends_with(x, 'n''t'))) > 0 AS turned FROM s WHERE v IS NOT NULL)
+SELECT id, count(*) AS hits, round(sum(u * CASE WHEN turned THEN -0.74::DOUBLE ELSE 1 END * CASE WHEN b = 0 OR p = b THEN 1 WHEN p < b THEN 0.5::DOUBLE ELSE 1.5::DOUBLE END), 6) AS s FROM c GROUP BY id""",
+)
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return docs.join(labels, "doc_id").select("doc_id", "text", F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral").alias("label"))

@@ -35,10 +35,15 @@ RAW_PROFILE = {
 PROFILES = {"generic": ALIASES, "raw": RAW_PROFILE}
 
 
-def _fields(rec: Column, profile: str) -> dict[str, Column]:
+def _fields(raw: DataFrame, profile: str) -> dict[str, Column]:
+    """Each field as text: from the parsed record ``v`` (once parsed, looked up by path), or from the raw profile's own columns."""
+
+    def at(path: str) -> Column:
+        return F.try_variant_get(F.col("v"), f"$.{path}", "string") if "v" in raw.columns else F.col(path)
+
     def first(paths: tuple[str, ...]) -> Column:
         # an object isn't a value: 'user' is a name only where it is a text
-        found = [F.get_json_object(rec, f"$.{p}") for p in paths]
+        found = [at(p) for p in paths]
         return F.coalesce(*[F.when((v != "") & ~v.startswith("{"), v) for v in found], F.lit(None).cast("string"))
 
     names = {*ALIASES, *RAW_PROFILE}
@@ -54,8 +59,8 @@ def reason(post_id: Column, text: Column, created_at: Column, parse_error: Colum
 
 
 def normalise(raw: DataFrame, profile: str = "generic", source: str = "upload", job_id: str | None = None, now: str | None = None) -> DataFrame:
-    """Rows of schema.POSTS_DDL with ``reason`` (null if valid), ``file_ord`` and ``row_ord``."""
-    f = _fields(F.col("rec"), profile)
+    """Rows of schema.POSTS_DDL with ``reason`` (null if valid), ``file_ord`` and ``row_ord``, from records as readers.read() gives them or the raw profile's columns."""
+    f = _fields(raw, profile)
     at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
     d = raw.select("file_ord", "row_ord", "parse_error", *[c.alias(f"__{n}") for n, c in f.items()])
     c = lambda n: F.col(f"__{n}")

@@ -23,11 +23,23 @@ ENRICHED = {
 }
 
 
+def count_terms(posts: DataFrame, root: str, job_id: str) -> None:
+    """Stores in how many of a job's posts each term stands; a job that is run again replaces its own counts."""
+    own = posts.where(F.col("ingestion_job_id") == job_id)
+    nlp.term_statistics(own, "language", "clean_text").write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{root}/terms/job={job_id}")
+
+
+def terms(spark: SparkSession, root: str) -> DataFrame | None:
+    """The statistics of all jobs, None before the first."""
+    return nlp.united(spark.read.parquet(f"{root}/terms")) if sinks.exists(spark, f"{root}/terms") else None
+
+
 def write_back(posts: DataFrame, root: str, sentiment: PipelineModel | None = None, topics: dict[str, PipelineModel] | None = None, reprocess: bool = False) -> None:
-    """Enriches the unprocessed posts (all with ``reprocess``) and adds the results beside the posts."""
-    told = nlp.enrich(flat(posts), sentiment, topics or {}, reprocess)
+    """Enriches the unprocessed posts (all with ``reprocess``) and adds the results beside the posts; keywords by the stored statistics of terms."""
+    spark = posts.sparkSession
+    told = nlp.enrich(flat(posts), sentiment, topics or {}, reprocess, terms(spark, root), nlp.stop_words(spark))
     if "topic_id" in told.columns:
-        told = told.withColumn("topic", F.struct(F.col("topic_id").alias("id"), F.lit(None).cast("string").alias("label"), F.col("topic_weight").alias("weight"), F.lit("lda").alias("method")))
+        told = told.withColumn("topic", F.when(F.col("topic_id").isNotNull(), F.struct(F.col("topic_id").alias("id"), F.lit(None).cast("string").alias("label"), F.col("topic_weight").alias("weight"), F.lit("lda").alias("method"))))
     columns = [(F.col(c) if c in told.columns else F.lit(None)).cast(kind).alias(c) for c, kind in ENRICHED.items()]
     told.select("post_id", *columns).write.mode("append").parquet(f"{root}/enriched")
 
@@ -56,6 +68,7 @@ def take(read: DataFrame, path: str) -> dict[str, int]:
 def run(spark: SparkSession, paths: list[str], root: str, job_id: str, profile: str = "generic", sentiment: PipelineModel | None = None, topics: dict[str, PipelineModel] | None = None) -> dict[str, int]:
     """One job; the counts of what was read, rejected, inserted and found to be there already."""
     counts = take(ingest.normalise(readers.read(spark, paths), profile, job_id=job_id), f"{root}/posts")
+    count_terms(spark.read.parquet(f"{root}/posts"), root, job_id)
     write_back(posts(spark, root), root, sentiment, topics)
     days = rollups.touched_days(spark.read.parquet(f"{root}/posts").where(F.col("ingestion_job_id") == job_id))
     whole = flat(posts(spark, root))

@@ -4,25 +4,44 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+from pyspark import keyword_only
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.schema import SENTIMENTS
 
 
-def _features(terms: int, min_df: float, max_df: float, bigrams: bool = True) -> list:
+def _features(terms: int, min_df: float, max_df: float, bigrams: bool = True, sublinear: bool = True) -> list:
     words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"(?U)\b\w\w+\b", gaps=False)
     stages: list = [words]
     if bigrams:
         stages += [NGram(n=2, inputCol="words", outputCol="pairs"), SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__")]
     else:
         stages += [SQLTransformer(statement="SELECT *, words AS terms FROM __THIS__")]
-    return [*stages, CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=terms, minDF=min_df, maxDF=max_df), IDF(inputCol="counts", outputCol="features")]
+    counts = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=terms, minDF=min_df, maxDF=max_df)
+    return [*stages, counts, *([SublinearCounts(inputCol="counts", outputCol="damped")] if sublinear else []), IDF(inputCol="damped" if sublinear else "counts", outputCol="features")]
+
+
+class SublinearCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Counts n of a sparse vector as 1 + ln n, batch by batch; a stage that is saved and loaded with its pipeline."""
+
+    @keyword_only
+    def __init__(self, *, inputCol: str | None = None, outputCol: str | None = None):  # noqa: N803  MLlib's names
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        damp = F.udf(lambda v: Vectors.sparse(v.size, v.indices, 1.0 + np.log(v.values)), VectorUDT())
+        return dataset.withColumn(self.getOutputCol(), damp(F.col(self.getInputCol())))
 
 
 def balanced(rows: DataFrame, label: str = "label") -> DataFrame:
@@ -32,17 +51,18 @@ def balanced(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.join(F.broadcast(n.crossJoin(whole)), label).withColumn("weight", F.col("__all") / (F.col("__k") * F.col("__n"))).drop("__n", "__all", "__k")
 
 
-def train_classifier(rows: DataFrame, c: float = 1.0, kind: str = "logistic", terms: int = 300_000) -> PipelineModel:
+def train_classifier(rows: DataFrame, c: float = 1.0, kind: str = "logistic", terms: int = 300_000, sublinear: bool = True) -> PipelineModel:
     """From (text, label): word and pair TF-IDF with a balanced logistic regression or naive Bayes.
 
-    ``c`` weighs the rows' losses against the penalty, so the penalty of the mean loss is 1 / (c rows).
+    ``c`` weighs the rows' losses against the penalty, so the penalty of the mean loss is 1 / (c rows); it is that of the weights
+    themselves, so features aren't standardised.  Counts n in a text are 1 + ln n (``sublinear``).
     """
     index = StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc", handleInvalid="error")
     if kind == "logistic":
-        last = LogisticRegression(labelCol="target", weightCol="weight", regParam=1.0 / (c * max(1, rows.count())), maxIter=50)
+        last = LogisticRegression(labelCol="target", weightCol="weight", regParam=1.0 / (c * max(1, rows.count())), maxIter=50, standardization=False)
     else:
         last = NaiveBayes(labelCol="target", smoothing=0.5)
-    return Pipeline(stages=[*_features(terms, 2.0, 0.9), index, last]).fit(balanced(rows))
+    return Pipeline(stages=[*_features(terms, 2.0, 0.9, sublinear=sublinear), index, last]).fit(balanced(rows))
 
 
 def classes(model: PipelineModel) -> list[str]:
@@ -94,11 +114,47 @@ def sentiment_column(predicted: DataFrame, method: str = "tfidf_logreg") -> Colu
     return F.struct(F.col("predicted").alias("label"), F.round(F.col("p_positive") - F.col("p_negative"), 4).alias("score"), F.round("confidence", 4).alias("confidence"), F.lit(method).alias("method"))
 
 
-def lexicon_sentiment(posts: DataFrame, lexicon: DataFrame, id_col: str = "post_id", text_col: str = "clean_text") -> DataFrame:
-    """(id, label, score) from a table of (word, valence): the sum s of valences as s / sqrt(s^2 + 15)."""
-    words = posts.select(F.col(id_col).alias("id"), F.explode(F.split(F.lower(text_col), r"(?U)[^\w']+")).alias("word"))
-    sums = words.join(lexicon, "word").groupBy("id").agg(F.sum("valence").alias("s"))
-    s = posts.select(F.col(id_col).alias("id")).distinct().join(sums, "id", "left")
+#: Words that turn what follows within three words, and words that strengthen or weaken it (fixed values, English).
+NEGATIONS = ("not", "no", "never", "nor", "neither", "nothing", "none", "nobody", "nowhere", "without", "cannot", "cant", "dont", "isnt", "wasnt", "wont", "hardly", "rarely", "seldom", "despite")
+BOOSTERS = {
+    **dict.fromkeys(("very", "really", "extremely", "absolutely", "completely", "totally", "incredibly", "especially", "highly", "hugely", "so", "most", "remarkably", "deeply", "utterly"), 0.293),
+    **dict.fromkeys(("slightly", "somewhat", "barely", "partly", "marginally", "occasionally", "almost", "scarcely", "less", "little"), -0.293),
+}
+#: Rule constants (fixed values): words in capitals, a booster's weight by distance, negation, and what stands before and after a "but".
+CAPITALS, BY_DISTANCE, NEGATED, BEFORE_BUT, AFTER_BUT = 0.733, (1.0, 0.95, 0.9), -0.74, 0.5, 1.5
+
+
+def lexicon_sums(posts: DataFrame, lexicon: DataFrame, id_col: str = "post_id", text_col: str = "clean_text", negations: tuple[str, ...] = NEGATIONS, boosters: dict[str, float] = BOOSTERS, but: str = "but") -> DataFrame:
+    """(id, hits, s): the sum of the valences of a text's words, by rules in this order.
+
+    A word in capitals counts more, unless the whole text is in capitals; boosters among the three words before it strengthen or
+    weaken it, less with distance; one negation there (or a word in n't) turns it; what stands before the first ``but`` counts half, what
+    stands after it one and a half times.  ``lexicon`` is a table of (word, valence), a word once.
+    """
+    tokens = F.regexp_extract_all(F.col(text_col), F.lit(r"(?U)[\w']+"), 0)
+    t = posts.select(F.col(id_col).alias("id"), tokens.alias("w")).withColumn("low", F.transform("w", F.lower))
+    is_capital = lambda x: (F.length(x) > 1) & (F.upper(x) == x) & (F.lower(x) != x)
+    t = t.withColumn("emphasis", F.exists("w", lambda x: (F.lower(x) == x) | ~is_capital(x))).withColumn("but_at", F.array_position("low", but))
+    # what a word's rules need goes with it, so that only words of the lexicon are kept and nothing is looked up again
+    at = F.transform("w", lambda x, i: F.struct(
+        F.lower(x).alias("word"), (is_capital(x) & F.col("emphasis")).alias("capital"), F.reverse(F.slice("low", F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))).alias("before"),
+        F.when(F.col("but_at") == 0, 1.0).when(i + 1 < F.col("but_at"), BEFORE_BUT).when(i + 1 > F.col("but_at"), AFTER_BUT).otherwise(1.0).alias("clause"),
+    ))
+    each = t.select("id", F.explode(at).alias("x")).select("id", "x.*").join(lexicon, "word")
+    v, sign = F.col("valence").cast("double"), F.signum(F.col("valence").cast("double"))
+    v = v + F.when(F.col("capital"), sign * CAPITALS).otherwise(0.0)
+    known = F.create_map(*[F.lit(y) for kv in boosters.items() for y in kv]) if boosters else None
+    for d, weight in enumerate(BY_DISTANCE):
+        if known is not None:
+            v = v + sign * F.coalesce(F.try_element_at(known, F.get("before", F.lit(d))), F.lit(0.0)) * weight
+    turned = F.exists("before", lambda x: x.isin(*negations) | x.endswith("n't"))
+    v = F.when(turned, v * NEGATED).otherwise(v) * F.col("clause")
+    return each.select("id", v.alias("v")).groupBy("id").agg(F.count("*").alias("hits"), F.sum("v").alias("s"))
+
+
+def lexicon_sentiment(posts: DataFrame, lexicon: DataFrame, id_col: str = "post_id", text_col: str = "clean_text", **rules) -> DataFrame:
+    """(id, label, score) by lexicon_sums(): the sum s as s / sqrt(s^2 + 15)."""
+    s = posts.select(F.col(id_col).alias("id")).distinct().join(lexicon_sums(posts, lexicon, id_col, text_col, **rules), "id", "left")
     score = F.round(F.coalesce(F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15), F.lit(0.0)), 4)
     return s.select("id", F.when(score >= 0.05, SENTIMENTS[0]).when(score <= -0.05, SENTIMENTS[2]).otherwise(SENTIMENTS[1]).alias("label"), score.alias("score"))
 
@@ -107,18 +163,57 @@ def lexicon_sentiment(posts: DataFrame, lexicon: DataFrame, id_col: str = "post_
 TERM = r"\p{L}[\p{L}\p{M}]{2,}"
 
 
-def keywords(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = 5, stop_words: tuple[str, ...] = ()) -> DataFrame:
+def terms_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), 0)
+
+
+def term_statistics(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """(language, term, df): in how many texts a term stands; the row of the null term has the number of texts.
+
+    Statistics of parts add up (``united``), so a job stores those of its own posts only.
+    """
+    d = docs.select(F.coalesce(F.col(lang_col), F.lit("unknown")).alias("language"), F.array_distinct(terms_of(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
+    each = d.select("language", F.explode(F.concat(F.array(F.lit(None).cast("string")), "w")).alias("term"))
+    return each.groupBy("language", "term").agg(F.count("*").alias("df"))
+
+
+def united(statistics: DataFrame) -> DataFrame:
+    return statistics.groupBy("language", "term").agg(F.sum("df").alias("df"))
+
+
+def common_terms(statistics: DataFrame, share: float = 0.3, least: int = 20) -> DataFrame:
+    """(language, term) of the terms in more than a share of a language's texts, where it has ``least`` of them: its stop words by count."""
+    docs = statistics.where("term is null").select("language", F.col("df").alias("docs"))
+    return statistics.where("term is not null").join(docs, "language").where((F.col("docs") >= least) & (F.col("df") > share * F.col("docs"))).select("language", "term")
+
+
+def stop_words(spark: SparkSession, languages: dict[str, str] | None = None) -> DataFrame:
+    """(language, term) of the stop words that MLlib brings, by language code."""
+    known = languages or {"en": "english", "ru": "russian", "de": "german", "fr": "french", "es": "spanish"}
+    rows = [(code, w) for code, name in known.items() for w in sorted({*StopWordsRemover.loadDefaultStopWords(name), "rt", "amp", "via"})]
+    return spark.createDataFrame(rows, "language string, term string")
+
+
+def keywords(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = 5, stop_words: tuple[str, ...] | DataFrame = (), statistics: DataFrame | None = None, lang_col: str = "lang") -> DataFrame:
     """(id, term, weight, place): the terms with the largest (1 + ln tf)(ln((1 + n) / (1 + df)) + 1) of each text.
 
+    df and n are those of ``docs``, or by language those of stored ``statistics``: then a text has the same keywords in whatever batch it comes;
+    a term that they don't have counts as in no text.  ``stop_words`` are left out (a table of (language, term), or some terms).
     Ranks are cut to ``top`` before the last shuffle too, as Spark pushes limits of ranks down.
     """
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    words = d.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0)).alias("term"))
-    tf = (words.where(~F.col("term").isin(*stop_words)) if stop_words else words).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("docs"))
-    w = tf.join(df, "term").crossJoin(F.broadcast(n))  # one row
-    weight = F.round((1 + F.log("tf")) * (F.log((1.0 + F.col("docs")) / (1.0 + F.col("df"))) + 1), 6)
+    language = F.coalesce(F.col(lang_col), F.lit("unknown")) if statistics is not None or isinstance(stop_words, DataFrame) else F.lit("")
+    d = docs.select(F.col(id_col).alias("id"), language.alias("language"), F.col(text_col).alias("text"))
+    words = d.select("id", "language", F.explode(terms_of(F.col("text"))).alias("term"))
+    tf = (words.where(~F.col("term").isin(*stop_words)) if isinstance(stop_words, tuple) and stop_words else words).groupBy("id", "language", "term").agg(F.count("*").alias("tf"))
+    if isinstance(stop_words, DataFrame):
+        tf = tf.join(stop_words.select("language", "term").distinct(), ["language", "term"], "left_anti")
+    if statistics is None:
+        df = tf.groupBy("language", "term").agg(F.count("*").alias("df"))
+        n = docs.agg(F.count("*").alias("docs")).withColumn("language", F.lit(""))
+    else:
+        df, n = statistics.where("term is not null"), statistics.where("term is null").select("language", F.col("df").alias("docs"))
+    w = tf.join(df, ["language", "term"], "left").join(F.broadcast(n), "language", "left")  # a row per language
+    weight = F.round((1 + F.log("tf")) * (F.log((1.0 + F.coalesce("docs", F.lit(0))) / (1.0 + F.coalesce("df", F.lit(0)))) + 1), 6)
     w = w.select("id", "term", weight.alias("weight"))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight"), "term"))
     return w.withColumn("place", place).where(F.col("place") <= top)
@@ -153,10 +248,11 @@ def assign_topics(model: PipelineModel, docs: DataFrame, language: str, least: f
     return x.withColumn("topic_id", name).withColumn("topic_weight", F.round(best, 4)).select(*docs.columns, "topic_id", "topic_weight")
 
 
-def enrich(posts: DataFrame, sentiment: PipelineModel | None, topics: dict[str, PipelineModel], reprocess: bool = False) -> DataFrame:
+def enrich(posts: DataFrame, sentiment: PipelineModel | None, topics: dict[str, PipelineModel], reprocess: bool = False, statistics: DataFrame | None = None, stop: DataFrame | None = None) -> DataFrame:
     """(post_id, sentiment, topic_id, keywords, processed_at) of unprocessed posts, to be joined by id.
 
-    Sentiment is told for English, topics for the languages that have a model; keywords for both.
+    Sentiment is told for English, topics for the languages that have a model; keywords for both, by the stored ``statistics``
+    (else those of the posts at hand) and without the words in ``stop``.
     """
     todo = (posts if reprocess else posts.where(~F.col("processed"))).select("post_id", "language", F.col("clean_text").alias("text"))
     base = todo.select("post_id")
@@ -169,7 +265,7 @@ def enrich(posts: DataFrame, sentiment: PipelineModel | None, topics: dict[str,
         found = part if found is None else found.unionByName(part)
     if found is not None:
         base = base.join(found, "post_id", "left")
-    kw = keywords(todo.where(F.col("language").isin("en", *topics)), "post_id", "text")
+    kw = keywords(todo.where(F.col("language").isin("en", *topics)), "post_id", "text", stop_words=() if stop is None else stop, statistics=statistics, lang_col="language")
     terms = F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"])
     base = base.join(kw.groupBy(F.col("id").alias("post_id")).agg(terms.alias("keywords")), "post_id", "left")
     return base.withColumn("processed_at", F.current_timestamp())

@@ -1,6 +1,6 @@
 """Readers of uploads: CSV, JSON lines and JSON, plain or gzipped, as one shape of raw records.
 
-A raw record is (rec, file_ord, row_ord, parse_error): the record as a JSON object, the file's place in the
+A raw record is (rec, v, file_ord, row_ord, parse_error): the record as a JSON object in text and parsed, the file's place in the
 list, and an id that is ascending within a file, so that "the first one wins" has a meaning.
 """
 
@@ -52,19 +52,22 @@ def expand_paths(spark: SparkSession, paths: list[str]) -> list[str]:
     return out
 
 
-def _object(c: Column) -> Column:
-    """Whether a text is a JSON object."""
-    return F.coalesce(F.try_parse_json(c).isNotNull() & F.trim(c).startswith("{"), F.lit(False))
+def _parsed(lines: DataFrame) -> DataFrame:
+    """Texts (rec) with their records, parsed once: null, and an error, where a text isn't a JSON object."""
+    v = lines.select("rec", F.try_parse_json("rec").alias("v"))
+    bad = F.col("v").isNull() | ~F.coalesce(F.trim("rec").startswith("{"), F.lit(False))
+    return v.select("rec", "v", bad.alias("parse_error"))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
-    return rows.select(F.to_json(F.struct(*[rows[f"`{c}`"] for c in rows.columns])).alias("rec"), F.lit(False).alias("parse_error"))
+    record = F.struct(*[rows[f"`{c}`"] for c in rows.columns])
+    return rows.select(F.to_json(record).alias("rec"), F.to_variant_object(record).alias("v"), F.lit(False).alias("parse_error"))
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).where(r"value rlike '\\S'")
-    return lines.select(F.col("value").alias("rec"), (~_object(F.col("value"))).alias("parse_error"))
+    return _parsed(lines.select(F.col("value").alias("rec")))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -74,7 +77,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     inner = F.coalesce(*[F.when(x.startswith("["), x) for x in lists])
     found = F.coalesce(F.from_json(F.when(v.startswith("["), v).otherwise(inner), "array<string>"), F.array(v))
     rows = spark.read.text(path, wholetext=True).select(F.explode(found).alias("rec"))
-    return rows.select("rec", (~_object(F.col("rec"))).alias("parse_error"))
+    return _parsed(rows)
 
 
 def read(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -92,7 +95,7 @@ def read(spark: SparkSession, paths: list[str]) -> DataFrame:
 def preview(raw: DataFrame, n: int = 10) -> DataFrame:
     if not 1 <= n <= 50:
         raise ValueError("a preview has 1 to 50 records")
-    return raw.orderBy("file_ord", "row_ord").limit(n)
+    return raw.drop("v").orderBy("file_ord", "row_ord").limit(n)
 
 
 def read_raw_csv(spark: SparkSession, folder: str) -> DataFrame:
