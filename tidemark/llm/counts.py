@@ -43,7 +43,7 @@ CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 SPACE = r"\p{White_Space}"
 PIECE = "|".join(CONTRACTIONS) + rf"|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 #: Words and pairs of tokens that are remembered; what is forgotten is computed again.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
 MADE = "n_chars bigint, n_tokens bigint, width int, deltas binary"
 
 
