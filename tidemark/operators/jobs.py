@@ -10,7 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import ingest, nlp, rollups
+from tidemark.operators import factors, ingest, nlp, rollups
 from tidemark.schema import flat, schema_violations
 from tidemark.sources import readers, sinks
 
@@ -34,12 +34,13 @@ def terms(spark: SparkSession, root: str) -> DataFrame | None:
     return nlp.united(spark.read.parquet(f"{root}/terms")) if sinks.exists(spark, f"{root}/terms") else None
 
 
-def write_back(posts: DataFrame, root: str, sentiment: PipelineModel | None = None, topics: dict[str, PipelineModel] | None = None, reprocess: bool = False) -> None:
+def write_back(posts: DataFrame, root: str, sentiment: PipelineModel | None = None, topics: dict[str, PipelineModel | factors.Topics] | None = None, reprocess: bool = False) -> None:
     """Enriches the unprocessed posts (all with ``reprocess``) and adds the results beside the posts; keywords by the stored statistics of terms."""
     spark = posts.sparkSession
     told = nlp.enrich(flat(posts), sentiment, topics or {}, reprocess, terms(spark, root), nlp.stop_words(spark))
     if "topic_id" in told.columns:
-        told = told.withColumn("topic", F.when(F.col("topic_id").isNotNull(), F.struct(F.col("topic_id").alias("id"), F.lit(None).cast("string").alias("label"), F.col("topic_weight").alias("weight"), F.lit("lda").alias("method"))))
+        method = F.create_map(*[F.lit(x) for language, m in (topics or {}).items() for x in (language, "tfidf_nmf" if isinstance(m, factors.Topics) else "lda")])
+        told = told.withColumn("topic", F.when(F.col("topic_id").isNotNull(), F.struct(F.col("topic_id").alias("id"), F.lit(None).cast("string").alias("label"), F.col("topic_weight").alias("weight"), method[F.substring_index("topic_id", "-", 1)].alias("method"))))
     columns = [(F.col(c) if c in told.columns else F.lit(None)).cast(kind).alias(c) for c, kind in ENRICHED.items()]
     told.select("post_id", *columns).write.mode("append").parquet(f"{root}/enriched")
 
@@ -65,7 +66,7 @@ def take(read: DataFrame, path: str) -> dict[str, int]:
     return sinks.append_unknown(rows, path, "post_id", ok & ~broken, {**ingest.counted(), "schema_validation": broken.cast("bigint")}, of_input, by="fold_key")
 
 
-def run(spark: SparkSession, paths: list[str], root: str, job_id: str, profile: str = "generic", sentiment: PipelineModel | None = None, topics: dict[str, PipelineModel] | None = None) -> dict[str, int]:
+def run(spark: SparkSession, paths: list[str], root: str, job_id: str, profile: str = "generic", sentiment: PipelineModel | None = None, topics: dict[str, PipelineModel | factors.Topics] | None = None) -> dict[str, int]:
     """One job; the counts of what was read, rejected, inserted and found to be there already."""
     counts = take(ingest.normalise(readers.read(spark, paths), profile, job_id=job_id), f"{root}/posts")
     count_terms(spark.read.parquet(f"{root}/posts"), root, job_id)

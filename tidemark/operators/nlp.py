@@ -17,6 +17,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import factors
 from tidemark.schema import SENTIMENTS
 
 
@@ -233,22 +234,25 @@ def fit_topics(docs: DataFrame, language: str, k: int, terms: int = 50_000, seed
     return model, listed.select(F.format_string(f"{language}-%02d", "topic").alias("topic_id"), F.lit(language).alias("language"), label.alias("label"), "top_terms")
 
 
-def topics_by_language(docs: DataFrame, k: int, lang_col: str = "lang", **options) -> DataFrame:
-    """The topics of a model for every language in the table (a handful), one after the other."""
+def topics_by_language(docs: DataFrame, k: int, lang_col: str = "lang", method: str = "lda", **options) -> DataFrame:
+    """The topics of a model (``lda``, or ``nmf``: a non-negative factorisation) for every language in the table (a handful), one after the other."""
     names = sorted(r[0] for r in docs.where(F.col(lang_col).isNotNull()).select(lang_col).distinct().collect())
-    parts = [fit_topics(docs.where(F.col(lang_col) == name), name, k, **options)[1] for name in names]
+    of = lambda name, own: factors.fit(own, name, k, **options).listed(docs.sparkSession) if method == "nmf" else fit_topics(own, name, k, **options)[1]
+    parts = [of(name, docs.where(F.col(lang_col) == name)) for name in names]
     return reduce(DataFrame.unionByName, parts)
 
 
-def assign_topics(model: PipelineModel, docs: DataFrame, language: str, least: float = 0.02) -> DataFrame:
+def assign_topics(model: PipelineModel | factors.Topics, docs: DataFrame, language: str, least: float = 0.02) -> DataFrame:
     """docs with topic_id (the heaviest topic, ``<language>-other`` below ``least``) and topic_weight."""
+    if isinstance(model, factors.Topics):
+        return factors.assign(model, docs, least)
     x = model.transform(docs).withColumn("__w", vector_to_array("topicDistribution"))
     best = F.array_max("__w")
     name = F.when(best >= least, F.format_string(f"{language}-%02d", F.array_position("__w", best).cast("int") - 1)).otherwise(f"{language}-other")
     return x.withColumn("topic_id", name).withColumn("topic_weight", F.round(best, 4)).select(*docs.columns, "topic_id", "topic_weight")
 
 
-def enrich(posts: DataFrame, sentiment: PipelineModel | None, topics: dict[str, PipelineModel], reprocess: bool = False, statistics: DataFrame | None = None, stop: DataFrame | None = None) -> DataFrame:
+def enrich(posts: DataFrame, sentiment: PipelineModel | None, topics: dict[str, PipelineModel | factors.Topics], reprocess: bool = False, statistics: DataFrame | None = None, stop: DataFrame | None = None) -> DataFrame:
     """(post_id, sentiment, topic_id, keywords, processed_at) of unprocessed posts, to be joined by id.
 
     Sentiment is told for English, topics for the languages that have a model; keywords for both, by the stored ``statistics``
