@@ -209,6 +209,24 @@ def test_mixing(docs, rows):
     assert sorted(map(key, got)) == sorted(map(key, (r.asDict() for r in mixing.op4(docs.repartition(3)).collect())))
 
 
+def test_mixing_rates_solve_the_dual(docs):
+    """Each source's rates are exponentials in the root of the size, with the multiplier that a bisection in NumPy finds, and meet its target."""
+    by = collections.defaultdict(list)
+    for r, source in ((r, s) for r in mixing.op4(docs).collect() for s in [r["source_size"]]):
+        by[source].append(r)
+    for own in by.values():
+        size, rate = np.array([r["size"] for r in own], float), np.array([r["rate"] for r in own])
+        some, target = size > 0, own[0]["target"]
+        x = np.sqrt(size[some] / size[some].mean())
+        tilted = lambda lam: np.minimum(np.exp(np.minimum(lam * x, 50)), 3)  # noqa: B023, E731
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            lam = (low + high) / 2
+            low, high = (lam, high) if (size[some] * tilted(lam)).sum() < target else (low, lam)
+        assert np.abs(rate[some] - tilted(lam)).max() < 1e-5 and (rate[~some] == 0).all()
+        assert abs((size * rate).sum() - target) <= 1e-6 * target
+
+
 def test_mixed_documents(docs, odd, empty):
     taken = {r["doc_id"]: r["copies"] for r in mixing.op4(docs).collect()}
     out = mixing.mixed_documents(docs)
