@@ -102,6 +102,10 @@ def _arrays(b: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
     return [b.column(n).flatten().to_numpy(zero_copy_only=False) for n in names]
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+
 def _step(h: np.ndarray, steps: int):
     hh = h @ h.T
 
@@ -112,14 +116,13 @@ def _step(h: np.ndarray, steps: int):
             terms, weights, w = _arrays(b, ("terms", "weights", "w"))
             first = b.column("terms").offsets.to_numpy()[:-1] - b.column("terms").offsets[0].as_py()
             w = _fitted(w.reshape(b.num_rows, len(h)), terms, first, weights, h, hh, steps)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(h)), pa.array(w.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("terms"), b.column("weights"), lists], names=["key", "terms", "weights", "w"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("terms"), b.column("weights"), _lists(w)], names=["key", "terms", "weights", "w"])
 
     return run
 
 
 def _sums(k: int, n_terms: int):
-    """A task's sums: w' v by term (a row per term it has), and in the row of term -1 w' w and the sum of squares."""
+    """A task's sums, k numbers a row: w' v by term (for terms it has), w' w in the rows -1 to -k, and in row -k-1 the sum of squares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wv, ww, square = np.zeros((n_terms, k)), np.zeros((k, k)), 0.0
@@ -133,7 +136,8 @@ def _sums(k: int, n_terms: int):
             ww += w.T @ w
             square += float(weights @ weights)
         has = np.flatnonzero(wv.any(axis=1))
-        yield pa.RecordBatch.from_pydict({"term": pa.array([*has.tolist(), -1], pa.int32()), "sums": pa.array([*wv[has].tolist(), [*ww.ravel().tolist(), square]], pa.list_(pa.float64()))})
+        rows = np.concatenate([wv[has], ww, np.full((1, k), square)])
+        yield pa.RecordBatch.from_pydict({"term": pa.array(np.concatenate([has, -1 - np.arange(k + 1)]).astype(np.int32)), "sums": _lists(rows)})
 
     return run
 
@@ -150,13 +154,11 @@ def factorise(rows: DataFrame, k: int, n_terms: int, steps: int = 20, seed: int
         if i:
             sinks.delete(spark, [f"{root}/step-{i - 1}"])
         state = spark.read.parquet(f"{root}/step-{i}")
-        parts = state.mapInArrow(_sums(k, n_terms), "term int, sums array<double>").select("term", F.posexplode("sums").alias("at", "x"))
-        told = parts.groupBy("term", "at").agg(F.sum("x").alias("x")).toPandas()  # topics x (terms + topics) numbers
-        wv, ww, square = np.zeros((k, max(n_terms, 1))), np.zeros((k, k)), 0.0
-        own = told[told["term"] >= 0]
-        wv[own["at"].to_numpy(int), own["term"].to_numpy(int)] = own["x"]
-        rest = told[told["term"] < 0].set_index("at")["x"]
-        ww, square = np.array([rest.get(j, 0.0) for j in range(k * k)]).reshape(k, k), float(rest.get(k * k, 0.0))
+        parts = state.mapInArrow(_sums(k, n_terms), "term int, sums array<double>")
+        told = parts.groupBy("term").agg(*[F.sum(F.col("sums")[j]).alias(f"s{j}") for j in range(k)]).toPandas().to_numpy(np.float64)  # topics x (terms + topics) numbers
+        sums = np.zeros((max(n_terms, 1) + k + 1, k))  # negative rows stand at the end
+        sums[told[:, 0].astype(int)] = told[:, 1:]
+        wv, ww, square = sums[: max(n_terms, 1)].T, sums[[-1 - j for j in range(k)]], float(sums[-k - 1, 0])
         losses.append(square - 2 * float((wv * h).sum()) + float((ww * (h @ h.T)).sum()))
         if i < steps:
             h = h * wv / np.maximum(ww @ h, TINY)
