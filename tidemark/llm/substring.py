@@ -218,11 +218,11 @@ def op2(documents: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeats cut out of their texts, those of which only repeats were left out; columns stay as they are."""
-    row, unpacked = packed(docs)
-    few = docs.select(docs["doc_id"], docs["text"], row.alias("whole"))
-    r = remove_repeats(few).where("n_removed = 0 or n_removed < n_words").withColumnRenamed("whole", "row")
-    text = {"text": F.col("kept_text").alias("text")} | ({"n_chars": F.length("kept_text").cast("bigint").alias("n_chars")} if "n_chars" in docs.columns else {})
-    return r.select(*[text.get(c, column) for c, column in zip(docs.columns, unpacked(), strict=True)])
+    row, unpacked = packed(docs, ["text"])  # the text travels once
+    r = remove_repeats(docs.select(docs["doc_id"], docs["text"], row.alias("whole"))).where("n_removed = 0 or n_removed < n_words")
+    others = dict(zip([c for c in docs.columns if c.lower() != "text"], unpacked(), strict=True))
+    made = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
+    return r.withColumnRenamed("whole", "row").select(*[made.get(c.lower(), others.get(c)).alias(c) for c in docs.columns])
 
 
 #: For SQL engines that can hold every window of the corpus; small tables only.
