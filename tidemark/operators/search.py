@@ -12,13 +12,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Buckets of words in each day.
 BUCKETS = 8
+#: Postings that a task hands on at a time.
+OUT_ROWS = 100_000
 #: How soon more uses of a word stop to count, and how much a text's length does (the usual values of BM25).
 K1, B = 1.2, 0.75
 
@@ -80,13 +85,32 @@ def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per word and text of (post_id, created_at, w); a text's words are together, so nothing is shuffled for it."""
+    for b in batches:
+        row, words, places = [], [], []
+        for i, w in enumerate(b.column("w").to_pylist()):
+            at: dict[str, list[int]] = {}
+            for place, word in enumerate(w):
+                at.setdefault(word, []).append(place)
+            row += [i] * len(at)
+            words += at
+            places += at.values()
+            if len(row) >= OUT_ROWS or i + 1 == b.num_rows:
+                size = [len(x) for x in places]
+                length = pa.array(pc.list_value_length(b.column("w")).to_numpy(zero_copy_only=False).astype("int32")).take(pa.array(row, pa.int64()))
+                taken = b.select(["post_id", "created_at"]).take(pa.array(row, pa.int64()))
+                columns = [pa.array(words, pa.string()), *taken.columns, pa.array(size, pa.int32()), length, pa.array(places, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "post_id", "created_at", "tf", "length", "positions"])
+                row, words, places = [], [], []
+
+
 def postings(posts: DataFrame) -> DataFrame:
-    """The index of some posts: texts are dealt by post, so that a text's words are counted where they are split."""
-    dealt = posts.where("clean_text is not null").select("post_id", "created_at", "clean_text").repartition("post_id")
-    w = dealt.select("post_id", "created_at", words_of(F.col("clean_text")).alias("w"))
-    each = w.select("post_id", "created_at", F.size("w").alias("length"), F.posexplode("w").alias("at", "word"))
-    g = each.groupBy("post_id", "word").agg(F.first("created_at").alias("created_at"), F.first("length").alias("length"), F.array_sort(F.collect_list("at")).alias("positions"))
-    return g.select(F.to_date("created_at").alias("day"), _bucket(F.col("word")).alias("bucket"), "word", "post_id", "created_at", F.size("positions").alias("tf"), "length", "positions")
+    """The index of some posts: texts are split by Spark, and each one's words are gathered where they are split."""
+    w = posts.where("clean_text is not null").select("post_id", "created_at", words_of(F.col("clean_text")).alias("w")).where(F.size("w") > 0)
+    kind = w.schema["created_at"].dataType.simpleString()
+    g = w.mapInArrow(_postings, f"word string, post_id string, created_at {kind}, tf int, length int, positions array<int>")
+    return g.select(F.to_date("created_at").alias("day"), _bucket(F.col("word")).alias("bucket"), "word", "post_id", "created_at", "tf", "length", "positions")
 
 
 def text_daily(posts: DataFrame) -> DataFrame:
