@@ -86,7 +86,7 @@ def _bucket(word: Column) -> Column:
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per word and text of (post_id, created_at, w); a text's words are together, so nothing is shuffled for it."""
+    """A row per word and text of (post_id, created_at, w); a text's words are together, so postings are shuffled only to be written."""
     for b in batches:
         row, words, places = [], [], []
         for i, w in enumerate(b.column("w").to_pylist()):
@@ -106,8 +106,9 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def postings(posts: DataFrame) -> DataFrame:
-    """The index of some posts: texts are split by Spark, and each one's words are gathered where they are split."""
-    w = posts.where("clean_text is not null").select("post_id", "created_at", words_of(F.col("clean_text")).alias("w")).where(F.size("w") > 0)
+    """The index of some posts: texts are dealt evenly and split by Spark, and each one's words are gathered where they are split."""
+    dealt = posts.where("clean_text is not null").select("post_id", "created_at", "clean_text").repartition("post_id")  # a day's posts may lie in one file
+    w = dealt.select("post_id", "created_at", words_of(F.col("clean_text")).alias("w")).where(F.size("w") > 0)
     kind = w.schema["created_at"].dataType.simpleString()
     g = w.mapInArrow(_postings, f"word string, post_id string, created_at {kind}, tf int, length int, positions array<int>")
     return g.select(F.to_date("created_at").alias("day"), _bucket(F.col("word")).alias("bucket"), "word", "post_id", "created_at", "tf", "length", "positions")
