@@ -14,7 +14,7 @@ Orders, all of which a pair must pass before its texts are compared:
 
 Only components are wanted, so pairs within one component are never formed.  Where more than
 ``SMALL`` members of a token group are outside its largest component, the group isn't paired up: all its
-members are compared with one of them, the hub (the one with the fewest rarer tokens).  Those that
+members are compared with one of them, the hub (the one that is in most such groups, so that groups with the same members share it).  Those that
 link to it become one component.  For others a counting argument holds: x links to y, not both
 linked to the hub, only if both differ from the hub in common tokens, and in one among a prefix of the difference
 under an order that puts the hub's own tokens last and rare ones first.  So the group is
@@ -354,6 +354,17 @@ def _with_partners(rows: DataFrame) -> DataFrame:
     return j.where((F.col("reach") >= least) & (F.col("s") <= most)).select(*rows.columns)
 
 
+def _hubs(large: DataFrame) -> DataFrame:
+    """(a, b): each member b of a large group with the group's hub a.
+
+    The hub is the member that is in most large groups, so that groups of the same documents have the same one and a document is
+    compared and dealt once for all of them.
+    """
+    often = large.groupBy("k").agg(F.count("*").alias("groups"))
+    hubs = large.join(often, "k").groupBy("token").agg(F.max(F.struct("groups", (-F.col("pos")).alias("early"), (-F.col("k")).alias("k"))).alias("hub"))
+    return large.join(hubs, "token").select((-F.col("hub.k")).alias("a"), F.col("k").alias("b")).where("a <> b").distinct()
+
+
 def _release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files and broadcasts of what nobody refers to any more."""
     gc.collect()
@@ -413,9 +424,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         met = cut(_with_partners(shared), "groups")
         drop_tables(spark, rows, shared)
         # of what is left: members outside the group's largest component; all pairs across components have one
-        by = met.groupBy("token", "c").agg(F.count("*").alias("m"), F.min(F.struct("pos", "k")).alias("hub"))
-        by = by.groupBy("token").agg(F.max(F.struct("m", "c")).alias("main"), F.sum("m").alias("members"), F.min("hub").alias("hub"))
-        by = by.where("members > main.m").select("token", F.col("main.c").alias("main"), (F.col("members") - F.col("main.m")).alias("others"), F.col("hub.k").alias("hub"))
+        by = met.groupBy("token", "c").agg(F.count("*").alias("m")).groupBy("token").agg(F.max(F.struct("m", "c")).alias("main"), F.sum("m").alias("members"))
+        by = by.where("members > main.m").select("token", F.col("main.c").alias("main"), (F.col("members") - F.col("main.m")).alias("others"))
         group = cut(met.join(by, "token"), "groups")
         drop_tables(spark, met)
         last = level == LEVELS
@@ -433,7 +443,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         if last or large.isEmpty():
             drop_tables(spark, group)
             break
-        star = cut(large.where("k <> hub").select(F.col("hub").alias("a"), F.col("k").alias("b")).distinct(), "star")
+        star = cut(_hubs(large), "star")
         found = _compared(star, texts, n, percent, True, "stars")
         drop_tables(spark, group, star)
         links = links.unionByName(cut(found.where("linked").select("a", "b"), "twins"))
