@@ -453,6 +453,35 @@ def test_jaccard_lone_tokens(spark):
     assert got == brute_components(rows)
 
 
+def test_jaccard_hubs(spark, monkeypatch):
+    """Families that drift and share passages: hubs that meet become one document, which compares and deals for all their groups."""
+    monkeypatch.setattr(jaccard, "SMALL", 3)
+    rng = np.random.default_rng(8)
+    passages = [[f"p{p}w{i}" for i in range(60)] for p in range(4)]
+    rows = []
+    for family in range(6):
+        t = passages[family % 4] + passages[(family + 1) % 4] + [f"f{family}w{i}" for i in range(40)]
+        for _ in range(25):
+            if rng.random() < 0.7:  # a word changes from member to member, for good
+                t = list(t)
+                t[rng.integers(0, len(t))] = f"x{rng.integers(0, 12)}"
+            rows.append((len(rows), " ".join(t)))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    compared = []
+    hubs = jaccard._hubs
+
+    def seen(large):
+        star = hubs(large)
+        compared.append((star.select("a").distinct().count(), star.count(), star.select("b").distinct().count(), large.select("k").distinct().count()))
+        return star
+
+    monkeypatch.setattr(jaccard, "_hubs", seen)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.op7(d).collect()}
+    assert got == brute_components(rows)
+    hub, pairs, members, all_members = compared[0]
+    assert members >= all_members - hub and pairs <= 2 * all_members  # every member meets a hub, and few meet several
+
+
 def test_jaccard_odd(odd, empty):
     got = jaccard.op7(odd).collect()
     assert len(got) == 7 and {r["component_id"] for r in got if r["doc_id"] == 7} == {None}

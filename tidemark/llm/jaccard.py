@@ -14,7 +14,7 @@ Orders, all of which a pair must pass before its texts are compared:
 
 Only components are wanted, so pairs within one component are never formed.  Where more than
 ``SMALL`` members of a token group are outside its largest component, the group isn't paired up: all its
-members are compared with one of them, the hub (the one that is in most such groups, so that groups with the same members share it).  Those that
+members are compared with one of them, the hub (the one that is in most such groups; groups that meet share one).  Those that
 link to it become one component.  For others a counting argument holds: x links to y, not both
 linked to the hub, only if both differ from the hub in common tokens, and in one among a prefix of the difference
 under an order that puts the hub's own tokens last and rare ones first.  So the group is
@@ -355,14 +355,21 @@ def _with_partners(rows: DataFrame) -> DataFrame:
 
 
 def _hubs(large: DataFrame) -> DataFrame:
-    """(a, b): each member b of a large group with the group's hub a.
+    """(a, b): each member b of a large group with the document a that the group is compared with.
 
-    The hub is the member that is in most large groups, so that groups of the same documents have the same one and a document is
-    compared and dealt once for all of them.
+    Of a group that is the member in most large groups, its hub.  A hub that is itself a member of another hub's groups gives its
+    groups to the one of these with most members, so that a document is compared and dealt once for the groups of its likes:
+    the counting argument holds for any document that all members of a group are compared with.
     """
     often = large.groupBy("k").agg(F.count("*").alias("groups"))
     hubs = large.join(often, "k").groupBy("token").agg(F.max(F.struct("groups", (-F.col("pos")).alias("early"), (-F.col("k")).alias("k"))).alias("hub"))
-    return large.join(hubs, "token").select((-F.col("hub.k")).alias("a"), F.col("k").alias("b")).where("a <> b").distinct()
+    member = cut(large.join(hubs, "token").select((-F.col("hub.k")).alias("hub"), F.col("k").alias("b")).distinct(), "members")
+    size = member.groupBy("hub").agg(F.count("*").alias("size"))
+    over = member.join(size, "hub").join(size.select(F.col("hub").alias("b")), "b")
+    over = over.groupBy(F.col("b").alias("hub")).agg(F.max(F.struct("size", (-F.col("hub")).alias("hub"))).alias("over"))
+    star = cut(member.join(over, "hub").select((-F.col("over.hub")).alias("a"), "b").where("a <> b").distinct(), "star")
+    drop_tables(large.sparkSession, member)
+    return star
 
 
 def _release(spark: SparkSession) -> None:
@@ -443,7 +450,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         if last or large.isEmpty():
             drop_tables(spark, group)
             break
-        star = cut(_hubs(large), "star")
+        star = _hubs(large)
         found = _compared(star, texts, n, percent, True, "stars")
         drop_tables(spark, group, star)
         links = links.unionByName(cut(found.where("linked").select("a", "b"), "twins"))
