@@ -175,3 +175,38 @@ def test_sketches_and_rows_agree_for_any_filter(spark, sf_dir):
     cube, live = (A.active_accounts(Tables(t.posts.where("processed"), built=t.built), Filters(mode=m)).orderBy("t").collect() for m in ("cube", "live"))
     assert [r["t"] for r in cube] == [r["t"] for r in live]
     assert all(abs(a["active_accounts"] - b["active_accounts"]) <= 0.05 * b["active_accounts"] for a, b in zip(cube, live, strict=True))
+
+
+# -- texts that posts repeat
+
+
+@pytest.fixture(scope="module")
+def repeated(spark, odd_posts, tmp_path_factory):
+    """Tables of posts that repeat texts, by post and by text."""
+    hashed = odd_posts.withColumn("text_hash", F.sha2("clean_text", 256))
+    posts = hashed.withColumns({c: F.lit(None).cast("string") for c in ("username", "language", "country", "sentiment", "topic_id")}).withColumns({"engagement": F.lit(1), "is_retweet": F.lit(False)})
+    root = "file://" + str(tmp_path_factory.mktemp("texts"))
+    return Tables(posts, root=root + "/by-post"), Tables(posts, root=root + "/by-text", texts=posts.select("text_hash", "clean_text"))
+
+
+def test_each_text_is_indexed_once(spark, repeated):
+    by_post, by_text = repeated
+    assert by_text.stored_texts().count() == len({t for t in TEXTS if t is not None})
+    words = {"fox", "quick", "the", "x_y"}
+    want = sum(len({w for w in words if w in search._split(t.lower())}) for t in {t for t in TEXTS if t})
+    assert by_text.text_postings().where(F.col("word").isin(list(words))).count() == want
+    assert "clean_text" not in by_text.by_time().columns and by_text.by_time().count() == 45
+    r = A.get_post(by_text, "p001").first()
+    assert r["clean_text"] == TEXTS[1] and r["identical_texts"] == 5 and A.get_post(by_text, "p003").first()["clean_text"] is None
+
+
+def test_index_by_text_finds_what_the_one_by_post_finds(spark, repeated):
+    by_post, by_text = repeated
+    for q in ("fox", '"quick brown"', 'fox -"brown fox"', "the -quick", '"the the" -x_y', "-the", "nowhere", "Öl 12"):
+        for f in (Filters(q=q), Filters(q=q, start=date(2024, 1, 2), end=date(2024, 1, 4))):
+            for sort in ("relevance", "oldest", "engagement"):
+                a, b = ([(r["post_id"], r["relevance"]) for r in A.list_posts(t, f, sort, 1, 50).collect()] for t in repeated)
+                assert a == b, (f, sort)
+            assert A.count_posts(by_post, f).first() == A.count_posts(by_text, f).first()
+            a, b = ([tuple(r) for r in A.best_posts(t, q, 20, f.start, f.end).collect()] for t in repeated)
+            assert a == b, f
