@@ -85,3 +85,21 @@ def test_enrichment_takes_these_topics(spark, model):
     posts = spark.createDataFrame([("1", "en", "vote senate election ballot", False), ("2", "en", "oven bread flour", False), ("3", "de", "vote", False)], "post_id string, language string, clean_text string, processed boolean")
     got = {r["post_id"]: r["topic_id"] for r in nlp.enrich(posts, None, {"en": model}).collect()}
     assert got["1"] != got["2"] and got["1"].startswith("en-0") and got["3"] is None
+
+
+def test_terms_are_counted_in_one_shuffle(spark):
+    rows = spark.createDataFrame([(1, "aa bb aa cc"), (2, "bb bb dd"), (3, None), (4, "")], "key bigint, text string")
+    counts = factors.term_counts(rows.select(factors.terms_of(F.regexp_replace("text", r"(\w)\w", "$1$1$1")).alias("t")), "t")
+    assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # before it runs
+    assert {(r["term"], r["uses"], r["df"]) for r in counts.collect() if " " not in r["term"]} == {("aaa", 2, 1), ("bbb", 3, 2), ("ccc", 1, 1), ("ddd", 1, 1)}
+    weighed = factors.weighted(rows, ["aa"], np.ones(1))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in weighed  # a text's weights are found where the text is
+
+
+def test_commonest_sorts_only_what_may_be_kept(spark, tmp_path):
+    spark.createDataFrame([(f"t{i:02}", 9 if i < 3 else 5 if i < 40 else 2) for i in range(90)], "term string, uses bigint").write.parquet(str(tmp_path / "c"))
+    counts = spark.read.parquet(str(tmp_path / "c"))
+    for n in (1, 3, 10, 40, 60, 90, 200):
+        kept = factors.commonest(counts, n)
+        assert [r["term"] for r in kept.collect()] == [f"t{i:02}" for i in range(min(n, 90))]
+    assert "uses#" in factors.commonest(counts, 10)._jdf.queryExecution().executedPlan().toString() and "GreaterThanOrEqual(uses,5)" in factors.commonest(counts, 10)._jdf.queryExecution().executedPlan().toString()

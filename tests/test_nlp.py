@@ -183,3 +183,14 @@ def test_records_are_parsed_once(spark, tmp_path):
     rows = ingest.folded(ingest.normalise(readers.read(spark, [str(tmp_path)])))
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("parsejson") == 1 and "get_json_object" not in plan, plan
+
+
+def test_counts_are_those_of_mllib(spark):
+    """The vocabulary of Counts against CountVectorizer's own, with its bounds; the tasks of its shuffle aren't bound to the cores."""
+    rows = [(["a", "b", "a"],), (["a", "c", "d"],), (["a", "b", "d", "d"],), (["e"],), ([],)]
+    d = spark.createDataFrame(rows, "words array<string>")
+    for terms, least, most in ((10, 1.0, 2.0**62), (10, 2.0, 0.5), (2, 1.0, 2.0**62), (10, 0.4, 3.0)):
+        own = nlp.Counts(inputCol="words", outputCol="n", terms=terms, min_df=least, max_df=most).fit(d)
+        want = nlp.CountVectorizer(inputCol="words", outputCol="n", vocabSize=terms, minDF=least, maxDF=most).fit(d)
+        assert set(own.vocabulary) == set(want.vocabulary), (terms, least, most)
+        assert [sorted(r["n"].values) for r in own.transform(d).collect()] == [sorted(r["n"].values) for r in want.transform(d).collect()]
