@@ -1,12 +1,15 @@
 """Models and their features: against NumPy, golden literals, planted topics, and as parts of a job."""
 
 import math
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from tidemark import catalog
 from tidemark.operators import jobs, nlp
 from tidemark.sources import readers
 
@@ -137,6 +140,59 @@ def test_keywords_dont_depend_on_the_batch(spark):
     assert {"the", "and"} <= {r["term"] for r in listed.where("language = 'en'").collect()} and not {"the"} & {t for _, t, _ in words(docs, stop_words=listed)[7]}
 
 
+def by_definition(rows, top=5, stop=()):
+    """(id, place): (term, weight) of (id, text), in plain Python; rows with one id are one text."""
+    uses = {}
+    for i, text in rows:
+        uses.setdefault(i, Counter()).update(w for w in re.findall(r"[^\W\d_]{3,}", (text or "").lower()) if w not in stop)
+    df, out = Counter(w for c in uses.values() for w in c), {}
+    for i, c in uses.items():
+        weights = {w: round((1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[w])) + 1), 6) for w, n in c.items()}
+        out |= {(i, k): (w, weights[w]) for k, w in enumerate(sorted(weights, key=lambda w: (-weights[w], w))[:top], 1)}
+    return out
+
+
+def shuffled_rows(spark, run):
+    """Rows that ``run`` writes to shuffles."""
+    sc = spark.sparkContext
+    none, store = sc._jvm.java.util.ArrayList(), sc._jsc.sc().statusStore()
+
+    def told():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        stages = store.stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+        return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = told()
+    run()
+    return sum(n for k, n in told().items() if k not in before)
+
+
+@pytest.mark.parametrize("known", [0, 9, 40, 1 << 17])
+@pytest.mark.parametrize("twice", [False, True])
+def test_keywords_by_the_definition(spark, monkeypatch, known, twice):
+    """However few terms are weighed beside the texts: ties, repeated and null ids, texts without words."""
+    monkeypatch.setattr(nlp, "KNOWN", known, raising=False)
+    monkeypatch.setattr(nlp, "ROWS", 7, raising=False)
+    rng = np.random.default_rng(8)
+    words = [a + b + c for a in ("ba", "zé", "ko") for b in ("lu", "mi", "по") for c in ("r", "st", "на")]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 40), p=(p := 1 / np.arange(1, 28)) / p.sum()))) for i in range(60)]
+    rows += [(100, None), (101, "a b 12"), (102, " ".join(words)), (103, " ".join(words))] + ([(3, "bazelu ko"), (None, "only once"), (None, "once more")] if twice else [])
+    docs = spark.createDataFrame([(*r, "xx") for r in rows], "doc_id int, text string, lang string").repartition(3)
+    for stop in ((), ("balur", "balust")):
+        got = {(r["id"], r["place"]): (r["term"], r["weight"]) for r in nlp.keywords(docs, stop_words=stop).collect()}
+        want = by_definition(rows, stop=stop)
+        assert {k: t for k, (t, _) in got.items()} == {k: t for k, (t, _) in want.items()}
+        assert all(abs(w - want[k][1]) < 1.5e-6 for k, (_, w) in got.items())
+
+
+def test_terms_of_texts_arent_shuffled(spark, tmp_path):
+    """100 texts of 100 terms: fewer rows are shuffled than a text has terms, times the texts."""
+    words = ["".join(chr(97 + i // k % 26) for k in (676, 26, 1)) for i in range(200)]
+    spark.createDataFrame([(i, " ".join(words[(i * j) % 199] for j in range(100)), "xx") for i in range(100)], "doc_id int, text string, lang string").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("m8_keywords", "m8_keywords_by_language"):
+        assert shuffled_rows(spark, lambda: catalog.QUERIES[name](spark, str(tmp_path)).collect()) < 5000, name  # noqa: B023
+
+
 def _by_id(df):
     out = {}
     for r in df.collect():
