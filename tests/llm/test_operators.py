@@ -527,6 +527,24 @@ def test_bpe_memory(library):
         assert max(len(p) for p in parts) <= 2 * bpe.SEGMENT
 
 
+def test_bpe_short_pieces(monkeypatch):
+    """The same tokens as by the queue, with two lookups a merge: ranks of neighbours that stay are kept."""
+    b, rng, asked = bpe.tokenizer(bpe.public_path()), np.random.default_rng(4), [0]
+
+    class Counting(list):
+        def __getitem__(self, i):
+            asked[0] += 1
+            return super().__getitem__(i)
+
+    monkeypatch.setattr(b, "rank", Counting(b.rank))
+    for alphabet in (b"aetonihrs ", bytes(range(256)), b"aaab"):
+        for n in range(49):
+            data, asked[0] = bytes(rng.choice(list(alphabet), n).astype(np.uint8)), 0
+            ids = b._short(data)
+            assert ids == b._window([b.single[x] for x in data])
+            assert asked[0] <= 2 * (n - len(ids)), data
+
+
 def test_bpe_long_pieces(library):
     b = bpe.tokenizer(bpe.public_path())
     rng = np.random.default_rng(1)
